@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomquery.llm import langid, packing, quality
+from loomquery.llm import langid, lm, packing, quality
 from loomquery.llm.common import id_bucket
 from loomquery.llm.exact_dedup import exact_dedup
 from loomquery.llm.sharding import interleave_shards
 from loomquery.llm.simhash import near_dedup
+from loomquery.llm.topk import top_k
 
 #: Ratings as grades: 0 toxic, 1 junk, 2 good.
 GRADE = "if(toxic = 1, 0, 1 + quality)"
@@ -26,6 +27,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_bucket(F.col("doc_id"), 10) == 0
+    model = lm.fit(docs.filter(~held_out))
+    scored = lm.score(docs, model, extra={"held_out": held_out})
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op3_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave_shards(table(spark, sf_dir, "documents"))
 
@@ -38,6 +47,10 @@ def op4_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "g.*", (F.col("g.top_probability") >= 0.5).alias("selected"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_bucket(F.col("doc_id"), 4) == 2
@@ -57,8 +70,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_lm_score": op2_lm_score,
     "op3_interleave_shards": op3_interleave_shards,
     "op4_quality_grade": op4_quality_grade,
+    "op5_exact_topk": op5_exact_topk,
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -76,4 +91,23 @@ ORACLE_SQL: dict[str, str] = {
                text_sha256
         FROM d WINDOW same AS (PARTITION BY text_sha256)
     """,
+    "op5_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        p AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 100 = 0
+        )
+        SELECT * FROM (
+            SELECT query_id,
+                   CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id, score
+            FROM p
+        ) WHERE rank <= 10
+    """,
 }
