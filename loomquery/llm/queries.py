@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomquery.llm import langid, lm, packing, quality
 from loomquery.llm.common import id_bucket
 from loomquery.llm.exact_dedup import exact_dedup
+from loomquery.llm.licenses import SHINGLE, SIMILARITY, TEMPLATES, license_scan
 from loomquery.llm.sharding import interleave_shards
 from loomquery.llm.simhash import near_dedup
 from loomquery.llm.topk import top_k
@@ -51,6 +52,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_bucket(F.col("doc_id"), 4) == 2
@@ -74,11 +79,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_interleave_shards": op3_interleave_shards,
     "op4_quality_grade": op4_quality_grade,
     "op5_exact_topk": op5_exact_topk,
+    "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
+def _shingle_rows(name: str, rows: str, keys: str) -> str:
+    """CTEs: the five-word shingles of every row, with their positions."""
+    after = " || ' ' || ".join(["w", *(f"lead(w, {i}) OVER o" for i in range(1, SHINGLE))])
+    return f"""
+        {name}_words AS (SELECT {keys}, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS pos
+            FROM (SELECT *, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS words FROM ({rows}))),
+        {name} AS (SELECT * FROM (SELECT {keys}, pos, {after} AS shingle FROM {name}_words WINDOW o AS (PARTITION BY {keys} ORDER BY pos)) WHERE shingle IS NOT NULL)"""
+
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in TEMPLATES)
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -91,6 +107,21 @@ ORACLE_SQL: dict[str, str] = {
                text_sha256
         FROM d WINDOW same AS (PARTITION BY text_sha256)
     """,
+    "op7_license_scan": f"""
+        WITH {_shingle_rows("doc", "SELECT row_number() OVER () AS row_no, doc_id, text FROM documents", "row_no, doc_id")},
+        {_shingle_rows("template", f"SELECT row_number() OVER () AS template_no, license_id, text FROM (VALUES {_TEMPLATE_ROWS}) AS v(license_id, text)", "template_no, license_id")},
+        known AS (SELECT DISTINCT template_no, license_id, shingle FROM template),
+        sized AS (SELECT *, count(*) OVER (PARTITION BY template_no) AS t FROM known),
+        hit AS (SELECT row_no, doc_id, template_no, license_id, t, shingle, pos // t AS block FROM doc JOIN sized USING (shingle)),
+        inside AS (SELECT *, unnest([block, greatest(block - 1, 0)]) AS k FROM hit),
+        held AS (
+            SELECT row_no, doc_id, template_no, license_id, t, k, count(DISTINCT shingle) / t AS containment
+            FROM inside GROUP BY row_no, doc_id, template_no, license_id, t, k
+        )
+        SELECT doc_id, license_id, max(containment) AS containment, count(DISTINCT (t, k)) AS n_windows
+        FROM held WHERE containment >= {SIMILARITY}
+        GROUP BY row_no, doc_id, license_id
+    """,
     "op5_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
