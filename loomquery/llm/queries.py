@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomquery.llm import langid, lm, packing, quality
+from loomquery.llm import langid, lm, packing, quality, sentencepiece_scan
 from loomquery.llm.common import id_bucket
 from loomquery.llm.exact_dedup import exact_dedup
 from loomquery.llm.licenses import SHINGLE, SIMILARITY, TEMPLATES, license_scan
@@ -52,6 +52,35 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+#: Where the public tokenizer files are; no copy of them is kept here.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = TOKENIZER) -> DataFrame:
+    """doc_id, n_chars, n_tokens, n_chunks, id_sum, id_checksum (positions weigh in), round_trip (decoding gives the text back)."""
+    pieces = sentencepiece_scan.Pieces.load(model)
+    back = sentencepiece_scan.decode(sentencepiece_scan.encode(table(spark, sf_dir, "documents"), pieces), pieces)
+    n = F.size("ids")
+    per_chunk = back.select(
+        "doc_id",
+        "row_no",
+        F.length("covered").alias("n_chars"),
+        n.alias("n"),
+        "chunk",
+        F.aggregate("ids", F.lit(0).cast("long"), lambda total, x: total + x).alias("id_sum"),
+        F.xxhash64("chunk", "ids").alias("checksum"),
+        (F.col("decoded") == F.col("covered")).alias("same"),
+    )
+    return per_chunk.groupBy("doc_id", "row_no").agg(
+        F.sum("n_chars").alias("n_chars"),
+        F.sum("n").alias("n_tokens"),
+        F.count(F.lit(1)).alias("n_chunks"),
+        F.sum("id_sum").alias("id_sum"),
+        F.bit_xor("checksum").alias("id_checksum"),
+        F.bool_and("same").alias("round_trip"),
+    ).drop("row_no")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -79,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_interleave_shards": op3_interleave_shards,
     "op4_quality_grade": op4_quality_grade,
     "op5_exact_topk": op5_exact_topk,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
