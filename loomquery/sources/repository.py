@@ -45,7 +45,7 @@ def scan(spark: SparkSession, root: str, repository: str, ignored: list[str] | N
     base = re.sub(r"^[a-z]+:/*", "/", root).rstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(base) + "/", "")
     kept = files.withColumn("path", path).filter(wanted(F.col("path"), ignored))
-    return kept.select(F.lit(repository).alias("repository"), "path", F.decode("content", F.lit("utf-8")).alias("content"), language_of(F.col("path")).alias("language"), mime_of(F.col("path")).alias("mime"), F.col("modificationTime").alias("last_modified"))
+    return kept.select(F.lit(repository).alias("repository"), "path", F.decode("content", "utf-8").alias("content"), language_of(F.col("path")).alias("language"), mime_of(F.col("path")).alias("mime"), F.col("modificationTime").alias("last_modified"))
 
 
 def changed(files: DataFrame, changes: DataFrame) -> DataFrame:
