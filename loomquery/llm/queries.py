@@ -137,6 +137,33 @@ ORACLE_SQL: dict[str, str] = {
                text_sha256
         FROM d WINDOW same AS (PARTITION BY text_sha256)
     """,
+    "op3_interleave_shards": """
+        WITH tbl AS MATERIALIZED (
+            SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t
+        ),
+        b AS (
+            SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, coalesce('=' || source, '') AS stratum,
+                   list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes
+            FROM documents
+        ),
+        c AS (
+            SELECT doc_id, size, stratum,
+                   xor(coalesce(list_reduce(bytes, lambda x, y: xor(t[(xor(x, y) & 255) + 1], x >> 8), 4294967295), 4294967295), 4294967295) AS text_crc32
+            FROM b, tbl
+        ),
+        d AS (SELECT *, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32) AS draw FROM c),
+        r AS (
+            SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY draw, doc_id, text_crc32, size) - 1)
+                      / (2 * count(*) OVER (PARTITION BY stratum)) AS fraction
+            FROM d
+        ),
+        p AS (SELECT *, row_number() OVER (ORDER BY fraction, stratum, draw, doc_id, text_crc32, size) AS nth, count(*) OVER () AS total FROM r),
+        s AS (SELECT *, (nth * 40 - 1) // total AS shard FROM p)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
+               CAST(nth - 1 - shard * total // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM s
+    """,
     "op7_license_scan": f"""
         WITH {_shingle_rows("doc", "SELECT row_number() OVER () AS row_no, doc_id, text FROM documents", "row_no, doc_id")},
         {_shingle_rows("template", f"SELECT row_number() OVER () AS template_no, license_id, text FROM (VALUES {_TEMPLATE_ROWS}) AS v(license_id, text)", "template_no, license_id")},

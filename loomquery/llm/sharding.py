@@ -67,10 +67,11 @@ def interleave_shards(
     starts = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
     within = F.row_number().over(Window.partitionBy("part").orderBy("fraction", "stratum", *order))
     at = F.col("before") + F.col("nth") - 1
-    shard = F.floor(((at + 1) * shards - 1) / F.col("total")).cast("int")
+    # Whole numbers all the way: at 10^15 rows a double would no longer tell neighbours apart.
+    shard = F.expr(f"((before + nth) * {shards}L - 1) div total").cast("int")
     return (
         placed.withColumn("nth", within)
         .join(starts, "part")
         .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), at.alias("at"), "total", shard.alias("shard"))
-        .select("doc_id", "size", "text_crc32", "law", "shard", (F.col("at") - F.floor(F.col("shard") * F.col("total") / shards)).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        .select("doc_id", "size", "text_crc32", "law", "shard", F.expr(f"at - (shard * total) div {shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
