@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomquery.plans import behaviour, code, data, ranked, search, streams, texts
+from loomquery.plans import behaviour, code, data, ranked, search, shaped, streams, texts
 from loomquery.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "behaviour", "code", "data", "ranked", "search", "streams", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "behaviour", "code", "data", "ranked", "search", "shaped", "streams", "texts"]
