@@ -19,7 +19,8 @@ BASE = 1.5  # of the logarithm that quantises counts
 BITS_PER_KEY = 12
 PROBE_BITS = 4  # bits of a key, all in one 64-bit word of the filter
 PRIOR = 300.0  # weight of the lower order in the interpolation
-MAX_BROADCAST = 256 << 20
+MAX_BROADCAST = 256 << 20  # bytes of the model that a worker holds at once
+MAX_PART = 16 << 20  # bytes of it that the driver holds at once
 BLOCK = 256  # texts handled at once in a task
 KNOWN_WORDS = 600_000  # after which a task forgets the hashes it has looked up
 #: No word can contain these.
@@ -152,7 +153,7 @@ class Model:
     slice_bits: int
     order: int
     slices: DataFrame
-    segments: list[tuple[int, int]]  # first and last slice of each
+    segments: list[list[tuple[int, int]]]  # first and last slice of each part of each
 
 
 def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER, max_broadcast: int = MAX_BROADCAST) -> Model:
@@ -202,18 +203,21 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER, max_broadca
     slices = cut(counts.groupBy("slice").applyInPandas(build, "slice int, grams binary, times binary, filter binary, tokens long, types long, texts long"), "lm-slices")
     total = slices.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "texts")]).first()
     sizes = slices.select("slice", (F.length("grams") + F.length("times") + F.length("filter")).alias("size")).orderBy("slice").collect()
-    segments: list[tuple[int, int]] = []
-    filled = max_broadcast + 1
+    segments: list[list[tuple[int, int]]] = []
+    in_segment, in_part = max_broadcast + 1, 0
     for row in sizes:
-        if filled + row["size"] > max_broadcast:
-            segments.append((row["slice"], row["slice"]))
-            filled = 0
-        segments[-1] = (segments[-1][0], row["slice"])
-        filled += row["size"]
-    return Model(*total, slice_bits, order, slices, segments or [(0, 0)])
-
-
-class Segment:
+        if in_segment + row["size"] > max_broadcast:
+            segments.append([])
+            in_segment = in_part = 0
+        if not segments[-1] or in_part + row["size"] > MAX_PART:
+            segments[-1].append((row["slice"], row["slice"]))
+            in_part = 0
+        segments[-1][-1] = (segments[-1][-1][0], row["slice"])
+        in_segment, in_part = in_segment + row["size"], in_part + row["size"]
+    return Model(*total, slice_bits, order, slices, segments or [[(0, 0)]])
+
+
+class Part:
     """A stretch of slices as it is broadcast: sorted token hashes with their counts, and the filter's words."""
 
     def __init__(self, model: Model, first: int, last: int) -> None:
@@ -229,26 +233,50 @@ class Segment:
             total += len(r["filter"]) // 8
         self.filter = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["filter"], np.uint64) for r in rows]])
 
+    def own(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes belong to these slices, and the slice of each."""
+        at = (h >> np.uint64(64 - self.slice_bits)).astype(np.int64) - self.first
+        here = np.flatnonzero((at >= 0) & (at <= self.last - self.first))
+        return here, at[here]
+
+    def counts(self, h: np.ndarray, out: np.ndarray) -> None:
+        """Put in the exact counts of single tokens."""
+        here, _ = self.own(h)
+        if len(self.grams) and len(here):
+            at = np.searchsorted(self.grams, h[here])
+            at[at == len(self.grams)] = 0
+            out[here] = np.where(self.grams[at] == h[here], self.times[at], 0)
+
+    def levels(self, h: np.ndarray, out: np.ndarray) -> None:
+        """Put in the quantised counts of n-grams: levels are probed one after another until one is missing."""
+        here, of = self.own(h)
+        there = self.size[of] > 0
+        here, of = here[there], of[there]
+        level = 1
+        while len(here) and level < LEVELS:
+            word, bits = placement(h[here], level, self.size[of])
+            held = self.filter[(word + self.offset[of]).astype(np.int64)] & bits == bits
+            here, of = here[held], of[held]
+            out[here] = level
+            level += 1
+
+
+class Segment:
+    """Neighbouring parts. Each is a broadcast of its own, so the driver never holds more than one."""
+
+    def __init__(self, parts: list[Part]) -> None:
+        self.parts = parts
+
     def counts(self, h: np.ndarray) -> np.ndarray:
-        """Exact counts of single tokens; 0 for those of other segments."""
-        at = np.searchsorted(self.grams, h)
-        at[at == len(self.grams)] = 0
-        if not len(self.grams):
-            return np.zeros(len(h), np.int64)
-        return np.where(self.grams[at] == h, self.times[at], 0).astype(np.int64)
+        out = np.zeros(len(h), np.int64)
+        for part in self.parts:
+            part.counts(h, out)
+        return out
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """The quantised counts of n-grams: levels are probed one after another until one is missing."""
-        own = (h >> np.uint64(64 - self.slice_bits)).astype(np.int64) - self.first
         out = np.zeros(len(h), np.int64)
-        at = np.flatnonzero((own >= 0) & (own <= self.last - self.first))
-        at = at[self.size[own[at]] > 0]
-        level = 1
-        while len(at) and level < LEVELS:
-            word, bits = placement(h[at], level, self.size[own[at]])
-            at = at[self.filter[(word + self.offset[own[at]]).astype(np.int64)] & bits == bits]
-            out[at] = level
-            level += 1
+        for part in self.parts:
+            part.levels(h, out)
         return out
 
 
@@ -274,13 +302,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     extra = extra or {}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(name) for name, c in extra.items()], F.col(text_col).cast("string").alias("text"))
     kept = rows.columns[:-1]
-    for nth, (first, last) in enumerate(model.segments):
-        shared = spark.sparkContext.broadcast(Segment(model, first, last))
+    for nth, parts in enumerate(model.segments):
+        shared = [spark.sparkContext.broadcast(Part(model, first, last)) for first, last in parts]
         final, begin = nth == len(model.segments) - 1, nth == 0
         schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept], *(["n_tokens long, n_known long, base_score double, score double"] if final else ["text string, counted binary, levels binary"])])
 
         def pass_over(batches: Iterator[pd.DataFrame], shared=shared, final=final, begin=begin) -> Iterator[pd.DataFrame]:
-            segment = shared.value
+            segment = Segment([part.value for part in shared])
             vocabulary = Vocabulary()
             for batch in batches:
                 for low in range(0, len(batch), BLOCK):
