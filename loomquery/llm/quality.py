@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomquery.llm.common import cut
+
 DIMENSIONS = 1 << 22
 PREFIXES = (3, 4, 5)
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
@@ -59,30 +61,21 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int = 600, rate: float = 0.05, penalty: float = 1e-5, least: int = 8, screen: float = 4.0) -> OrdinalModel:
-    """Maximum likelihood of the cumulative logits by full-batch Adam.
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, n_columns: int, steps: int = 600, rate: float = 0.05, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of maximum likelihood under the cumulative logits, by full-batch Adam.
 
-    ``rows`` hold the buckets of each text. A bucket gets a weight only if it is in
-    ``least`` rows and their mean grade is ``screen`` standard errors off the
-    overall mean; so the many words that say nothing about quality cannot add up
-    in long texts. Thresholds are the first one plus exponentials, so they stay in order.
+    ``rows`` hold the columns that are 1 in each row. Thresholds are the first
+    one plus exponentials, so they stay in order.
     """
-    flat = np.concatenate(rows)
-    used, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.concatenate([np.zeros(0, np.int64), *rows])
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    mean = np.bincount(column, grades[row].astype(float)) / seen
-    off = np.abs(mean - grades.mean()) * np.sqrt(seen) / max(1e-9, grades.std())
-    good = (seen >= least) & (off >= screen)
-    keep = good[column]
-    column, row = (np.cumsum(good) - 1)[column[keep]], row[keep]
-    used = used[good]
     n, k = len(rows), n_grades - 1
     share = np.array([(grades > j).mean() for j in range(k)]).clip(1e-3, 1 - 1e-3)
     start = np.log((1 - share) / share)
-    x = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(0.1, np.diff(start)))])
+    x = np.concatenate([np.zeros(n_columns), start[:1], np.log(np.maximum(0.1, np.diff(start)))])
     m, v = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, steps + 1):
-        w, first, gaps = x[: len(used)], x[len(used)], np.exp(x[len(used) + 1 :])
+        w, first, gaps = x[:n_columns], x[n_columns], np.exp(x[n_columns + 1 :])
         theta = first + np.concatenate([[0.0], np.cumsum(gaps)])
         score = np.bincount(row, w[column], minlength=n)
         tail = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -60, 60)))
@@ -94,33 +87,58 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps
         by_theta = np.zeros(k)
         np.add.at(by_theta, grades[grades > 0] - 1, -low[grades > 0])
         np.add.at(by_theta, grades[grades < k], high[grades < k])
-        gradient = np.concatenate([np.bincount(column, (low - high)[row], minlength=len(used)) / n - penalty * w, [by_theta.sum() / n], [by_theta[j:].sum() * gaps[j - 1] / n for j in range(1, k)]])
+        gradient = np.concatenate([np.bincount(column, (low - high)[row], minlength=n_columns) / n - penalty * w, [by_theta.sum() / n], [by_theta[j:].sum() * gaps[j - 1] / n for j in range(1, k)]])
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         x = x + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    w = x[: len(used)]
-    theta = x[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(x[len(used) + 1 :]))])
-    return OrdinalModel({int(b): float(a) for b, a in zip(used, w) if a}, theta)
-
-
-def fit(docs: DataFrame, ratings: DataFrame, grade: str, n_grades: int, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000) -> OrdinalModel | None:
-    """Fit on at most ``max_rows`` rated rows, lowest id hash first (the bound of what reaches the driver).
+    return x[:n_columns], x[n_columns] + np.concatenate([[0.0], np.cumsum(np.exp(x[n_columns + 1 :]))])
+
+
+def fit(
+    docs: DataFrame,
+    ratings: DataFrame,
+    grade: str,
+    n_grades: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_rows: int = 12_000,
+    max_features: int = 20_000,
+    least: int = 8,
+    screen: float = 4.0,
+) -> OrdinalModel | None:
+    """Fit on at most ``max_rows`` rated rows, lowest id hash first, with at most ``max_features`` buckets.
 
     ``grade`` is an SQL expression over ``ratings`` that gives 0 .. n_grades - 1;
-    rows where it is null are left out. None if nothing is rated.
+    rows where it is null are left out. None if nothing is rated. A bucket gets
+    a weight only if it is in ``least`` rows of the sample and their mean grade
+    is ``screen`` standard errors off the overall mean; so the many words that
+    say nothing about quality cannot add up in long texts. Counting and
+    screening run on the cluster; the driver gets each row's screened buckets.
     """
     rated = ratings.select(F.col(id_col).alias("rated_id"), F.expr(grade).cast("int").alias("rated_grade")).filter("rated_grade is not null and rated_id is not null")
     sample = rated.orderBy(F.xxhash64("rated_id"), "rated_grade").limit(max_rows)
 
     @F.pandas_udf("array<int>")
     def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted({bucket(f) for f in features(t)}) for t in texts])
+        return pd.Series([np.array(sorted({bucket(f) for f in features(t)}), np.int32) for t in texts])
 
     texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("own_text"))
     joined = texts.join(F.broadcast(sample), F.col("own_id") == F.col("rated_id"))
-    got = joined.select("rated_id", "rated_grade", hashed("own_text").alias("buckets")).orderBy("rated_id").limit(max_rows).toPandas()
-    if got.empty:
+    rows = cut(joined.select("rated_id", "rated_grade", hashed("own_text").alias("buckets")), "rated-rows")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("rated_grade").alias("mean"), F.stddev_pop("rated_grade").alias("spread")).first()
+    if not total["n"]:
         return None
-    return fit_ordinal([np.asarray(b, np.int64) for b in got["buckets"]], got["rated_grade"].to_numpy(np.int64), n_grades)
+    seen = rows.select("rated_grade", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("rated_grade").alias("mean"))
+    off = F.abs(F.col("mean") - total["mean"]) * F.sqrt("n") / max(1e-9, total["spread"])
+    chosen = seen.filter(F.col("n") >= least).withColumn("off", off).filter(F.col("off") >= screen).orderBy(F.desc("off"), "bucket").limit(max_features)
+    used = np.sort(np.array([r["bucket"] for r in chosen.select("bucket").collect()], np.int64))
+
+    @F.pandas_udf("array<int>")
+    def columns(buckets: pd.Series) -> pd.Series:
+        return pd.Series([np.flatnonzero(np.isin(used, b)).astype(np.int32) for b in buckets])
+
+    got = rows.select("rated_id", "rated_grade", columns("buckets").alias("columns")).orderBy("rated_id", F.xxhash64("buckets")).limit(max_rows).toPandas()
+    weights, thresholds = fit_ordinal([np.asarray(c, np.int64) for c in got["columns"]], got["rated_grade"].to_numpy(np.int64), n_grades, len(used))
+    return OrdinalModel({int(b): float(w) for b, w in zip(used, weights)}, thresholds)
 
 
 def grade_texts(df: DataFrame, model: OrdinalModel, text_col: str = "text"):
