@@ -20,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,7 @@ from loomquery.llm.common import cut
 BLANK = "▁"
 NEVER = -math.inf
 CHUNK = 16_384
+SHORT = 40  # characters of a word
 State = tuple[int, int]  # begin and end of a piece, relative to a boundary
 
 
@@ -62,6 +64,19 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += 8 if kind == 1 else 4
 
 
+class Words(dict):
+    """The ids of words met so far, each with the blank before it."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        own = self.pieces.word(BLANK + word)
+        if len(word) <= 64:
+            self[word] = own
+        return own
+
+
 @dataclass
 class Pieces:
     """A model's pieces; ``agrees`` remembers which neighbours BPE leaves alone."""
@@ -75,7 +90,13 @@ class Pieces:
     prefix: bool  # a blank is put before the text
     longest: int = 0
     agreed: dict[tuple[str, str], bool] = field(default_factory=dict)
-    words: dict[str, tuple[int, ...]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        """What is derived from the pieces: their plain texts (a byte below 128 is a character), and the ids of the other bytes."""
+        self.words = Words(self)
+        self.texts = [chr(self.bytes_[i]) if self.bytes_.get(i, 128) < 128 else p.replace(BLANK, " ") for i, p in enumerate(self.by_id)]
+        high = [i for i, b in self.bytes_.items() if b >= 128]
+        self.high_bytes = (min(high), max(high)) if high else (0, -1)
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -97,8 +118,8 @@ class Pieces:
         ids = {p: i for i, p in enumerate(by_id) if p in scores}
         return cls(scores, ids, by_id, bytes_, unknown, bpe, prefix, max(map(len, scores)))
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"agreed": {}, "words": {}}
+    def __reduce__(self) -> tuple:
+        return Pieces, (self.scores, self.ids, self.by_id, self.bytes_, self.unknown, self.bpe, self.prefix, self.longest)
 
     # Text and pieces
 
@@ -128,16 +149,20 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """BPE from characters: merge the best-scored neighbours, leftmost first, until none is a piece."""
+        score = self.scores.get
         parts = list(text)
-        while len(parts) > 1:
-            best, at = NEVER, -1
-            for i in range(len(parts) - 1):
-                s = self.scores.get(parts[i] + parts[i + 1], NEVER)
-                if s > best:
-                    best, at = s, i
-            if at < 0:
+        pairs = [score(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == NEVER:
                 break
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at], NEVER)
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1], NEVER)
         return parts
 
     def agree(self, left: str, right: str) -> bool:
@@ -176,23 +201,6 @@ class Pieces:
                         break  # only one piece can be the last of a BPE encoding
         return back, best
 
-    def last_pieces(self, text: str) -> list[int]:
-        """``walk`` over a word of a BPE model: every prefix has one encoding, so weights need not be kept."""
-        scores, agreed, longest = self.scores, self.agreed, self.longest
-        back = [0] * (len(text) + 1)
-        for j in range(1, len(text) + 1):
-            for i in range(max(0, j - longest), j):
-                piece = text[i:j]
-                if piece in scores or j - i == 1:
-                    left = text[back[i] : i]
-                    fits = agreed.get((left, piece))
-                    if fits is None:
-                        fits = self.agree(left, piece)
-                    if fits:
-                        back[j] = i
-                        break
-        return back
-
     def trace(self, text: str, back: list[int], at: int, end: int) -> list[str]:
         out = []
         while end > at:
@@ -202,32 +210,36 @@ class Pieces:
         return out[::-1]
 
     def word(self, text: str) -> tuple[int, ...]:
-        """Ids of a text between two places that no piece crosses. Common words are remembered."""
-        own = self.words.get(text)
-        if own is None:
-            back = self.last_pieces(text) if self.bpe else self.walk(text, 0, 0, len(text))[0]
-            own = tuple(x for piece in self.trace(text, back, 0, len(text)) for x in self.piece_ids(piece))
-            if len(self.words) > 300_000:
-                self.words.clear()
-            if len(text) <= 64:
-                self.words[text] = own
-        return own
-
-    def encode(self, text: str) -> list[int]:
-        """A whole text: no piece has a blank after another character, so words are encoded one by one."""
-        out: list[int] = []
-        word = self.word
-        for w in _WORDS.findall(self.normal(text)):
-            out += word(w)
-        return out
+        """Ids of a text between two places that no piece crosses.
 
-    def decode(self, ids: list[int], first: bool = True) -> str:
+        A BPE lattice has a single path: in a short word merging finds it
+        sooner than the walk, whose time grows with the length only.
+        """
+        if self.bpe and len(text) <= SHORT:
+            pieces = self.merged(text)
+        else:
+            pieces = self.trace(text, self.walk(text, 0, 0, len(text))[0], 0, len(text))
+        return tuple(x for piece in pieces for x in self.piece_ids(piece))
+
+    def encode(self, text: str) -> np.ndarray:
+        """A whole text: no piece has a blank after another character, so words are encoded one by one and remembered."""
+        known = self.words
+        if len(known) > 400_000:
+            known.clear()
+        if self.prefix and text and text[0] != " " and "  " not in text and BLANK not in text:
+            return np.fromiter(chain.from_iterable(map(known.__getitem__, text.split(" "))), np.int32)
+        return np.fromiter(chain.from_iterable(map(self.word, _WORDS.findall(self.normal(text)))), np.int32)
+
+    def decode(self, ids: np.ndarray, first: bool = True) -> str:
         """The text of some pieces; ``first``: they open a document, whose added blank goes."""
-        raw = bytearray()
-        for i in ids:
-            own = self.bytes_.get(i)
-            raw += bytes([own]) if own is not None else self.by_id[i].replace(BLANK, " ").encode("utf-8", "surrogatepass")
-        text = raw.decode("utf-8", "replace")
+        if self.bytes_ and ((ids >= self.high_bytes[0]) & (ids <= self.high_bytes[1])).any():
+            raw = bytearray()
+            for i in ids.tolist():
+                own = self.bytes_.get(i)
+                raw += bytes([own]) if own is not None else self.texts[i].encode("utf-8", "surrogatepass")
+            text = raw.decode("utf-8", "replace")
+        else:
+            text = "".join(map(self.texts.__getitem__, ids.tolist()))
         return text[1:] if first and self.prefix and text.startswith(" ") else text
 
     # Chunks
@@ -374,7 +386,7 @@ def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for low in range(0, len(batch), 512):
                 part = batch.iloc[low : low + 512]
-                ids = [np.array(own.encode(t), np.int32) for t in part["text"]]
+                ids = [own.encode(t) for t in part["text"]]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "row_no": part["row_no"], "chunk": np.int32(0), "ids": ids, "covered": part["text"]})
 
     def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -434,6 +446,6 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     @F.pandas_udf("string")
     def text(ids: pd.Series, chunk: pd.Series) -> pd.Series:
         own = shared.value
-        return pd.Series([own.decode(list(i) if i is not None else [], c == 0) for i, c in zip(ids, chunk)])
+        return pd.Series([own.decode(np.zeros(0, np.int32) if i is None else np.asarray(i), c == 0) for i, c in zip(ids, chunk)])
 
     return encoded.withColumn("decoded", text("ids", "chunk"))
