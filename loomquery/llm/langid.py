@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 ORDERS = (2, 3, 4)
 SLOT_BITS = 20
 PROBES = 2
+DRAWS = 1 << 30
 UNKNOWN = "und"
 #: One odd multiplier for each probe (fixed values: fractional bits of the square roots of 2, 3 and 5).
 MULTIPLIERS = (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B)
@@ -86,7 +88,7 @@ class LanguageFilters:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 1500, distinctive: float = 0.25) -> LanguageFilters:
-    """Learn the filters from a bounded sample: at most ``per_language`` rows of each language, lowest key hash first.
+    """Learn the filters from a bounded sample: about ``per_language`` rows of each language (all, if fewer), by key hash.
 
     An n-gram enters the filter of a language if it occurs there at least twice
     and at no less than ``distinctive`` times its rate in the language where it
@@ -94,16 +96,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     one mask per filter slot, 2^20 for every 64 languages at most.
     """
     rows = labelled.select(F.col(key_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    rows = rows.withColumn("draw", F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "lang"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    # The draw alone decides who is in, so the window moves no texts: only ids and draws are ranked.
-    limits = rows.select("lang", "draw").withColumn("nth", nth).filter(F.col("nth") <= per_language).groupBy("lang").agg(F.max("draw").alias("limit"))
-    chosen = limits.orderBy("lang").collect()
-    langs = [r["lang"] for r in chosen]
+    # A uniform draw against each language's share: no window, so the most frequent language is in no single task.
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "lang"), F.lit(DRAWS)))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
+    langs = [r["lang"] for r in sizes]
     if not langs:
         return LanguageFilters([], np.zeros((1, 1 << SLOT_BITS), np.uint64))
-    pick = F.create_map(*[x for r in chosen for x in (F.lit(r["lang"]), F.lit(r["limit"]))])
-    sample = rows.filter(F.col("draw") <= pick[F.col("lang")])
+    limit = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(math.ceil(DRAWS * min(1.0, per_language / r["n"]))))])
+    sample = rows.filter(F.col("draw") < limit[F.col("lang")])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
