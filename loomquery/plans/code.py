@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomquery.operators import clones, graph
+from loomquery.functions.text import masked_environment
+from loomquery.operators import clones, graph, near
 from loomquery.plans.registry import query, rounded, table
 
 
@@ -59,6 +60,60 @@ def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select(F.col("text_id").alias("doc_id"), F.col("passage").alias("item_id"), "containment"), "containment")
 
 
+def _near_sql(source: str) -> str:
+    """CTEs up to ``sets``: doc_id, n and representative of every text with a word."""
+    words = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+    return f"""
+        w AS MATERIALIZED (SELECT doc_id, {words} AS words FROM {source}),
+        places AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM w WHERE len(words) >= 5),
+        lined AS (SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS run FROM places WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        t AS MATERIALIZED (SELECT DISTINCT doc_id, run FROM lined WHERE run IS NOT NULL UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4),
+        whole AS (SELECT doc_id, count(*) AS n, sha256(string_agg(run, chr(10) ORDER BY run)) AS runs FROM t GROUP BY doc_id),
+        sets AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY runs) AS representative FROM whole)"""
+
+
+def _near_pairs_sql(source: str, least: float) -> str:
+    return f"""
+        WITH {_near_sql(source)},
+        reps AS (SELECT doc_id, n, run FROM t JOIN sets USING (doc_id) WHERE doc_id = representative),
+        pairs AS (SELECT a.doc_id AS first_key, b.doc_id AS second_key, count(*) / (a.n + b.n - count(*)) AS jaccard
+                  FROM reps a JOIN reps b USING (run) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n)
+        SELECT first_key, second_key, round(jaccard, 6) AS jaccard FROM pairs WHERE jaccard >= {least}
+    """
+
+
+_MASKED_DOCS = f"(SELECT doc_id, {_MASKED} AS text FROM documents) AS masked"
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", masked_environment(F.coalesce("text", F.lit(""))).alias("masked"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("raw"))
+
+
+@query(_near_pairs_sql("documents", 0.8))
+def near_duplicates_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different texts that share four fifths of their five-word runs; near_duplicate_members has who stands for whom."""
+    return rounded(near.near_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", 0.8), "jaccard")
+
+
+@query(f"WITH {_near_sql('documents')} SELECT doc_id, representative FROM sets")
+def near_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.members(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+@query(_near_pairs_sql(_MASKED_DOCS, 0.98))
+def environment_forks_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that are nearly the same once environment is masked; environment_fork_members has those that are then the same."""
+    return rounded(near.near_pairs(_masked(spark, sf_dir), "doc_id", "masked", 0.98), "jaccard")
+
+
+@query(f"WITH {_near_sql(_MASKED_DOCS)} SELECT doc_id, representative, sha256(coalesce(text, '')) AS raw FROM sets JOIN documents USING (doc_id)")
+def environment_fork_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom a document's masked text is compared as; texts with one representative and different raw digests are forks."""
+    docs = _masked(spark, sf_dir)
+    found = near.members(docs, "doc_id", "masked").withColumnRenamed("key", "doc_id")
+    return found.join(docs.select("doc_id", "raw"), "doc_id")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers point to their orders, orders to parts and parts to suppliers."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
