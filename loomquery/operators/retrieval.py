@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,16 +64,47 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, id, score, rank: the k nearest by cosine. ``queries`` (query_id, q) is a stated small set, broadcast.
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
+    """query_id, id, score, rank: the k nearest by cosine, for any number of queries (query_id, q).
 
-    Norms are made once per row; candidates never move, only each task's best k do.
+    Queries and candidates are dealt into blocks of about ``block`` rows and every
+    pair of blocks meets in one task, which returns k rows of each query at most.
+    Scores are compared at nine decimals; ties go to the smaller id. Vectors that
+    are null or of length zero take no part.
     """
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    q = F.broadcast(queries.withColumn("q_norm", F.sqrt(dot(F.col("q"), F.col("q")))).withColumn("all", F.lit(1)))
-    pairs = v.withColumn("all", F.lit(1)).join(q, "all").filter((F.col("norm") > 0) & (F.col("q_norm") > 0))
-    scored = pairs.select("query_id", "id", (dot(F.col("v"), F.col("q")) / (F.col("norm") * F.col("q_norm"))).alias("score"))
-    return top_per_query(scored, k)
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null")
+    q = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).filter("q is not null")
+    by_candidate, by_query = (max(1, math.ceil(x.count() / block)) for x in (v, q))
+
+    def dealt(vector: str, name: str, blocks: int) -> Column:
+        return F.pmod(F.xxhash64(name, vector), F.lit(blocks)).cast("int")
+
+    def every(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    candidates = v.withColumn("c", dealt("v", "id", by_candidate)).select("*", every(by_query).alias("b"))
+    of = q.withColumn("b", dealt("q", "query_id", by_query)).select("*", every(by_candidate).alias("c"))
+    kinds = {name: frame.schema[name].dataType.simpleString() for frame, name in ((q, "query_id"), (v, "id"))}
+
+    def search(key: tuple, asked: pd.DataFrame, among: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"query_id": asked["query_id"][:0], "id": among["id"][:0], "score": np.zeros(0)})]
+        if asked.empty or among.empty:
+            return parts[0]
+        x, ids = np.array(among["v"].to_list(), np.float64), among["id"].to_numpy()
+        norms = np.sqrt((x * x).sum(axis=1))
+        x, ids = x[norms > 0] / norms[norms > 0][:, None], ids[norms > 0]
+        for at in range(0, len(asked), 256):
+            y, names = np.array(asked["q"].to_list()[at : at + 256], np.float64), asked["query_id"].to_numpy()[at : at + 256]
+            y_norms = np.sqrt((y * y).sum(axis=1))
+            y, names = y[y_norms > 0] / y_norms[y_norms > 0][:, None], names[y_norms > 0]
+            scores = y @ x.T
+            for name, score in zip(names, scores):
+                best = np.lexsort((ids, -np.round(score, 9)))[:k]
+                parts.append(pd.DataFrame({"query_id": name, "id": ids[best], "score": score[best]}))
+        return pd.concat(parts)
+
+    found = of.groupBy("b", "c").cogroup(candidates.groupBy("b", "c")).applyInPandas(search, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    return top_per_query(found, k, F.round("score", 9).desc(), F.col("id"))
 
 
 def service_score(cosine: Column) -> Column:

@@ -130,12 +130,12 @@ def analyze_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _cosine_sql(where: str) -> str:
+def _cosine_sql(where: str, which: str = "q.vec_id < 3") -> str:
     return f"""
         WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
         p AS (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_cosine_similarity(c.e, q.e) AS score
-            FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id < 3 {where}
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE {which} {where}
         )
         SELECT query_id, vec_id, rank, round(score, 6) AS score, round(1 / (2 - score), 6) AS service_score FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM p
@@ -143,8 +143,8 @@ def _cosine_sql(where: str) -> str:
     """
 
 
-def _cosine(vectors: DataFrame, asked_vectors: DataFrame) -> DataFrame:
-    queries = asked_vectors.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+def _cosine(vectors: DataFrame, asked_vectors: DataFrame, which: str = "vec_id < 3") -> DataFrame:
+    queries = asked_vectors.filter(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     near = retrieval.cosine_top_k(vectors, queries, 11).filter("id <> query_id").drop("rank")
     best = retrieval.top_per_query(near, 10, F.round("score", 9).desc(), F.col("id"))
     return rounded(best.select("query_id", F.col("id").alias("vec_id"), "rank", "score", retrieval.service_score(F.col("score")).alias("service_score")), "score", "service_score")
@@ -163,6 +163,19 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cosine(v.filter("label = 3"), v)
 
 
+@query(_cosine_sql("", "q.vec_id % 100 = 0"))
+def vector_topk_cosine_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector is a query: their number grows with the table."""
+    v = table(spark, sf_dir, "embeddings")
+    return _cosine(v, v, "vec_id % 100 = 0")
+
+
+@query(_cosine_sql("AND c.label = 3", "q.vec_id % 100 = 0"))
+def vector_topk_filtered_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return _cosine(v.filter("label = 3"), v, "vec_id % 100 = 0")
+
+
 @query("""
     SELECT doc_id, lang, position FROM (
         SELECT doc_id, lang, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS position FROM documents WHERE lang IN ('de', 'fr')
