@@ -51,6 +51,39 @@ def clone_runs(files: DataFrame, key: str, text: str, lines: int = 6) -> DataFra
     return pairs.withColumn("island", island).groupBy("key", "source_key", "offset", "island").agg(F.min("line_no").alias("start_line"), F.min("source_line").alias("source_start"), (F.count(F.lit(1)) + lines - 1).alias("n_lines")).drop("offset", "island")
 
 
+def text_classes(files: DataFrame, key: str, text: str) -> DataFrame:
+    """key, representative: the smallest key with the same text."""
+    own = files.select(F.col(key).alias("key"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
+    return own.join(own.groupBy("digest").agg(F.min("key").alias("representative")), "digest").select("key", "representative")
+
+
+def representatives(files: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text of one file of each distinct text."""
+    first = text_classes(files, key, text).filter("key = representative").select("key")
+    return files.select(F.col(key).alias("key"), F.col(text).alias("text")).join(first, "key", "left_semi")
+
+
+def block_members(files: DataFrame, key: str, text: str, lines: int = 6) -> DataFrame:
+    """block, key, at, line_no: every place of each block that two distinct texts hold, copies folded to their representative."""
+    own = blocks(representatives(files, key, text), "key", "text", lines)
+    shared = own.groupBy("block").agg(F.min("key").alias("_least"), F.max("key").alias("_most")).filter("_least < _most")
+    return own.join(shared.select("block"), "block", "left_semi").select("block", "key", "at", "line_no")
+
+
+def clone_pairs(files: DataFrame, key: str, text: str, lines: int = 6) -> DataFrame:
+    """key, start_line, source_key < key, source_start, n_lines: the maximal runs of lines that two distinct texts share.
+
+    Every place of a block meets every other one of another text, so no link
+    depends on which file came first; n texts with one block give n (n - 1) / 2
+    rows, as many as there are links. ``text_classes`` has the copies.
+    """
+    own = block_members(files, key, text, lines)
+    source = own.select("block", F.col("key").alias("source_key"), F.col("at").alias("source_at"), F.col("line_no").alias("source_line"))
+    pairs = own.join(source, "block").filter("source_key < key").withColumn("offset", F.col("at") - F.col("source_at"))
+    island = F.col("at") - F.row_number().over(Window.partitionBy("key", "source_key", "offset").orderBy("at"))
+    return pairs.withColumn("island", island).groupBy("key", "source_key", "offset", "island").agg(F.min("line_no").alias("start_line"), F.min("source_line").alias("source_start"), (F.count(F.lit(1)) + lines - 1).alias("n_lines")).drop("offset", "island")
+
+
 def clone_summary(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count(F.lit(1)).alias("clones"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("lines"), F.countDistinct("key").alias("files"))
 

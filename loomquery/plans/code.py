@@ -41,6 +41,44 @@ def block_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("key", "source_key", F.col("start_line").cast("long").alias("start_line"), F.col("source_start").cast("long").alias("source_start"), "n_lines")
 
 
+_PLACES = """
+    c AS (SELECT doc_id, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS representative FROM documents),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM c WHERE doc_id = representative),
+    s AS (SELECT doc_id, no, line, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS place FROM (SELECT doc_id, no, trim(regexp_replace(line, '\\s+#.*$', ''), ' ') AS line FROM l) WHERE line <> ''),
+    b AS (SELECT doc_id, place, no, array_to_string([line, lead(line, 1) OVER o, lead(line, 2) OVER o, lead(line, 3) OVER o, lead(line, 4) OVER o, lead(line, 5) OVER o], chr(10)) AS block,
+                 lead(line, 5) OVER o AS last FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
+    k AS (SELECT doc_id, place, no, block FROM b WHERE last IS NOT NULL),
+    m AS (SELECT * FROM k WHERE block IN (SELECT block FROM k GROUP BY block HAVING min(doc_id) < max(doc_id)))"""
+
+
+@query(f"WITH {_PLACES} SELECT doc_id, representative FROM c")
+def text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clones.text_classes(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+@query(f"""
+    WITH {_PLACES}
+    SELECT min(doc_id) OVER (PARTITION BY block) AS first_key, first_value(place) OVER (PARTITION BY block ORDER BY doc_id, place) AS first_at, doc_id AS key, place AS at FROM m
+""")
+def block_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of a block that two texts hold; the block is named by its first place."""
+    own = clones.block_members(table(spark, sf_dir, "documents"), "doc_id", "text")
+    first = own.groupBy("block").agg(F.min(F.struct("key", "at")).alias("first"))
+    return own.join(first, "block").select(F.col("first.key").alias("first_key"), F.col("first.at").cast("long").alias("first_at"), "key", F.col("at").cast("long").alias("at"))
+
+
+@query(f"""
+    WITH {_PLACES},
+    p AS (SELECT a.doc_id AS key, a.place, a.no, z.doc_id AS source_key, z.no AS source_line, a.place - z.place AS shift FROM m a JOIN m z ON a.block = z.block AND z.doc_id < a.doc_id),
+    i AS (SELECT *, place - row_number() OVER (PARTITION BY key, source_key, shift ORDER BY place) AS island FROM p)
+    SELECT key, source_key, CAST(min(no) AS BIGINT) AS start_line, CAST(min(source_line) AS BIGINT) AS source_start, count(*) + 5 AS n_lines FROM i GROUP BY key, source_key, shift, island
+""")
+def block_clone_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal shared runs of every two distinct texts, whichever came first."""
+    runs = clones.clone_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return runs.select("key", "source_key", F.col("start_line").cast("long").alias("start_line"), F.col("source_start").cast("long").alias("source_start"), "n_lines")
+
+
 def _runs_sql(name: str, key: str, source: str) -> str:
     words = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
     after = " || ' ' || ".join(["w", *(f"lead(w, {i}) OVER o" for i in range(1, 5))])
