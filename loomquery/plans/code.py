@@ -226,6 +226,36 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(follows, 3)
 
 
+def _follows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    pairs = table(spark, sf_dir, "events").select(F.col("event_type").alias("src"), after.alias("dst"))
+    return pairs.filter("dst is not null").distinct()
+
+
+@query(f"""
+    WITH RECURSIVE {_FOLLOWS},
+    w AS (SELECT src AS first, dst AS last, [src, dst] AS path FROM e WHERE src < dst
+          UNION ALL SELECT w.first, e.dst, list_append(w.path, e.dst) FROM w JOIN e ON e.src = w.last WHERE e.dst > w.first AND NOT list_contains(w.path, e.dst))
+    SELECT array_to_string(path, '>') AS cycle, CAST(len(path) AS INTEGER) AS nodes FROM w JOIN e ON e.src = w.last AND e.dst = w.first
+""")
+def cycles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simple cycles of any length: up to the number of event types."""
+    follows = _follows(spark, sf_dir)
+    kinds = follows.select(F.explode(F.array("src", "dst")).alias("node")).distinct().count()
+    return graph.cycles(follows, max(2, kinds))
+
+
+@query(f"""
+    WITH RECURSIVE {_FOLLOWS},
+    nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+    r AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)
+    SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a
+""")
+def cycle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node's strongly connected component: cycles lie within one, also where they are too many to list."""
+    return graph.strong_components(_follows(spark, sf_dir))
+
+
 @query("""
     SELECT p_partkey AS file, p_type AS module, min(r_name) AS target FROM part, region
     WHERE r_name IN (string_split(p_type, ' ')[1], string_split(p_type, ' ')[-1]) GROUP BY ALL
