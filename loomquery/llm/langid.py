@@ -78,13 +78,30 @@ class LanguageFilters:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language with most n-grams after the expected false hits are taken off, and its share."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """As ``predict``, and the share of all n-grams of the text that the language is held to know."""
         clean = letters(text)
         if not clean or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         count, total = self.hits(clean)
         real = np.maximum(0.0, (count - total * self.false_rate) / np.maximum(1e-9, 1 - self.false_rate))
         best = int(np.argmax(real))
-        return self.langs[best], float(real[best] / real.sum()) if real.sum() > 0 else 0.0
+        return self.langs[best], float(real[best] / real.sum()) if real.sum() > 0 else 0.0, float(real[best] / total)
+
+
+def draw(labelled: DataFrame, text_col: str, lang_col: str, key_col: str, per_language: int) -> tuple[DataFrame, list[str]]:
+    """lang, text of about ``per_language`` rows of each language (all, if fewer), by key hash; and the languages."""
+    rows = labelled.select(F.col(key_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
+    # A uniform draw against each language's share: no window, so the most frequent language is in no single task.
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "lang"), F.lit(DRAWS)))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
+    langs = [r["lang"] for r in sizes]
+    if not langs:
+        return rows.select("lang", "text"), []
+    limit = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(math.ceil(DRAWS * min(1.0, per_language / r["n"]))))])
+    return rows.filter(F.col("draw") < limit[F.col("lang")]).select("lang", "text"), langs
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 1500, distinctive: float = 0.25) -> LanguageFilters:
@@ -95,15 +112,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     is most frequent. Counting runs on the cluster; what reaches the driver is
     one mask per filter slot, 2^20 for every 64 languages at most.
     """
-    rows = labelled.select(F.col(key_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    # A uniform draw against each language's share: no window, so the most frequent language is in no single task.
-    rows = rows.withColumn("draw", F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "lang"), F.lit(DRAWS)))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
-    langs = [r["lang"] for r in sizes]
+    sample, langs = draw(labelled, text_col, lang_col, key_col, per_language)
     if not langs:
         return LanguageFilters([], np.zeros((1, 1 << SLOT_BITS), np.uint64))
-    limit = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(math.ceil(DRAWS * min(1.0, per_language / r["n"]))))])
-    sample = rows.filter(F.col("draw") < limit[F.col("lang")])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -130,18 +141,33 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     return LanguageFilters(langs, table)
 
 
-def identify(df: DataFrame, filters: LanguageFilters, text_col: str = "text"):
-    """A column of (lang, score) for a text column. The filters' size is fixed: 8 MB for every 64 languages.
+def identify(df: DataFrame, filters: LanguageFilters, text_col: str = "text", share: bool = False):
+    """A column of (lang, score), and on demand the share of known n-grams, for a text column. The filters' size is fixed: 8 MB for every 64 languages.
 
     Null text and text without a letter give ("und", 0); texts of any length
     are read whole. Ties fall to the language first in the alphabet.
     """
     shared = df.sparkSession.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("lang string, score double")
+    names = ["lang", "score", "share"] if share else ["lang", "score"]
+
+    @F.pandas_udf("lang string, score double" + (", share double" if share else ""))
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for batch in texts:
-            yield pd.DataFrame([model.predict(t) for t in batch], columns=["lang", "score"])
+            yield pd.DataFrame([model.judge(t)[: len(names)] for t in batch], columns=names)
 
     return predict(F.col(text_col).cast("string"))
+
+
+def floors(labelled: DataFrame, filters: LanguageFilters, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 1500, part: float = 0.5) -> dict[str, float]:
+    """For each language the least share of known n-grams that still counts as it.
+
+    This is ``part`` of the median over the labelled sample, or its hundredth
+    part from below where that is less: of a language's labelled rows at least
+    99 in 100 stay, and of a sample too small to know its own n-grams all.
+    """
+    sample, _ = draw(labelled, text_col, lang_col, key_col, per_language)
+    told = sample.withColumn("share", identify(sample, filters, share=True)["share"])
+    found = told.groupBy("lang").agg(F.median("share").alias("middle"), F.percentile_approx("share", 0.01).alias("low")).collect()
+    return {r["lang"]: min(part * r["middle"], r["low"]) for r in found}
