@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loomquery.operators.clones import with_shingles
 
 #: Shingles are counted in so many slots; the counts only fix an order, so that clashes cost time and no pair.
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
