@@ -19,20 +19,23 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import chain
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomquery.llm.common import cut
+from loomquery.llm.common import cut, partitions
 
 BLANK = "▁"
 NEVER = -math.inf
 CHUNK = 16_384
-SHORT = 40  # characters of a word
+FAN = 16  # matrices that one product takes
+SHORT = 40  # characters of a word that is merged; longer ones walk the lattice, in time that grows with the length only
+KEPT = 400_000  # words that a task remembers
+LONGEST_KEPT = 64  # characters of a word that is remembered
+UNJOINED = np.int32(2**31 - 1)  # rank of neighbours that make no piece
 State = tuple[int, int]  # begin and end of a piece, relative to a boundary
 
 
@@ -64,18 +67,53 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += 8 if kind == 1 else 4
 
 
-class Words(dict):
-    """The ids of words met so far, each with the blank before it."""
+class Lexicon(dict):
+    """Numbers for the words met so far; their ids stand one after another in a flat array.
+
+    A key is a word without the blank before it. One with several blanks before
+    it is its own key, and one without any has a blank behind it as its mark.
+    """
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        own = self.pieces.word(BLANK + word)
-        if len(word) <= 64:
-            self[word] = own
+        self.fresh: list[str] = []
+        self.count = 0
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.length = np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def __missing__(self, key: str) -> int:
+        own = self[key] = self.count
+        self.count += 1
+        self.fresh.append(key)
         return own
 
+    def settle(self) -> None:
+        """Encode all new words at once."""
+        if not self.fresh:
+            return
+        ids, length = self.pieces.words_ids([k[:-1] if k[-1:] == BLANK and k[0] != BLANK else k if k[:1] == BLANK else BLANK + k for k in self.fresh])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, self.ids])
+        while self.count > len(self.start):
+            self.start, self.length = np.concatenate([self.start] * 2), np.concatenate([self.length] * 2)
+        first = self.count - len(self.fresh)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[first : self.count] = self.used + np.cumsum(length) - length
+        self.length[first : self.count] = length
+        self.used += len(ids)
+        for key in self.fresh:
+            if len(key) > LONGEST_KEPT:
+                del self[key]
+        self.fresh = []
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of settled words one after another, and how many each word has."""
+        length = self.length[numbers]
+        begin = np.cumsum(length) - length
+        return self.ids[np.repeat(self.start[numbers] - begin, length) + np.arange(int(length.sum()))], length
+
 
 @dataclass
 class Pieces:
@@ -88,15 +126,16 @@ class Pieces:
     unknown: int
     bpe: bool
     prefix: bool  # a blank is put before the text
-    longest: int = 0
+    longest: int
+    utf8: list[bytes]  # of each id
+    symbols: np.ndarray  # of a character: its id, or len(by_id) plus the code point if it is no piece
+    pairs: np.ndarray  # two symbols that make a piece, in order
+    pair_rank: np.ndarray  # best first from 0; of pieces of one score the leftmost is merged first
+    pair_piece: np.ndarray
     agreed: dict[tuple[str, str], bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        """What is derived from the pieces: their plain texts (a byte below 128 is a character), and the ids of the other bytes."""
-        self.words = Words(self)
-        self.texts = [chr(self.bytes_[i]) if self.bytes_.get(i, 128) < 128 else p.replace(BLANK, " ") for i, p in enumerate(self.by_id)]
-        high = [i for i, b in self.bytes_.items() if b >= 128]
-        self.high_bytes = (min(high), max(high)) if high else (0, -1)
+        self.lexicon = Lexicon(self)
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -116,10 +155,20 @@ class Pieces:
     @classmethod
     def of(cls, scores: dict[str, float], by_id: list[str], bytes_: dict[int, int], unknown: int, bpe: bool, prefix: bool = True) -> Pieces:
         ids = {p: i for i, p in enumerate(by_id) if p in scores}
-        return cls(scores, ids, by_id, bytes_, unknown, bpe, prefix, max(map(len, scores)))
-
-    def __reduce__(self) -> tuple:
-        return Pieces, (self.scores, self.ids, self.by_id, self.bytes_, self.unknown, self.bpe, self.prefix, self.longest)
+        utf8 = [bytes([bytes_[i]]) if i in bytes_ else p.replace(BLANK, " ").encode("utf-8", "surrogatepass") for i, p in enumerate(by_id)]
+        symbols = np.arange(0x110000, dtype=np.int32) + np.int32(len(by_id))
+        for p, i in ids.items():
+            if len(p) == 1:
+                symbols[ord(p)] = i
+        level = {x: place for place, x in enumerate(sorted({scores[p] for p in ids}, reverse=True))}
+        joined = sorted((ids[p[:n]] << 21 | ids[p[n:]], level[scores[p]], i) for p, i in ids.items() for n in range(1, len(p)) if p[:n] in ids and p[n:] in ids) if bpe else []
+        pairs = np.array([k for k, _, _ in joined] or [-1], np.int64)
+        ranks, made = np.array([r for _, r, _ in joined] or [UNJOINED], np.int32), np.array([i for _, _, i in joined] or [0], np.int32)
+        return cls(scores, ids, by_id, bytes_, unknown, bpe, prefix, max(map(len, scores)), utf8, symbols, pairs, ranks, made)
+
+    def plain(self) -> tuple:
+        """What the pieces are rebuilt from in a task, none of it of a class of this package."""
+        return tuple(getattr(self, f.name) for f in fields(self) if f.name != "agreed")
 
     # Text and pieces
 
@@ -209,38 +258,107 @@ class Pieces:
             end = begin
         return out[::-1]
 
-    def word(self, text: str) -> tuple[int, ...]:
-        """Ids of a text between two places that no piece crosses.
+    def word(self, text: str) -> list[int]:
+        """Ids of a text between two places that no piece crosses, by walking the lattice."""
+        pieces = self.trace(text, self.walk(text, 0, 0, len(text))[0], 0, len(text))
+        return [x for piece in pieces for x in self.piece_ids(piece)]
 
-        A BPE lattice has a single path: in a short word merging finds it
-        sooner than the walk, whose time grows with the length only.
+    def rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranks of neighbouring symbols, best first from 0, and where they stand in the table of pairs."""
+        key = left.astype(np.int64) << 21 | right
+        at = np.searchsorted(self.pairs, key)
+        at[at == len(self.pairs)] = 0
+        return np.where(self.pairs[at] == key, self.pair_rank[at], UNJOINED), at
+
+    def merged_rows(self, s: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """BPE of words of one length, a row of symbols each: (rows, their symbols) as they are finished.
+
+        Every round merges the leftmost best neighbours of each row, so all rows
+        that are left have one symbol less.
         """
-        if self.bpe and len(text) <= SHORT:
-            pieces = self.merged(text)
-        else:
-            pieces = self.trace(text, self.walk(text, 0, 0, len(text))[0], 0, len(text))
-        return tuple(x for piece in pieces for x in self.piece_ids(piece))
+        row = np.arange(len(s))
+        r, at = self.rank(s[:, :-1], s[:, 1:])
+        while len(row) and s.shape[1] > 1:
+            best = r.argmin(axis=1)
+            here = np.arange(len(row))
+            stuck = r[here, best] == UNJOINED
+            if stuck.any():
+                yield row[stuck], s[stuck]
+                go = ~stuck
+                row, s, r, at, best = row[go], s[go], r[go], at[go], best[go]
+                here = here[: len(row)]
+            joined = self.pair_piece[at[here, best]]
+            column = np.arange(s.shape[1] - 1)
+            s = np.take_along_axis(s, column + (column > best[:, None]), axis=1)
+            s[here, best] = joined
+            column = column[:-1] + (column[:-1] >= best[:, None])
+            r, at = np.take_along_axis(r, column, axis=1), np.take_along_axis(at, column, axis=1)
+            for rows, left in ((np.flatnonzero(best > 0), -1), (np.flatnonzero(best < s.shape[1] - 1), 0)):
+                place = best[rows] + left
+                r[rows, place], at[rows, place] = self.rank(s[rows, place], s[rows, place + 1])
+        if len(row):
+            yield row, s
+
+    def words_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words one after another, and how many each has."""
+        n_chars = np.array(list(map(len, words)))
+        start = np.cumsum(n_chars) - n_chars
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        walked = n_chars > SHORT if self.bpe else np.ones(len(words), bool)
+        if not walked.all():
+            symbols = self.symbols[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            for n in np.unique(n_chars[~walked]).tolist():
+                rows = np.flatnonzero(n_chars == n)
+                found += [(rows[own], s) for own, s in self.merged_rows(symbols[start[rows][:, None] + np.arange(n)])]
+        found += [(np.array([i]), np.array([self.word(words[i])], np.int32)) for i in np.flatnonzero(walked)]
+        length = np.zeros(len(words), np.int64)
+        for rows, s in found:
+            length[rows] = s.shape[1]
+        begin = np.cumsum(length) - length
+        flat = np.zeros(int(length.sum()), np.int32)
+        for rows, s in found:
+            flat[begin[rows][:, None] + np.arange(s.shape[1])] = s
+        odd = np.flatnonzero(flat >= len(self.by_id))  # characters that are no piece
+        if len(odd):
+            codes, of = np.unique(flat[odd] - len(self.by_id), return_inverse=True)
+            own = [self.piece_ids(chr(c)) for c in codes.tolist()]
+            times = np.ones(len(flat), np.int64)
+            times[odd] = np.array([len(x) for x in own])[of]
+            place = np.cumsum(times) - times
+            word = np.repeat(np.arange(len(words)), length)
+            flat, length = np.repeat(flat, times), np.bincount(word, times, minlength=len(words)).astype(np.int64)
+            for i, ids in enumerate(own):
+                for j, x in enumerate(ids):
+                    flat[place[odd[of == i]] + j] = x
+        return flat, length
+
+    def keys(self, text: str) -> list[str]:
+        """The words of a whole text as the lexicon names them. No piece has a blank after another character, so none crosses two of them."""
+        if self.prefix and text and text[0] != " " and "  " not in text and BLANK not in text:
+            return text.split(" ")
+        return self.keys_of(self.normal(text))
+
+    def keys_of(self, normal: str) -> list[str]:
+        if normal[:1] == BLANK and BLANK * 2 not in normal:
+            return normal.split(BLANK)[1:]
+        return [w + BLANK if w[0] != BLANK else w if w[1:2] == BLANK else w[1:] for w in _WORDS.findall(normal)]
+
+    def encode_all(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Ids of many texts, given by their keys; new words of all of them are encoded together and remembered."""
+        if self.lexicon.count > KEPT:
+            self.lexicon = Lexicon(self)
+        known = self.lexicon
+        numbers = [np.fromiter(map(known.__getitem__, keys), np.int64, len(keys)) for keys in texts]
+        known.settle()
+        ids, length = known.ids_of(np.concatenate([np.zeros(0, np.int64), *numbers]))
+        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum([0, *map(len, numbers)])]
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
     def encode(self, text: str) -> np.ndarray:
-        """A whole text: no piece has a blank after another character, so words are encoded one by one and remembered."""
-        known = self.words
-        if len(known) > 400_000:
-            known.clear()
-        if self.prefix and text and text[0] != " " and "  " not in text and BLANK not in text:
-            return np.fromiter(chain.from_iterable(map(known.__getitem__, text.split(" "))), np.int32)
-        return np.fromiter(chain.from_iterable(map(self.word, _WORDS.findall(self.normal(text)))), np.int32)
+        return self.encode_all([self.keys(text)])[0]
 
     def decode(self, ids: np.ndarray, first: bool = True) -> str:
-        """The text of some pieces; ``first``: they open a document, whose added blank goes."""
-        if self.bytes_ and ((ids >= self.high_bytes[0]) & (ids <= self.high_bytes[1])).any():
-            raw = bytearray()
-            for i in ids.tolist():
-                own = self.bytes_.get(i)
-                raw += bytes([own]) if own is not None else self.texts[i].encode("utf-8", "surrogatepass")
-            text = raw.decode("utf-8", "replace")
-        else:
-            text = "".join(map(self.texts.__getitem__, ids.tolist()))
-        return text[1:] if first and self.prefix and text.startswith(" ") else text
+        return text_of(self.utf8, ids, first and self.prefix)
 
     # Chunks
 
@@ -317,80 +435,162 @@ class Pieces:
             elif best[begin - at] > NEVER:
                 out[k] = best[begin - at] + self.weight(text[begin:end])
 
-    def emit(self, text: str, low: int, high: int, entry: State, leave: State) -> list[int]:
-        """Ids of the pieces from the end of the entry state to the end of the exit state."""
+    def emit(self, text: str, low: int, high: int, entry: State, leave: State) -> tuple[list[int], list[str], list[int]]:
+        """The pieces from the end of the entry state to the end of the exit state: ids, then words (as keys), then ids."""
         at, end, begin = low + entry[1], high + leave[1], high + leave[0]
         if begin < at:
-            return []
-        head = at
-        out: list[int] = []
+            return [], [], []
+        last = list(self.piece_ids(text[begin:end]))
         cut_at = self.cuts(text, at, begin)
-        if cut_at is not None:
-            head, tail = cut_at
-            back, _ = self.walk(text, low + entry[0], at, head)
-            out += [x for piece in self.trace(text, back, at, head) for x in self.piece_ids(piece)]
-            for w in _WORDS.findall(text[head:tail]):
-                out += self.word(w)
-            back, _ = self.walk(text, tail, tail, begin)
-            out += [x for piece in self.trace(text, back, tail, begin) for x in self.piece_ids(piece)]
-        else:
+        if cut_at is None:
             back, _ = self.walk(text, low + entry[0], at, begin)
-            out += [x for piece in self.trace(text, back, at, begin) for x in self.piece_ids(piece)]
-        return [*out, *self.piece_ids(text[begin:end])]
+            return [x for piece in self.trace(text, back, at, begin) for x in self.piece_ids(piece)], [], last
+        head, tail = cut_at
+        back, _ = self.walk(text, low + entry[0], at, head)
+        before = [x for piece in self.trace(text, back, at, head) for x in self.piece_ids(piece)]
+        back, _ = self.walk(text, tail, tail, begin)
+        after = [x for piece in self.trace(text, back, tail, begin) for x in self.piece_ids(piece)]
+        return before, self.keys_of(text[head:tail]), after + last
+
+    def emit_all(self, chunks: list[tuple[str, int, int, State, State]]) -> list[np.ndarray]:
+        """Ids of many chunks whose states are known."""
+        parts = [self.emit(*c) for c in chunks]
+        middle = self.encode_all([keys for _, keys, _ in parts])
+        return [np.concatenate([before, own, after]).astype(np.int32) for (before, _, after), own in zip(parts, middle)]
 
 
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 _CUTS = re.compile(f"[^{BLANK}](?={BLANK})")
 
 
+def text_of(utf8: list[bytes], ids: np.ndarray, opening: bool) -> str:
+    """The text of some pieces; ``opening``: they open a document, whose added blank goes."""
+    text = b"".join(map(utf8.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    return text[1:] if opening and text.startswith(" ") else text
+
+
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def best_states(chunks: list[tuple[list[State], list[State], np.ndarray]]) -> list[tuple[State, State]]:
-    """Entry and exit state of every chunk on the best path through all matrices."""
-    vectors = [np.zeros((1, 1))]
-    for _, _, matrix in chunks:
+Transfer = tuple[list[State], list[State], np.ndarray]
+
+
+def product(parts: list[Transfer]) -> Transfer:
+    """The transfer of neighbouring parts taken together."""
+    matrix = parts[0][2]
+    for _, _, own in parts[1:]:
+        matrix = combine(matrix, own)
+    return parts[0][0], parts[-1][1], matrix
+
+
+def best_states(parts: list[Transfer], entry: State | None = None, leave: State | None = None) -> list[tuple[State, State]]:
+    """Entry and exit state of every part on the best path, between two given states or whichever are best."""
+    first = np.zeros((1, len(parts[0][0])))
+    if entry is not None:
+        first[0, [s != entry for s in parts[0][0]]] = NEVER
+    vectors = [first]
+    for _, _, matrix in parts:
         vectors.append(combine(vectors[-1], matrix))
-    at = int(np.argmax(vectors[-1][0]))
+    at = int(np.argmax(vectors[-1][0])) if leave is None else parts[-1][1].index(leave)
     out = []
-    for (entries, exits, matrix), before in zip(reversed(chunks), reversed(vectors[:-1])):
+    for (entries, exits, matrix), before in zip(reversed(parts), reversed(vectors[:-1])):
         came = int(np.argmax(before[0] + matrix[:, at]))
         out.append((entries[came], exits[at]))
         at = came
     return out[::-1]
 
 
+MATRIX = "row_no long, node long, entries array<int>, exits array<int>, weights array<double>"
+
+
+def flat(row_no: object, node: object, parts: list[Transfer]) -> pd.DataFrame:
+    return pd.DataFrame({"row_no": row_no, "node": node, "entries": [np.array(e, np.int32).ravel() for e, _, _ in parts], "exits": [np.array(x, np.int32).ravel() for _, x, _ in parts], "weights": [m.ravel() for _, _, m in parts]})
+
+
+def unflat(rows: pd.DataFrame) -> list[Transfer]:
+    out = []
+    for e, x, w in zip(rows["entries"], rows["exits"], rows["weights"]):
+        entries, exits = ([tuple(p) for p in np.asarray(v).reshape(-1, 2).tolist()] for v in (e, x))
+        out.append((entries, exits, np.asarray(w, float).reshape(len(entries), len(exits))))
+    return out
+
+
+def scan(transfers: DataFrame, fan: int = FAN) -> DataFrame:
+    """row_no, node, a, b, c, d: entry (a, b) and exit (c, d) of every chunk on its document's best path.
+
+    ``transfers`` has one row per chunk (node 0, 1, ... of a row_no). On the way
+    up ``fan`` neighbours at a time become one product, until each document has
+    at most ``fan`` of them; there the best states are chosen, and on the way
+    down each product's states decide those of its members. No task ever has
+    more than ``fan`` matrices of a group, however long a document is.
+    """
+    n = partitions(transfers.sparkSession)
+
+    def up(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return flat(key[0], key[1], [product(unflat(rows.sort_values("node")))])
+
+    def down(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        a, b, c, d = rows[["a", "b", "c", "d"]].iloc[0]
+        chosen = best_states(unflat(rows)) if pd.isna(a) else best_states(unflat(rows), (int(a), int(b)), (int(c), int(d)))
+        found = np.array([[*e, *x] for e, x in chosen], np.int32).reshape(-1, 4)
+        return pd.DataFrame({"row_no": key[0], "node": rows["node"].to_numpy(), "a": found[:, 0], "b": found[:, 1], "c": found[:, 2], "d": found[:, 3]})
+
+    def grouped(level: DataFrame):
+        # A number of partitions is given, as these rows are small and slow: they must not be put together into one task.
+        return level.repartition(n, "row_no", "above").groupBy("row_no", "above")
+
+    def above(level: DataFrame) -> DataFrame:
+        return level.withColumn("above", F.floor(F.col("node") / fan))
+
+    levels = [transfers]
+    width = (transfers.agg(F.max("node")).first()[0] or 0) + 1
+    while width > fan:
+        levels.append(cut(grouped(above(levels[-1])).applyInPandas(up, MATRIX), "piece-products"))
+        width = -(-width // fan)
+    states = None
+    for level in reversed(levels):
+        own = above(level)
+        if states is None:
+            own = own.select("*", *[F.lit(None).cast("int").alias(c) for c in "abcd"])
+        else:
+            own = own.join(states.withColumnRenamed("node", "above"), ["row_no", "above"])
+        states = grouped(own).applyInPandas(down, "row_no long, node long, a int, b int, c int, d int")
+    return states
+
+
 ENCODED = "doc_id long, row_no long, chunk int, ids array<int>, covered string"
 
 
-def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """Encode whole texts: doc_id, row_no, chunk, ids, covered (the stretch of the text that the ids stand for).
 
     Texts of up to ``chunk`` characters are encoded in place and have one row.
     Longer ones are cut into chunks that are spread over the cluster; they have
     one row for each chunk, so a giant document never stands in one task as a
-    list of ids. Only its matrices (at most some 10 KB a chunk) meet.
+    list of ids. Only matrices (at most some 10 KB each) meet, ``fan`` at a time.
 
     A null or empty text has one row without ids. Rows that repeat an id differ
-    in row_no. Characters that the model doesn't have become bytes. An empty
-    table gives an empty result; other columns are ignored.
+    in row_no. Characters that the model doesn't have become bytes. U+2581 is a
+    blank to the model, so ``covered`` has a blank in its place. An empty table
+    gives an empty result; other columns are ignored.
     """
-    shared = df.sparkSession.sparkContext.broadcast(pieces)
+    shared = df.sparkSession.sparkContext.broadcast(pieces.plain())
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     long = F.length("text") > chunk
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        own = Pieces(*shared.value)
         for batch in batches:
             for low in range(0, len(batch), 512):
                 part = batch.iloc[low : low + 512]
-                ids = [own.encode(t) for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "row_no": part["row_no"], "chunk": np.int32(0), "ids": ids, "covered": part["text"]})
+                ids = own.encode_all([own.keys(t) for t in part["text"]])
+                yield pd.DataFrame({"doc_id": part["doc_id"], "row_no": part["row_no"], "chunk": np.int32(0), "ids": ids, "covered": part["text"].str.replace(BLANK, " ")})
 
     def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        own = Pieces(*shared.value)
         side = 2 * own.longest
         for batch in batches:
             for doc_id, row_no, text in zip(batch["doc_id"], batch["row_no"], batch["text"]):
@@ -405,32 +605,20 @@ def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
     )
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        own = Pieces(*shared.value)
         for batch in batches:
-            out = [own.transfer(part, low, high, nth == 0) for part, low, high, nth in zip(batch["part"], batch["low"], batch["high"], batch["chunk"])]
-            yield pd.DataFrame({"row_no": batch["row_no"], "chunk": batch["chunk"], "entries": [np.array(e, np.int32).ravel() for e, _, _ in out], "exits": [np.array(x, np.int32).ravel() for _, x, _ in out], "weights": [m.ravel() for _, _, m in out]})
-
-    def scan(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        parts = []
-        for e, x, w in zip(group["entries"], group["exits"], group["weights"]):
-            entries, exits = ([tuple(p) for p in np.asarray(v).reshape(-1, 2).tolist()] for v in (e, x))
-            parts.append((entries, exits, np.asarray(w, float).reshape(len(entries), len(exits))))
-        states = best_states(parts)
-        flat = np.array([[*a, *b] for a, b in states], np.int32).reshape(-1, 4)
-        return pd.DataFrame({"row_no": key[0], "chunk": group["chunk"].to_numpy(), "a": flat[:, 0], "b": flat[:, 1], "c": flat[:, 2], "d": flat[:, 3]})
-
-    transfers = chunks.mapInPandas(matrices, "row_no long, chunk int, entries array<int>, exits array<int>, weights array<double>")
-    states = transfers.groupBy("row_no").applyInPandas(scan, "row_no long, chunk int, a int, b int, c int, d int")
+            yield flat(batch["row_no"], batch["chunk"], [own.transfer(part, low, high, nth == 0) for part, low, high, nth in zip(batch["part"], batch["low"], batch["high"], batch["chunk"])])
+
+    states = scan(cut(chunks.mapInPandas(matrices, MATRIX), "piece-transfers"), fan).withColumnRenamed("node", "chunk")
 
     def pieces_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for batch in batches:
-            ids, covered = [], []
-            for part, low, high, nth, a, b, c, d in zip(*(batch[x] for x in ("part", "low", "high", "chunk", "a", "b", "c", "d"))):
-                ids.append(np.array(own.emit(part, low, high, (a, b), (c, d)), np.int32))
-                covered.append(part[low + b : high + d].replace(BLANK, " ")[1 if nth == 0 and own.prefix else 0 :])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "row_no": batch["row_no"], "chunk": batch["chunk"], "ids": ids, "covered": covered})
+        own = Pieces(*shared.value)
+        for whole in batches:
+            for at in range(0, len(whole), 64):
+                batch = whole.iloc[at : at + 64]
+                parts = [(part, low, high, (a, b), (c, d)) for part, low, high, a, b, c, d in zip(*(batch[x] for x in ("part", "low", "high", "a", "b", "c", "d")))]
+                covered = [part[low + e[1] : high + x[1]].replace(BLANK, " ")[1 if nth == 0 and own.prefix else 0 :] for (part, low, high, e, x), nth in zip(parts, batch["chunk"])]
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "row_no": batch["row_no"], "chunk": batch["chunk"], "ids": own.emit_all(parts), "covered": covered})
 
     giant = chunks.join(states, ["row_no", "chunk"]).select("doc_id", "row_no", "chunk", "low", "high", "part", "a", "b", "c", "d").mapInPandas(pieces_of, ENCODED)
     return rows.filter(~long).mapInPandas(whole, ENCODED).unionByName(giant)
@@ -441,11 +629,12 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
 
     Null ids count as none; ids outside the model fail the query.
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces)
+    shared = encoded.sparkSession.sparkContext.broadcast((pieces.utf8, pieces.prefix))
 
     @F.pandas_udf("string")
-    def text(ids: pd.Series, chunk: pd.Series) -> pd.Series:
-        own = shared.value
-        return pd.Series([own.decode(np.zeros(0, np.int32) if i is None else np.asarray(i), c == 0) for i, c in zip(ids, chunk)])
+    def text(ids: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        utf8, prefix = shared.value
+        for own, chunk in ids:
+            yield pd.Series([text_of(utf8, np.zeros(0, np.int32) if i is None else np.asarray(i), prefix and c == 0) for i, c in zip(own, chunk)])
 
     return encoded.withColumn("decoded", text("ids", "chunk"))

@@ -135,7 +135,7 @@ def chunked(model, text, chunk):
         high, left = min(low + chunk, len(s)), max(0, low - side)
         parts.append((s[left : high + side], low - left, high - left, nth == 0))
     states = sp.best_states([model.transfer(*p) for p in parts])
-    return [x for (t, low, high, _), (e, q) in zip(parts, states) for x in model.emit(t, low, high, e, q)]
+    return np.concatenate(model.emit_all([(t, low, high, e, q) for (t, low, high, _), (e, q) in zip(parts, states)])).tolist()
 
 
 SAMPLES = ["Hello  world.\n\tTest É 漢字 ", "a" * 300, "the" * 90, " " * 70, "=" * 77, "supercalifragilistic" * 20, "x▁y z", "\x00 null"]
@@ -179,17 +179,27 @@ def test_max_plus_product_is_associative():
     assert np.allclose(sp.combine(sp.combine(a, b), c), sp.combine(a, sp.combine(b, c)))
 
 
-def test_encode_and_decode_tables(spark, pieces):
+def test_words_merged_together_equal_words_merged_alone(pieces):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("theandingr éß漢\n,.%" + sp.BLANK, k=rng.randint(1, 39))) for _ in range(500)] + ["▁", "漢", "a" * 70]
+    ids, length = pieces.words_ids(words)
+    ends = np.cumsum(length)
+    for word, a, b in zip(words, ends - length, ends):
+        assert ids[a:b].tolist() == [x for p in pieces.merged(word) for x in pieces.piece_ids(p)]
+
+
+@pytest.mark.parametrize("fan", [2, 16])
+def test_encode_and_decode_tables(spark, pieces, fan):
     giant = " ".join(random.Random(9).choices(["alpha", "Beta", "γάμμα", "\n", "x" * 50], k=3000))
-    rows = [(1, "Hello world", None), (2, giant, None), (2, giant, None), (3, None, None), (4, "", None), (5, "nospace" * 3000, None)]
-    encoded = sp.encode(table(spark, rows).withColumn("chunk", F.lit(9)), pieces, chunk=1000)
+    rows = [(1, "Hello world", None), (2, giant, None), (2, giant, None), (3, None, None), (4, "", None), (5, "nospace" * 3000, None), (6, "x▁y  z", None), (7, "é▁ " * 900, None)]
+    encoded = sp.encode(table(spark, rows).withColumn("chunk", F.lit(9)), pieces, chunk=1000, fan=fan)
     back = sp.decode(encoded, pieces).collect()
     by_row = collections.defaultdict(list)
     for r in back:
         assert r.decoded == r.covered
         by_row[r.doc_id, r.row_no].append(r)
     texts = sorted((k[0], "".join(r.covered for r in sorted(rs, key=lambda r: r.chunk))) for k, rs in by_row.items())
-    assert texts == sorted((i, t or "") for i, t, _ in rows)
+    assert texts == sorted((i, (t or "").replace("▁", " ")) for i, t, _ in rows)
     for (i, _), rs in by_row.items():
         ids = [x for r in sorted(rs, key=lambda r: r.chunk) for x in r.ids]
         assert ids == pieces.encode(dict((a, b or "") for a, b, _ in rows)[i]).tolist()
