@@ -12,13 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomquery.llm.common import cut
+
 ORDERS = (2, 3, 4)
 SLOT_BITS = 20
-PROBES = 2
 DRAWS = 1 << 30
 UNKNOWN = "und"
-#: One odd multiplier for each probe (fixed values: fractional bits of the square roots of 2, 3 and 5).
-MULTIPLIERS = (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B)
+#: One odd multiplier for each probe (fixed values: fractional bits of the square roots of 2 and 3).
+MULTIPLIERS = (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B)
+ENOUGH = 100_000  # n-grams of a language's sample, from which on those met once are left out
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _BLOCK = 1 << 20
 
@@ -43,7 +45,7 @@ def grams(text: str) -> np.ndarray:
 
 def slots(h: np.ndarray) -> list[np.ndarray]:
     mixed = h ^ h >> np.uint64(29)
-    return [(mixed * np.uint64(m) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for m in MULTIPLIERS[:PROBES]]
+    return [(mixed * np.uint64(m) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for m in MULTIPLIERS]
 
 
 @dataclass
@@ -55,7 +57,7 @@ class LanguageFilters:
 
     def __post_init__(self) -> None:
         bits = [(self.table[i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean() for i in range(len(self.langs))]
-        self.false_rate = np.array(bits) ** PROBES
+        self.false_rate = np.array(bits) ** len(MULTIPLIERS)
 
     def hits(self, text: str) -> tuple[np.ndarray, int]:
         """For each language, how many n-grams of the text its filter holds; and how many there are."""
@@ -92,10 +94,10 @@ class LanguageFilters:
 
 
 def draw(labelled: DataFrame, text_col: str, lang_col: str, key_col: str, per_language: int) -> tuple[DataFrame, list[str]]:
-    """lang, text of about ``per_language`` rows of each language (all, if fewer), by key hash; and the languages."""
+    """lang, text of about ``per_language`` rows of each language (all, if fewer), by a hash of key and text; and the languages."""
     rows = labelled.select(F.col(key_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     # A uniform draw against each language's share: no window, so the most frequent language is in no single task.
-    rows = rows.withColumn("draw", F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "lang"), F.lit(DRAWS)))
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "lang", "text"), F.lit(DRAWS)))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     langs = [r["lang"] for r in sizes]
     if not langs:
@@ -105,10 +107,11 @@ def draw(labelled: DataFrame, text_col: str, lang_col: str, key_col: str, per_la
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 1500, distinctive: float = 0.25) -> LanguageFilters:
-    """Learn the filters from a bounded sample: about ``per_language`` rows of each language (all, if fewer), by key hash.
+    """Learn the filters from a bounded sample: about ``per_language`` rows of each language (all, if fewer), by a hash of key and text.
 
     An n-gram enters the filter of a language if it occurs there at least twice
-    and at no less than ``distinctive`` times its rate in the language where it
+    (once, where the language's sample has less than ENOUGH n-grams) and at no
+    less than ``distinctive`` times its rate in the language where it
     is most frequent. Counting runs on the cluster; what reaches the driver is
     one mask per filter slot, 2^20 for every 64 languages at most.
     """
@@ -124,11 +127,16 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
                     h, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": h.view(np.int64), "n": n})
 
-    counts = sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rate = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
+    counts = cut(sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
+    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(sizes)
+    if not langs:
+        return LanguageFilters([], np.zeros((1, 1 << SLOT_BITS), np.uint64))
+    size = F.create_map(*[F.lit(x) for pair in sorted(sizes.items()) for x in pair])[F.col("lang")]
+    rate = counts.withColumn("rate", F.col("n") / size).withColumn("least", F.when(size < ENOUGH, 1).otherwise(2))
     top = F.max("rate").over(Window.partitionBy("gram"))
     index = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))])
-    kept = rate.withColumn("top", top).filter((F.col("n") >= 2) & (F.col("rate") >= distinctive * F.col("top"))).select("gram", index[F.col("lang")].alias("i"))
+    kept = rate.withColumn("top", top).filter((F.col("n") >= F.col("least")) & (F.col("rate") >= distinctive * F.col("top"))).select("gram", index[F.col("lang")].alias("i"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -147,13 +155,13 @@ def identify(df: DataFrame, filters: LanguageFilters, text_col: str = "text", sh
     Null text and text without a letter give ("und", 0); texts of any length
     are read whole. Ties fall to the language first in the alphabet.
     """
-    shared = df.sparkSession.sparkContext.broadcast(filters)
+    shared = df.sparkSession.sparkContext.broadcast((filters.langs, filters.table))
 
     names = ["lang", "score", "share"] if share else ["lang", "score"]
 
     @F.pandas_udf("lang string, score double" + (", share double" if share else ""))
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model = LanguageFilters(*shared.value)
         for batch in texts:
             yield pd.DataFrame([model.judge(t)[: len(names)] for t in batch], columns=names)
 
