@@ -43,10 +43,12 @@ def shape(raw: list[str]) -> list[str]:
 
 
 def features(text: str | None) -> set[str]:
-    """Distinct words, lower-cased and stripped of outer symbols, their first 3 to 5 letters, and the text's shape."""
+    """Distinct words, lower-cased and stripped of outer symbols; their first 3 to 5 letters; the symbols; and the text's shape."""
     raw = text.split() if text else []
-    found = {_EDGES.sub("", w) for w in set(" ".join(raw).lower().split())}
-    return found.union(shape(raw), *({f"{w[:n]}-" for w in found if len(w) > n} for n in PREFIXES))
+    whole = set(" ".join(raw).lower().split())
+    found = {_EDGES.sub("", w) for w in whole}
+    symbols = {f"symbols:{x}" for w in whole - found for x in _EDGES.findall(w)}
+    return found.union(symbols, shape(raw), *({f"{w[:n]}-" for w in found if len(w) > n} for n in PREFIXES))
 
 
 @dataclass
@@ -101,18 +103,19 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_rows: int = 12_000,
-    max_features: int = 20_000,
     least: int = 8,
-    screen: float = 4.0,
+    screen: float = 16.0,
 ) -> OrdinalModel | None:
-    """Fit on at most ``max_rows`` rated rows, lowest id hash first, with at most ``max_features`` buckets.
+    """Fit on at most ``max_rows`` rated rows, lowest id hash first; this sample is the only bound.
 
     ``grade`` is an SQL expression over ``ratings`` that gives 0 .. n_grades - 1;
     rows where it is null are left out. None if nothing is rated. A bucket gets
-    a weight only if it is in ``least`` rows of the sample and their mean grade
-    is ``screen`` standard errors off the overall mean; so the many words that
-    say nothing about quality cannot add up in long texts. Counting and
-    screening run on the cluster; the driver gets each row's screened buckets.
+    a weight only if it is in ``least`` rows of the sample and the grades of
+    these differ from the sample's by a chi-square of ``screen`` and 2 for each
+    grade beyond the second; so the many words that say nothing about quality
+    cannot add up in long texts, and one that marks a middle grade is kept like
+    one that marks the best. Counting and screening run on the cluster; the
+    driver gets each row's screened buckets.
     """
     rated = ratings.select(F.col(id_col).alias("rated_id"), F.expr(grade).cast("int").alias("rated_grade")).filter("rated_grade is not null and rated_id is not null")
     sample = rated.orderBy(F.xxhash64("rated_id"), "rated_grade").limit(max_rows)
@@ -124,12 +127,13 @@ def fit(
     texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("own_text"))
     joined = texts.join(F.broadcast(sample), F.col("own_id") == F.col("rated_id"))
     rows = cut(joined.select("rated_id", "rated_grade", hashed("own_text").alias("buckets")), "rated-rows")
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("rated_grade").alias("mean"), F.stddev_pop("rated_grade").alias("spread")).first()
-    if not total["n"]:
+    total = {r["rated_grade"]: r["n"] for r in rows.groupBy("rated_grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not total:
         return None
-    seen = rows.select("rated_grade", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("rated_grade").alias("mean"))
-    off = F.abs(F.col("mean") - total["mean"]) * F.sqrt("n") / max(1e-9, total["spread"])
-    chosen = seen.filter(F.col("n") >= least).withColumn("off", off).filter(F.col("off") >= screen).orderBy(F.desc("off"), "bucket").limit(max_features)
+    n_rows = sum(total.values())
+    seen = rows.select("rated_grade", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("rated_grade") == g).alias(f"n_{g}") for g in sorted(total)])
+    off = sum(((F.col(f"n_{g}") - F.col("n") * n / n_rows) ** 2 * (n_rows / n) for g, n in sorted(total.items())), F.lit(0.0)) / F.col("n") * n_rows / F.greatest(n_rows - F.col("n"), F.lit(1))
+    chosen = seen.filter((F.col("n") >= least) & (F.col("n") < n_rows)).filter(off >= screen + 2 * max(0, len(total) - 2))
     used = np.sort(np.array([r["bucket"] for r in chosen.select("bucket").collect()], np.int64))
 
     @F.pandas_udf("array<int>")
@@ -141,19 +145,21 @@ def fit(
     return OrdinalModel({int(b): float(w) for b, w in zip(used, weights)}, thresholds)
 
 
-def grade_texts(df: DataFrame, model: OrdinalModel, text_col: str = "text"):
+def grade_texts(df: DataFrame, model: OrdinalModel | None, text_col: str = "text"):
     """A column (expected_grade, top_probability) for a text column.
 
     expected_grade is the sum of the tail probabilities, top_probability that of
-    the best grade. Null and empty texts get the score of their shape alone;
+    the best grade; both are null without a model. Null and empty texts get the score of their shape alone;
     whole texts are read. The model has a weight for each bucket of its bounded
     sample at most, so its size doesn't grow with the corpus.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    if model is None:
+        return F.struct(F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("top_probability"))
+    shared = df.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
     @F.pandas_udf("expected_grade double, top_probability double")
     def grade(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        own = OrdinalModel(*shared.value)
         known: dict[str, float] = {}
         for batch in texts:
             score = np.zeros(len(batch))

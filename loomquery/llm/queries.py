@@ -41,11 +41,11 @@ def op3_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, expected_grade (0 to 2), top_probability, selected."""
+    """doc_id, expected_grade (0 to 2), top_probability, selected. Where nothing is rated, the grades are null and every row is selected."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), GRADE, N_GRADES)
     graded = docs.select("doc_id", quality.grade_texts(docs, model).alias("g"))
-    return graded.select("doc_id", "g.*", (F.col("g.top_probability") >= 0.5).alias("selected"))
+    return graded.select("doc_id", "g.*", F.coalesce(F.col("g.top_probability") >= 0.5, F.lit(True)).alias("selected"))
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,92 @@ def test_quality_grades(spark):
     assert quality.fit(docs, rated.limit(0), "g", 3) is None
 
 
+def test_quality_screen_equals_a_plain_count(spark):
+    rng = random.Random(5)
+    words_ = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words_, k=12) + (["low"] if i % 3 == 0 else ["mid"] if i % 3 == 1 and i % 2 else [])), "en") for i in range(240)]
+    model = quality.fit(table(spark, rows), spark.createDataFrame([(i, i % 3) for i in range(240)], "doc_id long, g int"), "g", 3)
+    sets = [{quality.bucket(f) for f in quality.features(t)} for _, t, _ in rows]
+    want = set()
+    for b in set().union(*sets):
+        observed = np.array([[sum(b in s for i, s in enumerate(sets) if i % 3 == g), sum(b not in s for i, s in enumerate(sets) if i % 3 == g)] for g in range(3)], float)
+        expected = observed.sum(axis=1, keepdims=True) * observed.sum(axis=0) / observed.sum()
+        if observed[:, 0].sum() >= 8 and observed[:, 1].sum() and ((observed - expected) ** 2 / expected).sum() >= 18:
+            want.add(b)
+    assert set(model.weights) == want and {quality.bucket("low"), quality.bucket("mid")} <= want
+
+
+def test_ordinal_fit_is_the_best_fit():
+    rng = np.random.default_rng(8)
+    x = rng.random((300, 4)) < 0.4
+    latent = x @ np.array([2.0, -1.5, 0.5, 0.0]) + rng.logistic(size=300)
+    grades = (latent > -0.5).astype(int) + (latent > 1.5)
+    penalty = 1e-3
+    weights, theta = quality.fit_ordinal([np.flatnonzero(r) for r in x], grades, 3, 4, steps=3000, rate=0.02, penalty=penalty)
+
+    def likelihood(w, t):
+        total = 0.0
+        for row, g in zip(x, grades):
+            tail = [1.0] + [1 / (1 + math.exp(c - row @ w)) for c in t] + [0.0]
+            total += math.log(tail[g] - tail[g + 1])
+        return total / len(x) - penalty / 2 * float(w @ w)
+
+    best = likelihood(weights, theta)
+    for i in range(4):
+        for step in (-0.02, 0.02):
+            assert likelihood(weights + step * np.eye(4)[i], theta) < best
+    for i in range(2):
+        for step in (-0.02, 0.02):
+            assert likelihood(weights, theta + step * np.eye(2)[i]) < best
+
+
+def test_quality_of_nothing_rated(spark, tmp_path):
+    from loomquery.llm.queries import op4_quality_grade
+
+    table(spark, [(1, "a b", "en"), (2, None, "en")]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = op4_quality_grade(spark, str(tmp_path)).collect()
+    assert len(got) == 2 and all(r.selected and r.expected_grade is None and r.top_probability is None for r in got)
+
+
+def test_language_filters_equal_sets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    filters = langid.fit(docs)
+    rows = docs.collect()
+    counts = {lang: collections.Counter() for lang in filters.langs}
+
+    def grams(text):
+        s = f" {langid.letters(text)} "
+        return [s[i : i + n] for n in langid.ORDERS for i in range(len(s) - n + 1)]
+
+    for r in rows:
+        if r.lang is not None and langid.letters(r.text):
+            counts[r.lang].update(grams(r.text))
+    size = {lang: sum(c.values()) for lang, c in counts.items()}
+    top = collections.defaultdict(float)
+    for lang, c in counts.items():
+        for g, n in c.items():
+            top[g] = max(top[g], n / size[lang])
+    sets = {lang: {g for g, n in c.items() if n >= (1 if size[lang] < langid.ENOUGH else 2) and n / size[lang] >= 0.25 * top[g]} for lang, c in counts.items()}
+    same = 0
+    for r in rows:
+        if not langid.letters(r.text):
+            continue
+        found = grams(r.text)
+        exact = np.array([sum(g in sets[lang] for g in found) for lang in filters.langs])
+        hits, total = filters.hits(langid.letters(r.text))
+        assert total == len(found) and (hits >= exact).all() and (hits - exact <= 0.1 * total + 3).all()
+        same += filters.predict(r.text)[0] == filters.langs[int(np.argmax(exact))]
+    assert same >= 0.98 * sum(bool(langid.letters(r.text)) for r in rows)
+
+
+def test_language_draw_is_bounded_without_ids(spark):
+    rows = [(None, f"text number {i}", "en") for i in range(600)] + [(7, f"texte {i}", "fr") for i in range(600)]
+    sample, langs = langid.draw(table(spark, rows), "text", "lang", "doc_id", 100)
+    sizes = dict(sample.groupBy("lang").count().collect())
+    assert langs == ["en", "fr"] and all(50 < n < 160 for n in sizes.values())
+
+
 @pytest.fixture(scope="module")
 def pieces():
     if not os.path.exists(MODEL):
