@@ -600,7 +600,7 @@ def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
                     yield pd.DataFrame({"doc_id": [doc_id], "row_no": [row_no], "chunk": [nth], "low": [low - left], "high": [high - left], "final": [high == len(s)], "part": [s[left : high + side]]})
 
     chunks = cut(
-        rows.filter(long).mapInPandas(divide, "doc_id long, row_no long, chunk int, low int, high int, final boolean, part string").repartition("row_no", "chunk"),
+        rows.filter(long).mapInPandas(divide, "doc_id long, row_no long, chunk int, low int, high int, final boolean, part string"),
         "piece-chunks",
     )
 
@@ -620,7 +620,8 @@ def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
                 covered = [part[low + e[1] : high + x[1]].replace(BLANK, " ")[1 if nth == 0 and own.prefix else 0 :] for (part, low, high, e, x), nth in zip(parts, batch["chunk"])]
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "row_no": batch["row_no"], "chunk": batch["chunk"], "ids": own.emit_all(parts), "covered": covered})
 
-    giant = chunks.join(states, ["row_no", "chunk"]).select("doc_id", "row_no", "chunk", "low", "high", "part", "a", "b", "c", "d").mapInPandas(pieces_of, ENCODED)
+    # Chunks move once, here, which spreads a giant document over the cluster; the hint keeps small tables from taking another way.
+    giant = chunks.join(states.hint("merge"), ["row_no", "chunk"]).select("doc_id", "row_no", "chunk", "low", "high", "part", "a", "b", "c", "d").mapInPandas(pieces_of, ENCODED)
     return rows.filter(~long).mapInPandas(whole, ENCODED).unionByName(giant)
 
 
