@@ -162,20 +162,20 @@ ORACLE_SQL: dict[str, str] = {
         GROUP BY row_no, doc_id, license_id
     """,
     "op5_exact_topk": """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
             FROM embeddings
-            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ),
         p AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            SELECT q.row_no, q.vec_id AS query_id, c.row_no AS own_row, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.row_no <> c.row_no
             WHERE q.vec_id % 100 = 0
         )
         SELECT * FROM (
             SELECT query_id,
-                   CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   CAST(row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id, own_row) AS INTEGER) AS rank,
                    vec_id, score
             FROM p
         ) WHERE rank <= 10

@@ -9,127 +9,210 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomquery.llm.common import cut
+from loomquery.llm.common import cut, partitions
 
 EXACT = 2.0**53
-#: Depths, as shares of the lists, at which the bounds are drawn again.
-DEPTHS = (1 / 16, 1 / 4, 1 / 2)
-
-
-def no_random_access(vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query, the rows of ``vectors`` that can be among its k highest inner products.
-
-    There is one list for each dimension, sorted by component; a query reads it
-    from the top if its own component is positive, else from the bottom. After a
-    read of depth t a row has a lower bound (what was seen of it, and the worst
-    value of each list where it wasn't) and an upper bound (the value the list
-    has reached instead). Rows whose upper bound is below the k-th best lower
-    bound are out, seen or not, and reading stops when few others are left.
-    ``own[i]`` marks the rows that query i must not return.
-    """
-    n = len(vectors)
-    order = np.argsort(vectors, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    lists = np.take_along_axis(vectors, order, axis=0)
-    up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T  # dimensions by queries
-    worst = up * lists[0][:, None] + down * lists[-1][:, None]
-    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
-    open_ = np.arange(len(queries))
-    for share in (*DEPTHS, 1.0):
-        t = min(n, math.ceil(share * n))
-        high, low = rank >= n - t, rank < t  # what has been read from the top, and from the bottom
-        # A dimension of a query is read from one side only; the other side's factor is zero.
-        seen = np.where(high, vectors, 0.0) @ up[:, open_] + np.where(low, vectors, 0.0) @ down[:, open_]
-        reached_up, reached_down = up * lists[n - t][:, None], down * lists[t - 1][:, None]
-        positive = up > 0
-        unseen_high, unseen_low = 1.0 - high, 1.0 - low
-        upper = seen + unseen_high @ reached_up[:, open_] + unseen_low @ reached_down[:, open_]
-        lower = seen + unseen_high @ np.where(positive, worst, 0.0)[:, open_] + unseen_low @ np.where(positive, 0.0, worst)[:, open_]
-        still = []
-        for column, i in enumerate(open_):
-            may = ~own[i]
-            floor = lower[may, column]
-            bar = np.partition(floor, len(floor) - k)[len(floor) - k] if len(floor) > k else -np.inf
-            rows = np.flatnonzero(may & (upper[:, column] >= bar))
-            if t == n or len(rows) <= 4 * k:
-                found[i] = rows
-            else:
-                still.append(i)
-        open_ = np.array(still, np.int64)
-        if not len(open_):
-            break
-    return found
-
-
-def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, candidate_block: int = 4096, query_block: int = 4096) -> DataFrame:
+BOUND_BYTES = 32 << 20
+STEPS = 64  # in how many steps at least a list is read
+LEAST, MOST = -(2**63), 2**63 - 1
+FOUND = "row_no long, query_id long, own_row long, vec_id long, score long, entries long"
+
+
+class Lists:
+    """One list for each dimension of a block of vectors: its rows by component, sorted once for all queries."""
+
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()
+        self.values = np.take_along_axis(vectors.T, self.order, axis=1)
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, bar: float = -np.inf) -> tuple[np.ndarray, int]:
+        """The rows that can be among the k highest inner products with ``q``, and how many list entries were read to tell.
+
+        A list is read from its top if the query's component is positive, from
+        its bottom if it is negative, and not at all if it is zero; heavy lists
+        are read in longer steps. Of a row that has been met in some lists the
+        score lies between what was seen plus the worst value of each other list
+        and what was seen plus the value that list has reached. Rows below the
+        k-th best lower bound (or ``bar``, if that is known to be reached
+        elsewhere) are dropped as they fail; once the lists' reached values add
+        up to less, no unmet row qualifies. Reading stops when few rows are left
+        open, or at the lists' end. ``own`` rows are never returned.
+        """
+        n = self.order.shape[1]
+        lists = np.flatnonzero(q)
+        if not n or not len(lists):
+            return np.setdiff1d(np.arange(n), own), 0
+        w = q[lists]
+        up = w > 0
+        worst = w * np.where(up, self.values[lists, 0], self.values[lists, -1])
+        reached = w * np.where(up, self.values[lists, -1], self.values[lists, 0])
+        spread = reached - worst
+        step = np.maximum(1, np.ceil(n / STEPS * len(lists) * spread / max(spread.sum(), 1e-300))).astype(np.int64)
+        depth = np.zeros(len(lists), np.int64)
+        seen, met = np.zeros(n), np.zeros((n, len(lists)), bool)
+        open_ = np.zeros(n, bool)  # met and not failed
+        failed = np.zeros(n, bool)
+        failed[own] = True
+        entries = 0
+        while True:
+            stop = np.minimum(depth + step, n)
+            length = stop - depth
+            of = np.repeat(np.arange(len(lists)), length)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length) + depth[of]
+            at = np.where(up[of], n - 1 - nth, nth)
+            rows = self.order[lists[of], at]
+            entries += len(rows)
+            seen += np.bincount(rows, w[of] * self.values[lists[of], at], minlength=n)
+            met[rows, of] = True
+            depth = stop
+            more = depth < n
+            here = np.minimum(depth, n - 1)
+            reached = np.where(more, w * self.values[lists, np.where(up, n - 1 - here, here)], 0.0)
+            open_[rows] = True
+            open_ &= ~failed
+            now = np.flatnonzero(open_)
+            unmet = ~met[now]
+            lower, upper = seen[now] + unmet @ worst, seen[now] + unmet @ reached
+            if len(now) >= k:
+                bar = max(bar, float(np.partition(lower, len(lower) - k)[len(lower) - k]))
+            out = now[upper < bar]
+            failed[out], open_[out] = True, False
+            left = len(now) - len(out)
+            outside = n - int((open_ | failed).sum())
+            if not more.any() or left <= 4 * k and (not outside or reached.sum() < bar):
+                return np.flatnonzero(open_), entries
+            step = step * 2 if entries > n * len(lists) // 4 else step
+
+
+def matrix(vectors: pd.Series, width: int) -> np.ndarray:
+    out = np.zeros((len(vectors), width), np.int64)
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    return out
+
+
+def search_block(of: pd.DataFrame, among: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Each query's k best rows of one block of candidates."""
+    parts = [pd.DataFrame(columns=[c.split()[0] for c in FOUND.split(", ")], dtype="int64")]
+    if of.empty or among.empty:
+        return parts[0]
+    width = max(1, of["q"].map(len).max(), among["v"].map(len).max())
+    q, x = matrix(of["q"], width), matrix(among["v"], width)
+    ids, rows = among["vec_id"].to_numpy(), among["own_row"].to_numpy()
+    wide = float(np.abs(q.astype(float)).max()) * float(np.abs(x.astype(float)).max()) * width >= EXACT
+    if wide:  # beyond exact doubles: no bounds, Python's integers
+        q, x = q.astype(object), x.astype(object)
+    else:
+        q, x = q.astype(np.float64), x.astype(np.float64)
+        lists = Lists(x)
+    for y, name, own_row, bar in zip(q, of["query_id"], of["row_no"], of["bar"]):
+        own = np.flatnonzero(rows == own_row)
+        near, entries = (np.setdiff1d(np.arange(len(x)), own), x.size) if wide else lists.search(y, own, k, -np.inf if pd.isna(bar) else float(bar))
+        score = x[near] @ y
+        if wide:
+            score = [min(MOST, max(LEAST, int(s))) for s in score]
+            best = np.array(sorted(range(len(near)), key=lambda i: (-score[i], ids[near[i]]))[:k], np.int64)
+        else:
+            best = np.lexsort((ids[near], -score))[:k]
+        kept = [int(score[i]) for i in best]
+        if len(best):
+            parts.append(pd.DataFrame({"row_no": own_row, "query_id": name, "own_row": rows[near][best], "vec_id": ids[near][best], "score": kept, "entries": [entries] + [0] * (len(best) - 1)}))
+    return pd.concat(parts)
+
+
+def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, candidate_block: int = 4096, query_block: int = 4096, reads: bool = False) -> DataFrame:
     """The k rows of highest inner product for every query row, exactly, over floor(scale * x) components.
 
-    Queries and candidates are dealt into blocks of bounded size and every pair
-    of blocks meets in one task, which returns at most k rows of each query;
-    the last step keeps the best k of those. Shuffled are the candidates once
-    per block of queries and the queries once per block of candidates.
-
-    Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id.
-
-    Rows with a null id, or whose vector is null or empty or holds a null or
-    non-finite component take no part. Vectors of different length are compared
-    as if the shorter one ended in zeros. A query never returns rows of its own
-    id. Repeated rows are candidates each; a repeated query row is answered each
-    time. An empty table gives an empty result; other columns are ignored.
+    Candidates are dealt into blocks of bounded size, ordered by their largest
+    component, so that the lists of a block tell much about its rows; queries
+    are dealt into blocks too. A first round searches one block of candidates
+    for each query, the one that promises the highest score; its k-th best score
+    is a bar for all others. A pair of query and block meets in the second round
+    only if the block's largest and smallest components allow a score at the
+    bar. What can't be ruled out so is still of the order of all pairs: on
+    vectors without structure all blocks remain. Each pair returns k rows at
+    most and the last step keeps the best k.
+
+    Returns query_id, rank (from 1), vec_id, score; ties go to the smaller
+    vec_id. With ``reads`` a column entries has, on rank 1, the number of list
+    entries that were read for the query.
+
+    Rows with a null id, or whose vector is null or holds a null or non-finite
+    component take no part; an empty vector scores 0. Vectors of different
+    length are compared as if the shorter one ended in zeros. A query never
+    returns its own row, but other rows of its id; a repeated query row is
+    answered each time. Components and scores beyond 64 bits are set to the
+    limit, where they tie. An empty table gives an empty result; other columns
+    are ignored.
     """
+    spark = df.sparkSession
     x = F.col(vector_col)
-    whole = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) != float("inf")))
+    whole = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) != float("inf")))
+    scaled = F.transform(x, lambda c: F.floor(F.least(F.greatest(c.cast("double") * scale, F.lit(-9.2e18)), F.lit(9.2e18))).cast("long"))
     rows = cut(
-        df.filter(whole & F.col(id_col).isNotNull()).select(
-            F.col(id_col).cast("long").alias("vec_id"),
-            F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("vector"),
-            is_query.alias("is_query"),
-            F.monotonically_increasing_id().alias("row_no"),
-        ),
+        df.filter(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("v"), is_query.alias("is_query"), F.monotonically_increasing_id().alias("own_row")),
         "topk-vectors",
     )
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q")).first()
-    by_candidate, by_query = max(1, math.ceil(total["n"] / candidate_block)), max(1, math.ceil(total["q"] / query_block))
-
-    def dealt(salt: str, blocks: int) -> Column:
-        return F.pmod(F.xxhash64("row_no", F.lit(salt)), F.lit(blocks)).cast("int")
-
-    def every(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    candidates = rows.select("vec_id", "vector", dealt("candidate", by_candidate).alias("c")).select("*", every(by_query).alias("q"))
-    queries = rows.filter("is_query").select("vec_id", "vector", "row_no", dealt("query", by_query).alias("q")).select("*", every(by_candidate).alias("c"))
-
-    def search(key: tuple, of: pd.DataFrame, among: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "row_no": [], "vec_id": [], "score": []}).astype("int64")
-        if of.empty or among.empty:
-            return empty
-        width = max(of["vector"].map(len).max(), among["vector"].map(len).max())
-
-        def matrix(vectors: pd.Series) -> np.ndarray:
-            out = np.zeros((len(vectors), width), np.int64)
-            for i, v in enumerate(vectors):
-                out[i, : len(v)] = v
-            return out
-
-        q, x, ids = matrix(of["vector"]), matrix(among["vector"]), among["vec_id"].to_numpy()
-        if float(np.abs(q).max()) * float(np.abs(x).max()) * width >= EXACT:  # beyond exact doubles: no bounds, Python's integers
-            q, x = q.astype(object), x.astype(object)
-        parts = []
-        for at in range(0, len(q), 128):
-            block, own_ids = q[at : at + 128], of["vec_id"].to_numpy()[at : at + 128]
-            own = own_ids[:, None] == ids[None, :]
-            if q.dtype == object:
-                found = [np.flatnonzero(~o) for o in own]
-            else:
-                found = no_random_access(x.astype(np.float64), block.astype(np.float64), own, k)
-            for i, near in enumerate(found):
-                score = x[near] @ block[i]
-                best = np.lexsort((ids[near], -score))[:k]
-                parts.append(pd.DataFrame({"query_id": own_ids[i], "row_no": of["row_no"].iat[at + i], "vec_id": ids[near][best], "score": score[best].astype(np.int64)}))
-        return pd.concat(parts) if parts else empty
-
-    near = queries.groupBy("q", "c").cogroup(candidates.groupBy("q", "c")).applyInPandas(search, "query_id long, row_no long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("row_no").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q"), F.max(F.size("v")).alias("width")).first()
+    width = total["width"] or 1
+    # The blocks' bounds are broadcast: blocks grow beyond candidate_block where there would be over BOUND_BYTES of them.
+    blocks = min(max(1, math.ceil(total["n"] / candidate_block)), max(1, BOUND_BYTES // (16 * width)))
+    block_rows, query_blocks = math.ceil(total["n"] / blocks), max(1, math.ceil(total["q"] / query_block))
+
+    # Rows by the dimension and sign of their largest component, and its size: an order that quantiles cut into blocks.
+    size = F.transform("v", lambda c: F.abs(c.cast("double")))
+    largest = F.array_position(size, F.array_max(size)).cast("long")
+    sign = F.when(F.get("v", largest.cast("int") - 1) < 0, 1).otherwise(0)
+    place = F.coalesce((2 * largest + sign).cast("double") + 1 - 1 / (1 + F.array_max(size)), F.lit(0.0))
+    placed = rows.withColumn("place", place)
+    cuts = placed.select(F.percentile_approx("place", [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0] if blocks > 1 else []
+    bound = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>")
+    block = F.size(F.filter(bound, lambda b: b < F.col("place")))
+    # Many equal places would make one block too large: what is over the size is dealt by row.
+    sizes = {r["c"]: r["n"] for r in placed.groupBy(block.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = F.create_map(*[F.lit(v) for c, n in sorted(sizes.items()) for v in (c, max(1, math.ceil(n / (2 * block_rows))))]) if sizes else F.create_map(F.lit(0), F.lit(1))
+    dealt = cut(placed.withColumn("c", block).select("vec_id", "v", "is_query", "own_row", (F.col("c") * 65536 + F.pmod(F.xxhash64("own_row"), parts[F.col("c")])).cast("long").alias("c")), "topk-blocks")
+
+    ends = dealt.select("c", F.posexplode(F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v"))))).groupBy("c", "pos").agg(F.max("col").alias("high"), F.min("col").alias("low"))
+    bounds = ends.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "high", "low"))), lambda e: F.struct(e["high"].cast("double").alias("high"), e["low"].cast("double").alias("low"))).alias("ends"))
+    queries = dealt.filter("is_query").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("own_row").alias("row_no"), F.pmod(F.xxhash64("own_row", F.lit("query")), F.lit(query_blocks)).cast("long").alias("b"))
+    known = bounds.collect()  # two numbers for each block and dimension
+    if not known:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long" + (", entries long" if reads else ""))
+    shared = spark.sparkContext.broadcast(([r["c"] for r in known], np.array([[[e["high"], e["low"]] for e in r["ends"]] for r in known])))
+
+    def promise(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The blocks, and the highest score that each one's bounds allow (with a margin for rounding)."""
+        names, of = shared.value
+        terms = np.maximum(of[:, : len(q), 0] * q, of[:, : len(q), 1] * q)
+        return np.array(names), terms.sum(axis=1) + 1e-9 * np.abs(terms).sum(axis=1)
+
+    @F.pandas_udf("long")
+    def best_block(q: pd.Series) -> pd.Series:
+        return pd.Series([int(names[np.argmax(most)]) for names, most in (promise(np.asarray(v, float)) for v in q)], dtype="int64")
+
+    @F.pandas_udf("array<long>")
+    def open_blocks(q: pd.Series, done: pd.Series, bar: pd.Series) -> pd.Series:
+        found = ((*promise(np.asarray(v, float)), d, b) for v, d, b in zip(q, done, bar))
+        return pd.Series([names[(names != d) & (most >= (-np.inf if pd.isna(b) else b))] for names, most, d, b in found])
+
+    n_parts = partitions(spark)
+    candidates = dealt.select("vec_id", "v", "own_row", "c")
+
+    def met(pairs: DataFrame) -> DataFrame:
+        """``pairs``: query_id, q, row_no, bar, b, c."""
+        sent = candidates.join(pairs.select(F.col("b").alias("to_b"), F.col("c").alias("to_c")).distinct(), F.col("c") == F.col("to_c")).select("to_b", "to_c", "vec_id", "v", "own_row")
+        both = pairs.repartition(n_parts, "b", "c").groupBy("b", "c").cogroup(sent.repartition(n_parts, "to_b", "to_c").groupBy("to_b", "to_c"))
+        return both.applyInPandas(lambda key, of, among: search_block(of, among, k), FOUND)
+
+    first = cut(queries.select("query_id", "q", "row_no", "b", best_block("q").alias("c"), F.lit(None).cast("double").alias("bar")), "topk-queries")
+    one = cut(met(first), "topk-first")
+    bars = one.groupBy("row_no").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("reached"))
+    rest = first.join(bars, "row_no", "left").select("query_id", "q", "row_no", "b", F.col("reached").alias("bar"), F.explode(open_blocks("q", "c", "reached")).alias("c"))
+    found = one.unionByName(met(rest))
+    order = F.row_number().over(Window.partitionBy("row_no").orderBy(F.desc("score"), "vec_id", "own_row"))
+    ranked = found.withColumn("rank", order).filter(F.col("rank") <= k)
+    if not reads:
+        return ranked.select("query_id", "rank", "vec_id", "score")
+    read = found.groupBy("row_no").agg(F.sum("entries").alias("_entries"))
+    return ranked.drop("entries").join(read, "row_no").select("query_id", "rank", "vec_id", "score", F.when(F.col("rank") == 1, F.col("_entries")).alias("entries"))

@@ -13,7 +13,7 @@ import corpus_pipeline
 from loomquery.llm.licenses import license_scan
 from loomquery.llm.packing import best_fit, pack
 from loomquery.llm.sharding import interleave_shards
-from loomquery.llm.topk import no_random_access, top_k
+from loomquery.llm.topk import Lists, top_k
 from tests.oracle import differences
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -82,29 +82,68 @@ def test_packing_law(spark):
 def test_no_random_access_keeps_every_winner():
     rng = np.random.default_rng(3)
     x, q = rng.integers(-9, 9, (500, 8)).astype(float), rng.integers(-9, 9, (20, 8)).astype(float)
-    own = np.zeros((20, 500), bool)
-    own[:, 0] = True
-    for i, rows in enumerate(no_random_access(x, q, own, 5)):
-        score = x @ q[i]
+    q[0] = 0
+    lists = Lists(x)
+    for y in q:
+        rows, entries = lists.search(y, np.array([0]), 5)
+        score = x @ y
         score[0] = -np.inf
-        assert set(np.flatnonzero(score >= np.sort(score)[-5])) <= set(rows) and 0 not in rows
+        assert set(np.flatnonzero(score >= np.sort(score)[-5])) <= set(rows) and 0 not in rows and entries <= x.size
+
+
+def test_reading_stops_early():
+    rng = np.random.default_rng(6)
+    x = rng.integers(-50, 50, (4000, 16)).astype(float)
+    x[:20] += 2000
+    lists = Lists(x)
+    rows, entries = lists.search(np.ones(16), np.array([3]), 10)
+    assert entries < x.size / 10 and 10 <= len(rows) <= 40
+    # a query with one heavy component reads hardly anything of the light lists
+    y = np.ones(16)
+    y[5] = 10_000
+    rows, entries = lists.search(y, np.array([3]), 10)
+    score = x @ y
+    score[3] = -np.inf
+    assert set(np.argsort(-score)[:10]) <= set(rows) and entries < x.size / 10
+    assert lists.search(y, np.array([3]), 10, bar=1e12)[0].size == 0
 
 
 @pytest.mark.parametrize("block", [4096, 37])
 def test_top_k_equals_brute_force(spark, block):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(150)]
-    rows += [(200, None), (300, [1.0, None]), (400, [float("nan")] * 6), (500, [float("inf")] * 6), (None, [1.0] * 6), (600, []), (151, rows[7][1]), (7, rows[7][1]), (700, [3.0] * 9)]
+    rows += [(200, None), (300, [1.0, None]), (400, [float("nan")] * 6), (500, [float("inf")] * 6), (None, [1.0] * 6), (600, []), (151, rows[7][1]), (7, rows[7][1]), (700, [3.0] * 9), (0, rows[0][1]), (800, [0.0] * 6)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("vector", F.lit(1)).withColumn("c", F.lit(1))
-    found = top_k(table, F.col("vec_id") % 100 == 0, k=4, candidate_block=block, query_block=block).collect()
-    good = [(i, np.floor(1024 * np.array(v + [0.0] * (9 - len(v)))).astype(int)) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v)]
+    found = top_k(table, F.col("vec_id") % 100 == 0, k=4, candidate_block=block, query_block=block, reads=True).collect()
+    good = [(i, np.floor(1024 * np.array(v + [0.0] * (9 - len(v)))).astype(int)) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
     want = []
-    for i, v in good:
+    for a, (i, v) in enumerate(good):
         if i % 100 == 0:
-            ranked = sorted((-int(v @ w), j) for j, w in good if j != i)[:4]
+            ranked = sorted((-int(v @ w), j) for b, (j, w) in enumerate(good) if a != b)[:4]
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(ranked)]
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == sorted(want)
-    assert top_k(table.limit(0), F.lit(True)).count() == 0
+    assert all((r.entries is not None) == (r.rank == 1) for r in found)
+    assert top_k(table.limit(0), F.lit(True)).count() == 0 and top_k(table, F.lit(False)).count() == 0
+
+
+def test_top_k_leaves_blocks_out(spark):
+    rng = np.random.default_rng(9)
+    centres = np.eye(8) * 5
+    rows = [(i, (centres[i % 8] + rng.normal(size=8) * 0.1).tolist()) for i in range(1600)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = top_k(table, F.col("vec_id") % 100 == 0, candidate_block=100, reads=True)
+    x = np.floor(1024 * np.array([v for _, v in rows]))
+    assert found.agg(F.sum("entries")).first()[0] < 16 * x.size / 4
+    for r in found.filter("rank = 10").collect():
+        score = x @ x[r.query_id]
+        score[r.query_id] = -np.inf
+        assert r.score == np.sort(score)[-10]
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e18, 1.0]), (1, [1e18, -1.0]), (2, [-1e18, 0.5]), (3, [2.0, 2.0])]
+    got = {r.vec_id: r.score for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()}
+    assert got == {1: 2**63 - 1, 2: -(2**63), 3: 2**63 - 1}
 
 
 def test_licenses(spark):
