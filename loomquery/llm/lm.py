@@ -19,7 +19,9 @@ BASE = 1.5  # of the logarithm that quantises counts
 BITS_PER_KEY = 12
 PROBE_BITS = 4  # bits of a key, all in one 64-bit word of the filter
 PRIOR = 300.0  # weight of the lower order in the interpolation
-MAX_BROADCAST = 256 << 20  # bytes of the model that a worker holds at once
+SLICE_BYTES = 2 << 20  # of text, for each of which there is a slice
+FLUSH = 3_000_000  # tokens that a task counts before it sends them on
+MAX_BROADCAST = 256 << 20  # bytes of the model that a worker holds
 MAX_PART = 16 << 20  # bytes of it that the driver holds at once
 BLOCK = 256  # texts handled at once in a task
 KNOWN_WORDS = 600_000  # after which a task forgets the hashes it has looked up
@@ -73,10 +75,10 @@ class Vocabulary(dict):
         self.fresh.append(xxhash.xxh64_intdigest(word))
         return own
 
-    def tokens(self, texts: pd.Series, segment: Segment | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def tokens(self, texts: pd.Series, filter_: Filter | Answers | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The numbers of all tokens of some texts, and where each text starts and how many it has.
 
-        New words get their hash, and with a segment their count, for all texts at once.
+        New words get their hash, and with a filter their count, for all texts at once.
         """
         ids = [np.fromiter(map(self.__getitem__, words(t)), np.int64) for t in texts]
         if self.fresh:
@@ -85,8 +87,8 @@ class Vocabulary(dict):
             while last > len(self.hashes):
                 self.hashes, self.counts = np.concatenate([self.hashes] * 2), np.concatenate([self.counts] * 2)
             self.hashes[last - len(new) : last] = new
-            if segment is not None:
-                self.counts[last - len(new) : last] = segment.counts(new)
+            if filter_ is not None:
+                self.counts[last - len(new) : last] = filter_.counts(new)
             self.fresh = []
         length = np.array([len(x) + 1 for x in ids])
         end = np.ones(1, np.int64)
@@ -107,8 +109,16 @@ def ngrams(own: np.ndarray, start: np.ndarray, order: int) -> Iterator[np.ndarra
         yield grams
 
 
+def packed(h: np.ndarray, slice_bits: int) -> Iterator[tuple[int, slice]]:
+    """The slices that sorted hashes fall into, and where each one's stand."""
+    of = (h >> np.uint64(64 - slice_bits)).astype(np.int64)
+    begins = np.flatnonzero(np.diff(of, prepend=-1))
+    for a, b in zip(begins, [*begins[1:], len(h)]):
+        yield int(of[a]), slice(a, b)
+
+
 def count_ngrams(docs: DataFrame, text_col: str, order: int, slice_bits: int) -> DataFrame:
-    """slice, n (the order), gram, times: counts over whole texts, one row per n-gram and flush of a task."""
+    """slice, n (the order), grams, times: counts over whole texts, packed, a row per slice and flush of a task."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary()
@@ -120,9 +130,9 @@ def count_ngrams(docs: DataFrame, text_col: str, order: int, slice_bits: int) ->
                 if found:
                     gram, times = np.unique(np.concatenate(found), return_counts=True)
                     found.clear()
-                    for at in range(0, len(gram), 1 << 17):
-                        part = gram[at : at + (1 << 17)]
-                        yield pd.DataFrame({"slice": (part >> np.uint64(64 - slice_bits)).astype(np.int32), "n": np.int32(n), "gram": part.view(np.int64), "times": times[at : at + (1 << 17)]})
+                    rows = [(of, n, gram[at].tobytes(), times[at].astype(np.uint32).tobytes()) for of, at in packed(gram, slice_bits)]
+                    for at in range(0, len(rows), 1024):
+                        yield pd.DataFrame(rows[at : at + 1024], columns=["slice", "n", "grams", "times"])
 
         for batch in batches:
             for low in range(0, len(batch), BLOCK):
@@ -135,108 +145,94 @@ def count_ngrams(docs: DataFrame, text_col: str, order: int, slice_bits: int) ->
                 size += len(own)
                 if len(vocabulary) > KNOWN_WORDS:
                     vocabulary = Vocabulary()
-                if size > 3_000_000:
+                if size > FLUSH:
                     yield from flush()
                     size = 0
         yield from flush()
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "slice int, n int, gram long, times long")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "slice long, n int, grams binary, times binary")
+
+
+def added(rows: pd.DataFrame, n: np.ndarray | bool) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of packed rows, in order, and the sums of their counts."""
+    grams = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(g, np.uint64) for g in rows["grams"][n]]])
+    times = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(t, np.uint32) for t in rows["times"][n]]]).astype(np.uint64)
+    by_hash = np.argsort(grams, kind="stable")
+    grams, times = grams[by_hash], times[by_hash]
+    begins = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    return grams[begins], np.add.reduceat(times, begins) if len(begins) else times
 
 
 @dataclass
 class Model:
-    """What stays the same in every segment: the corpus size N, its distinct tokens V, and the table of slices."""
+    """The corpus size N, its distinct tokens V, its texts, and the table of slices."""
 
     tokens: int
     types: int
     texts: int
+    size: int  # bytes
     slice_bits: int
     order: int
     slices: DataFrame
-    segments: list[list[tuple[int, int]]]  # first and last slice of each part of each
 
 
-def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER, max_broadcast: int = MAX_BROADCAST) -> Model:
+SLICE = "slice long, grams binary, times binary, filter binary, tokens long, types long, texts long"
+
+
+def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER, slice_bytes: int = SLICE_BYTES) -> Model:
     """Count all n-grams up to ``order`` of whole texts and build the filter, slice by slice.
 
     n-grams are dealt by the top bits of their hash into slices, whose number
-    follows the session's shuffle partitions, and each slice is built in one
-    task: exact counts of its single tokens, and a Bloom filter sized for its
-    longer n-grams in which an n-gram of quantised count q stands q times, with
-    the levels 1 to q. Only slice sizes come to the driver here. Neighbouring
-    slices form segments of at most ``max_broadcast`` bytes; scoring takes one
-    segment at a time, so what is broadcast is bounded for any corpus.
+    follows the texts' size (one for each ``slice_bytes``), so that a slice has
+    about as much to hold at every size. Tasks send packed counts; each slice is
+    built in one group: exact counts of its single tokens, and a Bloom filter
+    sized for its longer n-grams in which an n-gram of quantised count q stands
+    q times, with the levels 1 to q.
     """
-    spark = docs.sparkSession
-    slice_bits = max(4, math.ceil(math.log2(8 * partitions(spark))))
-    counts = count_ngrams(docs, text_col, order, slice_bits).repartition("slice").groupBy("slice", "n", "gram").agg(F.sum("times").alias("times"))
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    slice_bits = max(4, math.ceil(math.log2(max(1, n_bytes) / slice_bytes)))
+    counts = count_ngrams(docs, text_col, order, slice_bits).repartition(partitions(docs.sparkSession), "slice")
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        single = rows[rows["n"] == 1]
-        gram = single["gram"].to_numpy().view(np.uint64)
-        by_hash = np.argsort(gram)
-        times = single["times"].to_numpy()[by_hash]
-        longer = rows[rows["n"] > 1]
-        q = quantise(longer["times"].to_numpy())
+        gram, times = added(rows, rows["n"] == 1)
+        filter_hashes, filter_times = (np.concatenate(x) for x in zip(*[(np.zeros(0, np.uint64), np.zeros(0, np.uint64)), *[added(rows, rows["n"] == n) for n in range(2, order + 1)]]))
+        q = quantise(filter_times)
         size = max(1, math.ceil(int(q.sum()) * BITS_PER_KEY / 64))
         filter_words = np.zeros(size, np.uint64)
-        h = longer["gram"].to_numpy().view(np.uint64)
-        level = 1
+        h, level = filter_hashes, 1
         while len(h):
             at, bits = placement(h, level, np.uint64(size))
             np.bitwise_or.at(filter_words, at.astype(np.int64), bits)
             stay = q > level
             h, q, level = h[stay], q[stay], level + 1
-        wide = times.max(initial=0) >= 1 << 32
-        return pd.DataFrame(
-            {
-                "slice": [key[0]],
-                "grams": [gram[by_hash].tobytes()],
-                "times": [times.astype(np.uint64 if wide else np.uint32).tobytes()],
-                "filter": [filter_words.tobytes()],
-                "tokens": [int(times.sum())],
-                "types": [len(times)],
-                "texts": [int(times[gram[by_hash] == np.uint64(END)].sum())],
-            }
-        )
-
-    slices = cut(counts.groupBy("slice").applyInPandas(build, "slice int, grams binary, times binary, filter binary, tokens long, types long, texts long"), "lm-slices")
-    total = slices.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "texts")]).first()
-    sizes = slices.select("slice", (F.length("grams") + F.length("times") + F.length("filter")).alias("size")).orderBy("slice").collect()
-    segments: list[list[tuple[int, int]]] = []
-    in_segment, in_part = max_broadcast + 1, 0
-    for row in sizes:
-        if in_segment + row["size"] > max_broadcast:
-            segments.append([])
-            in_segment = in_part = 0
-        if not segments[-1] or in_part + row["size"] > MAX_PART:
-            segments[-1].append((row["slice"], row["slice"]))
-            in_part = 0
-        segments[-1][-1] = (segments[-1][-1][0], row["slice"])
-        in_segment, in_part = in_segment + row["size"], in_part + row["size"]
-    return Model(*total, slice_bits, order, slices, segments or [[(0, 0)]])
+        return pd.DataFrame([(key[0], gram.tobytes(), times.tobytes(), filter_words.tobytes(), int(times.sum()), len(times), int(times[gram == np.uint64(END)].sum()))], columns=["slice", "grams", "times", "filter", "tokens", "types", "texts"])
+
+    slices = cut(counts.groupBy("slice").applyInPandas(build, SLICE), "lm-slices")
+    size = F.length("grams") + F.length("times") + F.length("filter")
+    total = slices.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "texts", size)]).first()
+    return Model(*total, slice_bits, order, slices)
 
 
 class Part:
-    """A stretch of slices as it is broadcast: sorted token hashes with their counts, and the filter's words."""
-
-    def __init__(self, model: Model, first: int, last: int) -> None:
-        self.first, self.last, self.slice_bits = first, last, model.slice_bits
-        rows = model.slices.filter(F.col("slice").between(first, last)).select("slice", "grams", "times", "filter").orderBy("slice").collect()
-        self.grams = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["grams"], np.uint64) for r in rows]])
-        self.times = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(r["times"], np.uint64 if len(r["times"]) == len(r["grams"]) else np.uint32) for r in rows]])
-        self.size = np.zeros(last - first + 1, np.uint64)
-        self.offset = np.zeros(last - first + 1, np.uint64)
-        total = 0
+    """Some slices as they are broadcast: sorted token hashes with their counts, and the filter's words; slices that are missing hold nothing."""
+
+    def __init__(self, slice_bits: int, first: int, grams: np.ndarray, times: np.ndarray, size: np.ndarray, filter_words: np.ndarray) -> None:
+        self.slice_bits, self.first, self.grams, self.times, self.size, self.filter = slice_bits, first, grams, times, size, filter_words
+        self.offset = np.cumsum(size) - size
+
+    @staticmethod
+    def plain(slice_bits: int, first: int, last: int, rows: list) -> tuple:
+        """What a part is made of, as arrays, from the rows of its slices."""
+        rows = sorted(rows, key=lambda r: r["slice"])
+        size = np.zeros(last - first + 1, np.uint64)
         for r in rows:
-            self.size[r["slice"] - first], self.offset[r["slice"] - first] = len(r["filter"]) // 8, total
-            total += len(r["filter"]) // 8
-        self.filter = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["filter"], np.uint64) for r in rows]])
+            size[r["slice"] - first] = len(r["filter"]) // 8
+        return slice_bits, first, *(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r[c], np.uint64) for r in rows]]) for c in ("grams", "times")), size, np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["filter"], np.uint64) for r in rows]])
 
     def own(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes belong to these slices, and the slice of each."""
         at = (h >> np.uint64(64 - self.slice_bits)).astype(np.int64) - self.first
-        here = np.flatnonzero((at >= 0) & (at <= self.last - self.first))
+        here = np.flatnonzero((at >= 0) & (at < len(self.size)))
         return here, at[here]
 
     def counts(self, h: np.ndarray, out: np.ndarray) -> None:
@@ -261,8 +257,8 @@ class Part:
             level += 1
 
 
-class Segment:
-    """Neighbouring parts. Each is a broadcast of its own, so the driver never holds more than one."""
+class Filter:
+    """All parts of a model that fits a worker."""
 
     def __init__(self, parts: list[Part]) -> None:
         self.parts = parts
@@ -273,14 +269,50 @@ class Segment:
             part.counts(h, out)
         return out
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
+    def levels(self, h: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros(len(h), np.int64)
         for part in self.parts:
             part.levels(h, out)
         return out
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
+class Answers:
+    """What the slices have answered to one block's probes, in the place of the filter."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.known = {}
+        for n, own in rows.groupby("n"):
+            h = np.concatenate([np.frombuffer(g, np.uint64) for g in own["grams"]])
+            found = np.concatenate([np.frombuffer(x, np.int64) for x in own["found"]])
+            by_hash = np.argsort(h)
+            self.known[n] = h[by_hash], found[by_hash]
+
+    def levels(self, h: np.ndarray, n: int) -> np.ndarray:
+        grams, found = self.known[n]
+        at = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
+        return np.where(grams[at] == h, found[at], 0)  # others span two texts and are not used
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return self.levels(h, 1)
+
+
+def broadcast_filter(model: Model) -> list:
+    """The model in parts, each a broadcast of its own, so the driver holds one of them at a time."""
+    spark = model.slices.sparkSession
+    sizes = model.slices.select("slice", (F.length("grams") + F.length("times") + F.length("filter")).alias("size")).orderBy("slice").collect()
+    stretches: list[list[int]] = []
+    held = MAX_PART
+    for row in sizes:
+        if held + row["size"] > MAX_PART:
+            stretches.append([row["slice"], row["slice"]])
+            held = 0
+        stretches[-1][1] = row["slice"]
+        held += row["size"]
+    own = model.slices.select("slice", "grams", "times", "filter")
+    return [spark.sparkContext.broadcast(Part.plain(model.slice_bits, a, b, own.filter(F.col("slice").between(a, b)).collect())) for a, b in stretches]
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score and the extra columns for every row.
 
     score is the log10 probability of the whole text, its end included, under
@@ -291,62 +323,74 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     aside) the probabilities after a history never add up to more than 1.
 
     Null and empty texts are one end token. Texts are read whole; repeated rows
-    and null ids are scored like others. With more segments than one the rows
-    pass once per segment and carry the counts found so far, 4 bytes a token
-    and 1 for each longer n-gram; the result doesn't depend on their number.
+    and null ids are scored like others. A model of up to ``max_broadcast``
+    bytes is broadcast. Beyond that the probes go to the slices and the answers
+    come back to their texts: two shuffles of about the size of the corpus
+    however large the model is, with the same result.
     """
     spark = docs.sparkSession
     denominator = model.tokens + 0.1 * (model.types + 1)
     prior_zero = math.log10(denominator)
-    longer = model.order - 1
+    order, texts, slice_bits = model.order, model.texts, model.slice_bits
     extra = extra or {}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(name) for name, c in extra.items()], F.col(text_col).cast("string").alias("text"))
     kept = rows.columns[:-1]
-    for nth, parts in enumerate(model.segments):
-        shared = [spark.sparkContext.broadcast(Part(model, first, last)) for first, last in parts]
-        final, begin = nth == len(model.segments) - 1, nth == 0
-        schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept], *(["n_tokens long, n_known long, base_score double, score double"] if final else ["text string, counted binary, levels binary"])])
-
-        def pass_over(batches: Iterator[pd.DataFrame], shared=shared, final=final, begin=begin) -> Iterator[pd.DataFrame]:
-            segment = Segment([part.value for part in shared])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]], "n_tokens long, n_known long, base_score double, score double"])
+
+    def judged(part: pd.DataFrame, vocabulary: Vocabulary, filter_: Filter | Answers) -> pd.DataFrame:
+        flat, start, length = vocabulary.tokens(part["text"], filter_)
+        own, counted = vocabulary.hashes[flat], vocabulary.counts[flat]
+        place = np.arange(len(flat)) - np.repeat(start, length)
+        logs = np.log10(counted + 0.1) - prior_zero
+        p = 10.0**logs
+        history = np.empty(len(flat))
+        history[1:] = counted[:-1]
+        history[start] = texts
+        for n, grams in enumerate(ngrams(own, start, order), 2):
+            found = np.where(place >= n - 2, filter_.levels(grams, n), 0)
+            p = np.where(history > 0, np.minimum(1.0, (LEAST[found] + PRIOR * p) / (history + PRIOR)), p)
+            history = np.empty(len(flat))
+            history[1:] = MOST[found[:-1]]
+            history[start] = 0
+        return pd.DataFrame({c: part[c].to_numpy() for c in kept} | {"n_tokens": length, "n_known": np.add.reduceat(counted > 0, start, dtype=np.int64), "base_score": np.add.reduceat(logs, start), "score": np.add.reduceat(np.log10(p), start)})
+
+    if model.size <= max_broadcast:
+        shared = broadcast_filter(model)
+
+        def pass_over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            filter_ = Filter([Part(*part.value) for part in shared])
             vocabulary = Vocabulary()
             for batch in batches:
                 for low in range(0, len(batch), BLOCK):
-                    part = batch.iloc[low : low + BLOCK]
-                    flat, start, length = vocabulary.tokens(part["text"], segment)
-                    own, counted = vocabulary.hashes[flat], vocabulary.counts[flat]
-                    place = np.arange(len(flat)) - np.repeat(start, length)
-                    levels = []
-                    for n, grams in enumerate(ngrams(own, start, model_order), 2):
-                        levels.append(np.where(place >= n - 2, segment.levels(grams), 0))
-                    ends = np.stack([start, start + length], axis=1)
-                    if not begin:
-                        counted = counted + np.concatenate([np.frombuffer(b, np.uint32) for b in part["counted"]])
-                        old = np.concatenate([np.frombuffer(b, np.uint8).reshape(longer, -1) for b in part["levels"]], axis=1)
-                        levels = [a + b for a, b in zip(levels, old)]
-                    out = {c: part[c].to_numpy() for c in kept}
-                    if not final:
-                        packed = np.array(levels, np.uint8).reshape(longer, -1)
-                        out |= {"text": part["text"].to_numpy(), "counted": [counted[a:b].astype(np.uint32).tobytes() for a, b in ends], "levels": [packed[:, a:b].tobytes() for a, b in ends]}
-                    else:
-                        logs = np.log10(counted + 0.1) - prior_zero
-                        p = 10.0**logs
-                        history = np.empty(len(flat))
-                        history[1:] = counted[:-1]
-                        history[start] = texts
-                        for found in levels:
-                            p = np.where(history > 0, np.minimum(1.0, (LEAST[found] + PRIOR * p) / (history + PRIOR)), p)
-                            after = np.empty(len(flat))
-                            after[1:] = MOST[found[:-1]]
-                            after[start] = 0
-                            history = after
-                        out |= {"n_tokens": length, "n_known": np.add.reduceat(counted > 0, start, dtype=np.int64), "base_score": np.add.reduceat(logs, start), "score": np.add.reduceat(np.log10(p), start)}
-                    yield pd.DataFrame(out)
+                    yield judged(batch.iloc[low : low + BLOCK], vocabulary, filter_)
                     if len(vocabulary) > KNOWN_WORDS:
                         vocabulary = Vocabulary()
 
-        model_order, texts = model.order, model.texts
-        rows = rows.mapInPandas(pass_over, schema)
-        if not final:
-            rows = cut(rows, "lm-pass")
-    return rows
+        return rows.mapInPandas(pass_over, schema)
+
+    # Row numbers are fixed by writing them; 256 neighbouring ones are a block.
+    blocked = cut(rows.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), 8)), "lm-blocks")
+    n_partitions = partitions(spark)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, part in batch.groupby("_block"):
+                vocabulary = Vocabulary()
+                flat, start, _ = vocabulary.tokens(part["text"])
+                own = vocabulary.hashes[flat]
+                found = [(of, int(block), n, h[at].tobytes()) for n, h in enumerate(map(np.unique, (own, *ngrams(own, start, order))), 1) for of, at in packed(h, slice_bits)]
+                yield pd.DataFrame(found, columns=["slice", "block", "n", "grams"])
+
+    def answer(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        part = Filter([Part(*Part.plain(slice_bits, int(key[0]), int(key[0]), held.to_dict("records")))])
+        hashes = [np.frombuffer(g, np.uint64) for g in asked["grams"]]
+        found = [(part.counts(h) if n == 1 else part.levels(h, n)).astype(np.int64).tobytes() for h, n in zip(hashes, asked["n"])]
+        return pd.DataFrame({"block": asked["block"], "n": asked["n"], "grams": asked["grams"], "found": found})
+
+    def judge(key: tuple, part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        return judged(part, Vocabulary(), Answers(answers))
+
+    probes = blocked.select(F.col("_block"), "text").mapInPandas(ask, "slice long, block long, n int, grams binary").repartition(n_partitions, "slice")
+    held = model.slices.select("slice", "grams", "times", "filter").repartition(n_partitions, "slice")
+    answers = probes.groupBy("slice").cogroup(held.groupBy("slice")).applyInPandas(answer, "block long, n int, grams binary, found binary")
+    return blocked.groupBy("_block").cogroup(answers.groupBy("block")).applyInPandas(judge, schema)
