@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomquery.llm.common import ascii_lower, cut, levels
+from loomquery.llm.common import ascii_lower, cut, levels, partitions, shared_dir
 
 KEY = ["digest", "n_bytes", "mark"]
 
@@ -16,19 +16,38 @@ def normal(text: Column) -> Column:
     return ascii_lower(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 16) -> DataFrame:
+def sorted_runs(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """``rows`` written by the tasks that hold them, bucketed by run, and read again.
+
+    A reader then knows that a run is whole in one partition, so that runs can
+    be built without an exchange. The catalogue entry that bucketing needs is
+    gone again when this returns; the files in the shared folder stay.
+    """
+    spark = rows.sparkSession
+    name = f"runs_{uuid.uuid4().hex}"
+    rows.write.format("parquet").bucketBy(n_buckets, "run").sortBy("run", *KEY).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 16, piece_rows: int = 1 << 20) -> DataFrame:
     """Group rows of equal text (equal after lower-casing A-Z) and choose one of each group.
 
-    Every input partition becomes one run: its digests, aggregated to one row
-    each and sorted. Rounds then merge ``fan_in`` neighbouring runs (a fan_in of
-    2 is the binomial tree; a wider one only saves rounds): the rows of one
-    digest meet in one task, already sorted, and leave as one row that holds
-    the surviving identifier and the row count. So a digest has at most fan_in
-    rows to merge at any level, however many copies it has, and no level sees
-    texts. A merge compares the SHA-256 digest together with the byte length and
-    an independent 64-bit hash, so that every retained identifier stands for a
-    verified group. The survivors go back down the same tree: first to the runs,
-    then inside each run to its rows, which spreads a hot group over all runs.
+    Every input partition becomes one run where it lies: its digests sorted and
+    aggregated to one row each, without an exchange. Rounds then merge
+    ``fan_in`` neighbouring runs (a fan_in of 2 is the binomial tree; a wider one
+    only saves rounds): whole runs move to the run they are merged into, in
+    pieces of the digest's range (of at most ``piece_rows`` rows, and enough of
+    them to keep all partitions busy), and the rows of one digest leave as one row that holds the surviving identifier
+    and the row count. A piece is partitioned and sorted once for a round, and
+    merged in that order. So a digest has at most fan_in rows to merge at any
+    level, however many copies it has, no task has a run of unbounded size, and
+    no level sees texts. A merge compares the SHA-256 digest together with the
+    byte length and an independent 64-bit hash, so that every retained
+    identifier stands for a verified group. The survivors go back down the same
+    tree: first to the runs, then inside each run to its rows, which spreads a
+    hot group over all runs.
 
     Returns one row per input row: doc_id, keep_id, group_size, kept,
     text_sha256. ``keep`` is "largest" or "smallest" (by doc_id).
@@ -40,7 +59,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """
     norm = normal(F.col(text_col))
     sign = 1 if keep == "largest" else -1
-    rows = cut(
+    n_partitions = partitions(df.sparkSession)
+    rows = sorted_runs(
         df.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm")).select(
             "doc_id",
             F.unhex(F.sha2("norm", 256)).alias("digest"),
@@ -49,20 +69,27 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
             F.spark_partition_id().alias("run"),
             F.monotonically_increasing_id().alias("row_no"),
         ),
-        "digest-rows",
+        n_partitions,
     )
-    n_runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
+    size = rows.agg(F.max("run").alias("last"), F.count(F.lit(1)).alias("n")).first()
+    n_runs = (size["last"] or 0) + 1
 
     best = F.max(F.struct((F.col("doc_id") * sign).alias("order"), "row_no")).alias("best")
-    runs = rows.groupBy("run", *KEY).agg(best, F.count(F.lit(1)).alias("n"))
+    runs = cut(rows.groupBy("run", *KEY).agg(best, F.count(F.lit(1)).alias("n")), "digest-runs")
     merged = runs
-    for _ in range(levels(n_runs, fan_in)):
+    for level in range(levels(n_runs, fan_in)):
+        left = -(-n_runs // fan_in ** (level + 1))
+        pieces = -(-max(size["n"] // piece_rows, 4 * n_partitions) // left)
+        # The digest's first four bytes tell its place in the range of all digests.
+        piece = F.floor(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") * pieces / 2**32).cast("int")
         merged = (
             merged.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .repartition("run", *KEY)
-            .sortWithinPartitions("run", *KEY)
-            .groupBy("run", *KEY)
+            .withColumn("piece", piece)
+            .repartition(n_partitions, "run", "piece")
+            .sortWithinPartitions("run", "piece", *KEY)
+            .groupBy("run", "piece", *KEY)
             .agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+            .drop("piece")
         )
     root = merged.select(*KEY, F.col("best").alias("root"), F.col("n").alias("group_size"))
     per_run = runs.select("run", *KEY).join(root, KEY)
