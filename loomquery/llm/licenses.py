@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomquery.llm.common import cut
+
 SHINGLE = 5  # words
 BANDS = 24  # of one MinHash each
 SIMILARITY = 0.8
-#: The templates are broadcast; this many of their shingles at most (8 MB).
+#: The templates of one scan are broadcast: this many of their shingles at most (8 MB), or a single longer one. More are scanned in parts.
 MAX_SHINGLES = 100_000
 
 # Widely used license notices, by SPDX identifier.
@@ -36,6 +38,29 @@ TEMPLATES = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+        ' (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,'
+        " publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,"
+        " subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or"
+        ' substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING'
+        " BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"
+        " AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR"
+        " OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions"
+        " are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following"
+        " disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following"
+        " disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from"
+        " this software without specific prior written permission.",
+    ),
 ]
 
 
@@ -85,24 +110,53 @@ def license_scan(df: DataFrame, templates: DataFrame | None = None, id_col: str
 
     Null, empty and shorter texts than five words match nothing. Rows that
     repeat an id are reported each. An empty table gives an empty result; other
-    columns are ignored. Templates shorter than five words are left out; above
-    MAX_SHINGLES shingles the templates must be scanned in parts (ValueError).
+    columns are ignored. Templates shorter than five words are left out. t
+    counts a template's shingles with their repeats, containment its distinct
+    ones. Templates of more than MAX_SHINGLES shingles together are scanned in
+    parts, each in a pass of its own over the texts.
     """
     spark = df.sparkSession
     own = (templates if templates is not None else default_templates(spark)).select(F.col("license_id"), word_list(F.col("text")).alias("w"))
-    own = own.select("license_id", F.array_distinct(shingle_hashes("w")).alias("shingles"), F.size("w").alias("n_words")).filter(F.size("shingles") > 0)
-    # Fixed and small: the templates' shingles and lengths become literals of the plan.
-    known = own.select("shingles").limit(MAX_SHINGLES + 1).collect()
-    literal = sorted({s for row in known for s in row["shingles"]})
-    if len(literal) > MAX_SHINGLES:
-        raise ValueError(f"the templates have over {MAX_SHINGLES} shingles")
-    lengths = sorted({len(row["shingles"]) for row in known})
-    if not literal:
+    own = cut(
+        own.select("license_id", shingle_hashes("w").alias("all"))
+        .filter("size(all) > 0")
+        .select("license_id", F.array_distinct("all").alias("shingles"), F.size("all").alias("t"), F.monotonically_increasing_id().alias("template_no")),
+        "license-templates",
+    )
+    parts: list[list[int]] = []
+    held = MAX_SHINGLES
+    for row in own.select("template_no", F.size("shingles").alias("n")).orderBy("template_no").toLocalIterator():
+        if held + row["n"] > MAX_SHINGLES:
+            parts.append([row["template_no"], 0])
+            held = 0
+        parts[-1][1] = row["template_no"]
+        held += row["n"]
+    # A fixed row number: it groups what the parts find in one row.
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.col(text_col).cast("string").alias("text"))
+    if len(parts) > 1:
+        rows = cut(rows, "license-rows")
+    found = None
+    for first, last in parts:
+        part = scan_part(rows, own.filter(F.col("template_no").between(first, last)), similarity)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return df.select(F.col(id_col).cast("long").alias("doc_id"), F.lit("").alias("license_id"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("n_windows")).limit(0)
+    return (
+        found.groupBy("row_no", "doc_id", "license_id")
+        .agg(F.max("containment").alias("containment"), F.countDistinct("t", "k").alias("n_windows"))
+        .select("doc_id", "license_id", "containment", "n_windows")
+    )
+
 
+def scan_part(rows: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """row_no, doc_id, license_id, t, k, containment: the windows of rows (row_no, doc_id, text) that hold a template of ``own``, whose shingles are few."""
+    # Few: the templates' shingles and lengths become literals of the plan.
+    known = own.select("shingles", "t").collect()
+    literal = sorted({s for row in known for s in row["shingles"]})
+    lengths = sorted({row["t"] for row in known})
     h = F.col("h")
     hashed = (
-        df.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), word_list(F.col(text_col)).alias("w"))
+        rows.select("doc_id", "row_no", word_list(F.col("text")).alias("w"))
         .select("doc_id", "row_no", shingle_hashes("w").alias("h"))
         .select("doc_id", "row_no", "h", F.when(F.size(h) > 0, F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.get(h, i).isin(literal))).alias("hits"))
     )
@@ -114,11 +168,6 @@ def license_scan(df: DataFrame, templates: DataFrame | None = None, id_col: str
     # The outer form keeps the optimizer from testing the array's size, for which it would compute all of it twice.
     cut_up = hashed.select("doc_id", "row_no", F.explode_outer(F.concat(*[windows(t) for t in lengths])).alias("x")).filter("x is not null")
     signed = cut_up.select("doc_id", "row_no", "x.*").select("*", F.inline(bands(F.col("window"))))
-    known_bands = F.broadcast(own.select("license_id", "shingles", F.size("shingles").alias("t"), F.inline(bands(F.col("shingles")))))
+    known_bands = F.broadcast(own.select("license_id", "shingles", "t", F.inline(bands(F.col("shingles")))))
     held = F.size(F.array_intersect("window", "shingles")) / F.size("shingles")
-    found = signed.join(known_bands, ["t", "band", "value"]).withColumn("containment", held).filter(F.col("containment") >= similarity)
-    return (
-        found.groupBy("row_no", "doc_id", "license_id")
-        .agg(F.max("containment").alias("containment"), F.countDistinct("t", "k").alias("n_windows"))
-        .select("doc_id", "license_id", "containment", "n_windows")
-    )
+    return signed.join(known_bands, ["t", "band", "value"]).withColumn("containment", held).filter(F.col("containment") >= similarity).select("row_no", "doc_id", "license_id", "t", "k", "containment")

@@ -149,13 +149,12 @@ ORACLE_SQL: dict[str, str] = {
     "op7_license_scan": f"""
         WITH {_shingle_rows("doc", "SELECT row_number() OVER () AS row_no, doc_id, text FROM documents", "row_no, doc_id")},
         {_shingle_rows("template", f"SELECT row_number() OVER () AS template_no, license_id, text FROM (VALUES {_TEMPLATE_ROWS}) AS v(license_id, text)", "template_no, license_id")},
-        known AS (SELECT DISTINCT template_no, license_id, shingle FROM template),
-        sized AS (SELECT *, count(*) OVER (PARTITION BY template_no) AS t FROM known),
-        hit AS (SELECT row_no, doc_id, template_no, license_id, t, shingle, pos // t AS block FROM doc JOIN sized USING (shingle)),
+        sized AS (SELECT DISTINCT template_no, license_id, shingle, count(*) OVER (PARTITION BY template_no) AS t, count(DISTINCT shingle) OVER (PARTITION BY template_no) AS own FROM template),
+        hit AS (SELECT row_no, doc_id, template_no, license_id, t, own, shingle, pos // t AS block FROM doc JOIN sized USING (shingle)),
         inside AS (SELECT *, unnest([block, greatest(block - 1, 0)]) AS k FROM hit),
         held AS (
-            SELECT row_no, doc_id, template_no, license_id, t, k, count(DISTINCT shingle) / t AS containment
-            FROM inside GROUP BY row_no, doc_id, template_no, license_id, t, k
+            SELECT row_no, doc_id, template_no, license_id, t, k, count(DISTINCT shingle) / own AS containment
+            FROM inside GROUP BY row_no, doc_id, template_no, license_id, t, own, k
         )
         SELECT doc_id, license_id, max(containment) AS containment, count(DISTINCT (t, k)) AS n_windows
         FROM held WHERE containment >= {SIMILARITY}

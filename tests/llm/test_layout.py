@@ -164,14 +164,18 @@ def test_licenses(spark):
     assert license_scan(docs(spark, [])).count() == 0
     own = spark.createDataFrame([("X", "one two three four five six"), ("Y", "too short")], "license_id string, text string")
     assert [r.license_id for r in license_scan(docs(spark, [(1, "zero one two three four five six", "s")]), own).collect()] == ["X"]
-    with pytest.raises(ValueError):
-        import loomquery.llm.licenses as module
-
-        limit, module.MAX_SHINGLES = module.MAX_SHINGLES, 1
-        try:
-            license_scan(docs(spark, rows), own)
-        finally:
-            module.MAX_SHINGLES = limit
+    # a template that repeats its shingles is looked for at its whole length
+    again = spark.createDataFrame([("R", "a b c d e " * 6 + "end of it all now")], "license_id string, text string")
+    assert [r.containment for r in license_scan(docs(spark, [(1, filler + " " + "a b c d e " * 6 + "end of it all now", "s")]), again).collect()] == [1.0]
+
+
+def test_licenses_in_parts(spark, monkeypatch):
+    import loomquery.llm.licenses as module
+
+    rows = [(1, "Released under the MIT License. Licensed under CC BY-NC 4.0.", "s"), (2, "licensed UNDER the apache license, version 2.0", "s"), (2, "licensed UNDER the apache license, version 2.0", None)]
+    whole = sorted(map(tuple, license_scan(docs(spark, rows)).collect()))
+    monkeypatch.setattr(module, "MAX_SHINGLES", 30)
+    assert sorted(map(tuple, license_scan(docs(spark, rows)).collect())) == whole and len(whole) == 4
 
 
 def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
