@@ -125,10 +125,10 @@ def snippet(content: Column, lines: int) -> Column:
 
 def exact_terms(query: Column) -> Column:
     """Quoted phrases, numbers and versions, and called names, each once in order of kind."""
-    quoted = F.regexp_extract_all(query, F.lit("[\"']([^\"']+)[\"']"), F.lit(1))
-    numbers = F.regexp_extract_all(query, F.lit(r"(?<![\w.])(\d+(?:\.\d+)+|\d{2,})(?![\w.])"), F.lit(1))
-    calls = F.regexp_extract_all(query, F.lit(r"(\w+)\s*\("), F.lit(1))
-    return F.array_distinct(F.filter(F.concat(quoted, numbers, calls), lambda x: F.length(F.trim(x)) > 0))
+    quoted = F.transform(F.regexp_extract_all(query, F.lit("\"[^\"]+\"|'[^']+'"), F.lit(0)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    numbers = F.regexp_extract_all(query, F.lit(r"(?U)(?<!\w)(\d+(?:\.\d+)+|\d{2,})(?![\w.])"), F.lit(1))
+    calls = F.regexp_extract_all(query, F.lit(r"(?U)(\w+)\s*\("), F.lit(1))
+    return F.array_distinct(F.concat(quoted, numbers, calls))
 
 
 def keywords(text: Column) -> Column:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomquery.functions.text import masked_environment
+from loomquery.sources.stored import stored
+
+MOST_LITERALS = 50_000
 
 
 def exact_duplicates(files: DataFrame, key: str, text: str) -> DataFrame:
@@ -88,15 +91,17 @@ def clone_summary(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count(F.lit(1)).alias("clones"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("lines"), F.countDistinct("key").alias("files"))
 
 
-def with_shingles(texts: DataFrame, text: str, name: str, words: int = 5) -> DataFrame:
-    """Adds an array of distinct hashes of all runs of words; a shorter text is one run.
+def with_shingles(texts: DataFrame, text: str, name: str, words: int = 5, among: list[int] | None = None) -> DataFrame:
+    """Adds an array of distinct hashes of all runs of words (or of those ``among`` the given ones); a shorter text is one run.
 
     The words are a column of their own first: inside the run's expression they would be split anew for every run.
     """
     own = f"{name}_words"
     split = texts.withColumn(own, F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
     w = F.col(own)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, F.lit(words)))))
+    runs = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(words)]))
+    if among is not None:
+        runs = F.filter(runs, lambda x: x.isin(among))
     found = F.when(F.size(w) >= words, F.array_distinct(runs)).when(F.size(w) > 0, F.array(F.xxhash64(F.concat_ws(" ", w)))).otherwise(F.array().cast("array<bigint>"))
     return split.withColumn(name, found).drop(own)
 
@@ -104,12 +109,15 @@ def with_shingles(texts: DataFrame, text: str, name: str, words: int = 5) -> Dat
 def passages_contained(texts: DataFrame, text_key: str, text: str, passages: DataFrame, passage_key: str, passage: str, least: float) -> DataFrame:
     """text_id, passage, containment: which texts hold at least that share of a passage's five-word runs.
 
-    Joins runs on their hash; a passage's runs are few, and counts are aggregated before pairs are compared.
-    The outer form of explode keeps the optimizer from computing the runs twice to test that there are any.
+    Up to MOST_LITERALS runs of all passages become literals, by which a text's
+    runs are sieved in the row, so that only those leave it that can match. More
+    passages meet all runs by their hash. The outer form of explode keeps the
+    optimizer from computing the runs twice to test that there are any.
     """
     p = with_shingles(passages.select(F.col(passage_key).alias("passage"), F.col(passage).alias("own")), "own", "s")
-    runs = p.select("passage", F.size("s").alias("size"), F.explode_outer("s").alias("run")).filter("run is not null")
-    t = with_shingles(texts.select(F.col(text_key).alias("text_id"), F.col(text).alias("own")), "own", "s")
+    runs = stored(p.select("passage", F.size("s").alias("size"), F.explode_outer("s").alias("run")).filter("run is not null"), "passage-runs")
+    known = [r["run"] for r in runs.select("run").distinct().limit(MOST_LITERALS + 1).collect()]
+    t = with_shingles(texts.select(F.col(text_key).alias("text_id"), F.col(text).alias("own")), "own", "s", among=known if len(known) <= MOST_LITERALS else None)
     own = t.select("text_id", F.explode_outer("s").alias("run")).filter("run is not null")
     return own.join(runs, "run").groupBy("text_id", "passage").agg((F.count(F.lit(1)) / F.first("size")).alias("containment")).filter(F.col("containment") >= least)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomquery.sources.stored import stored
+
 # Words too common to trend.
 TREND_STOP_WORDS = ["this", "that", "with", "from", "have", "will", "what", "when", "where"]
 
@@ -100,6 +102,17 @@ def path_prefixes(paths: DataFrame, path: str, depth: int = 3, limit: int = 5) -
 
 
 def running_mean(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    """Adds mean_so_far, the mean of a group's values up to each row."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("mean_so_far", F.avg(value).over(w))
+    """Adds mean_so_far, the mean of a group's values up to each row.
+
+    Rows are ordered over all partitions first; each partition adds up its own
+    part of a group, and starts from the sum of the parts before it. So a group
+    that holds most rows is spread over the cluster.
+    """
+    placed = stored(rows.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()), "running-mean")
+    parts = placed.groupBy(F.col(group).alias("_group"), "_part").agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("_group", F.col("_part").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_sum"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
+    seen = F.col("_n") + F.count(value).over(inside)
+    return joined.withColumn("mean_so_far", (F.col("_sum") + F.coalesce(F.sum(value).over(inside), F.lit(0))) / F.nullif(seen, F.lit(0))).select(*rows.columns, "mean_so_far")

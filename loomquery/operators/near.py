@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,20 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomquery.operators.clones import with_shingles
+from loomquery.sources.stored import stored
 
 #: Shingles are counted in so many slots; the counts only fix an order, so that clashes cost time and no pair.
 SLOTS = 1 << 18
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Written to the folder that spark.checkpoint.dir names, and read back."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shingle_sets(files: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
     """key, set_id (a digest of the set), s (the sorted shingles); texts without a word take no part."""
     # Told by the text: a filter on the set would be pushed below it and split the text anew for every run.

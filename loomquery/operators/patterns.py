@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,17 +39,36 @@ def _share(hits: list[Column]) -> Column:
     return total / F.lit(len(hits))
 
 
+def required(expression: str) -> str:
+    """The longest stretch of plain characters that every match of an expression holds; empty if there is none."""
+    plain = re.sub(r"\\([.\[\]()])", lambda m: {".": "\0", "[": "\1", "]": "\2", "(": "\3", ")": "\4"}[m[1]], expression)
+    plain = re.sub(r"\([^()]*\)", "\n", plain)  # alternatives
+    plain = re.sub(r"\\[a-z]|[.]|.[*?]", "\n", plain)
+    return max(re.split(r"[\n*+?|^$]", plain), key=len).translate({0: ".", 1: "[", 2: "]", 3: "(", 4: ")"})
+
+
+def _found(text: Column, expression: str) -> Column:
+    """A match; most texts lack its plain part and are not matched at all."""
+    plain = required(expression)
+    return F.contains(text, F.lit(plain)) & text.rlike(expression) if plain else text.rlike(expression)
+
+
 def confidences(code: Column, context: Column | None = None, types: list[str] | None = None) -> Column:
     """An array of (pattern_type, pattern, confidence) above the least confidence.
 
     Keywords count 0.4, regular expressions 0.5 and keywords in the context 0.1, each by the share that is found.
     """
-    text, low = F.coalesce(code, F.lit("")), F.lower(F.coalesce(code, F.lit("")))
+    # Bound once: the text in lower case is otherwise made anew for each of the keywords.
+    once = F.struct(F.coalesce(code, F.lit("")).alias("text"), F.lower(F.coalesce(code, F.lit(""))).alias("low"))
+    return F.get(F.transform(F.array(once), lambda x: _confidences(x["text"], x["low"], context, types)), F.lit(0))
+
+
+def _confidences(text: Column, low: Column, context: Column | None, types: list[str] | None) -> Column:
     out = []
     for kind, name, words, expressions in PATTERNS:
         if types is not None and kind not in types:
             continue
-        total = _share([F.contains(low, F.lit(w.lower())) for w in words]) * 0.4 + _share([text.rlike(e) for e in expressions]) * 0.5
+        total = _share([F.contains(low, F.lit(w.lower())) for w in words]) * 0.4 + _share([_found(text, e) for e in expressions]) * 0.5
         if context is not None:
             total = total + _share([F.contains(F.lower(F.coalesce(context, F.lit(""))), F.lit(w.lower())) for w in words]) * 0.1
         out.append(F.struct(F.lit(kind).alias("pattern_type"), F.lit(name).alias("pattern"), F.least(F.lit(1.0), total).alias("confidence")))

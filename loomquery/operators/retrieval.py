@@ -10,39 +10,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomquery.functions.text import tokens
+from loomquery.sources.stored import stored
 
 K1, B = 1.2, 0.75
-#: Queries are broadcast up to this many (query, term) rows; larger batches are joined by shuffle.
-BROADCAST_TERMS = 100_000
+#: Up to this many distinct terms of a batch become literals that sieve a text's words in its row; more are met by shuffle.
+LITERAL_TERMS = 2_000
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None) -> DataFrame:
-    """id, dl (tokens in the document), term, tf. With ``terms`` only for these, before anything is shuffled."""
-    split = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).withColumn("dl", F.size("words"))
-    if terms is not None:
-        known = [r[0] for r in terms.select("term").distinct().limit(BROADCAST_TERMS).collect()]
-        split = split.withColumn("words", F.filter("words", lambda w: w.isin(known)))
-    # Term counts per document are made inside the row: one row per distinct term leaves it.
-    # The outer form keeps the optimizer from splitting every text a second time to test that there are any.
-    counted = split.select("id", "dl", "words", F.explode_outer(F.array_distinct("words")).alias("term")).filter("term is not null")
-    return counted.select("id", "dl", "term", F.size(F.filter("words", lambda w: w == F.col("term"))).alias("tf"))
+def occurrences(docs: DataFrame, id_col: str, fields: dict[str, float], known: list[str] | None) -> DataFrame:
+    """id, field, dl (tokens in the field), words: one row per document and field; ``words`` only the known ones, if they are given."""
+    split = docs.select(F.col(id_col).alias("id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias("words")) for f in fields])))
+    words = F.col("words") if known is None else F.filter("words", lambda w: w.isin(known))
+    return split.select("id", "field", F.size("words").alias("dl"), words.alias("words"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B, fields: dict[str, float] | None = None) -> DataFrame:
     """query_id, id, score: BM25 of every document that shares a term with a query.
 
-    ``queries`` has query_id and text. Documents are reduced to the terms of the
-    batch in the scan itself; the corpus statistics are one row.
+    ``queries`` has query_id and text. With ``fields`` (column: weight) the score
+    is the weighted sum over several columns, each with lengths and frequencies
+    of its own. Texts are tokenised once: what a document has of the asked terms
+    is stored with its length, and all statistics come from there.
     """
+    fields = fields or {text_col: 1.0}
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    stats = docs.select(F.size(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    found = postings(docs, id_col, text_col, asked)
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = F.broadcast(asked.join(df, "term").withColumn("idf", idf))
+    known = [r[0] for r in asked.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
+    few = len(known) <= LITERAL_TERMS
+    met = stored(occurrences(docs, id_col, fields, known if few else None), "occurrences")
+    stats = {r["field"]: r for r in met.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).collect()}
+    # The outer form keeps the optimizer from testing the array's size with a copy of its expression.
+    each = met.select("id", "field", "dl", "words", F.explode_outer(F.array_distinct("words")).alias("term")).filter("term is not null")
+    found = each.select("id", "field", "dl", "term", F.size(F.filter("words", lambda w: w == F.col("term"))).alias("tf"))
+    if not few:
+        found = found.join(asked.select("term").distinct(), "term", "left_semi")
+
+    def of_field(values: dict[str, float]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("field")]
+
+    n = of_field({f: stats[f]["n"] if f in stats else 0 for f in fields})
+    avgdl = of_field({f: float(stats[f]["avgdl"] or 0) or 1.0 if f in stats else 1.0 for f in fields})
+    df = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * of_field({f: float(w) for f, w in fields.items()})
+    weighed = asked.join(df, "term").withColumn("idf", idf)
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return found.join(asked, "term").groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
+    return found.join(weighed, ["field", "term"]).groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
 
 
 def top_per_query(hits: DataFrame, k: int, *order: Column, query_col: str = "query_id") -> DataFrame:

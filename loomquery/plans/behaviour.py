@@ -141,7 +141,7 @@ def running_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS spread, round(var_samp(value), 6) AS variance,
-           min(value) AS least, max(value) AS most, count(*) - count(DISTINCT round(value, 4)) AS ties, round(arg_max(value, ts), 6) AS latest
+           min(value) AS least, max(value) AS most, count(*) - count(DISTINCT round(value, 4)) AS ties, round(arg_max(value, (ts, event_id)), 6) AS latest
     FROM events GROUP BY event_type
 """)
 def decision_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +154,7 @@ def decision_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min(v).alias("least"),
         F.max(v).alias("most"),
         (F.count(F.lit(1)) - F.countDistinct(F.round(v, 4))).alias("ties"),
-        F.max_by(v, "ts").alias("latest"),
+        F.max_by(v, F.struct("ts", "event_id")).alias("latest"),
     )
     return rounded(found, "mean", "spread", "variance", "latest")
 
