@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomquery.llm.common import ascii_lower, cut, levels, partitions, shared_dir
+from loomquery.llm.common import ascii_lower, cut, levels, partitions
+from loomquery.sources.stored import shared_dir
 
 KEY = ["digest", "n_bytes", "mark"]
 
