@@ -139,7 +139,7 @@ def rank_contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PARTS = ", ".join(
-    f"{{'contribution': {f} * {w} * {c}, 'factor': '{f}', 'value': {f}, 'weight': {w}}}"
+    f"{{'contribution': {f} * {w} * {c}, 'factor': '{f}', 'value': {f}, 'weight': CAST({w} AS DOUBLE)}}"
     for f, w, c in zip(ranking.FACTORS, ranking.WEIGHTS["understand"], ["1", "semantic_confidence", "1", "1", "1", "1", "quality_confidence", "1"])
 )
 
