@@ -16,6 +16,7 @@ from loomquery.llm.common import cut
 
 DIMENSIONS = 1 << 22
 PREFIXES = (3, 4, 5)
+STRETCH = 1 << 20  # entries of the sample that the fit takes at once
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
 
 
@@ -63,15 +64,18 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, n_columns: int, steps: int = 600, rate: float = 0.05, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(column: np.ndarray, length: np.ndarray, grades: np.ndarray, n_grades: int, n_columns: int, steps: int = 600, rate: float = 0.05, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of maximum likelihood under the cumulative logits, by full-batch Adam.
 
-    ``rows`` hold the columns that are 1 in each row. Thresholds are the first
-    one plus exponentials, so they stay in order.
+    ``column`` holds the columns that are 1, row after row, and ``length`` how
+    many each row has; they are gone through in blocks, so that little is needed
+    beside them. Thresholds are the first one plus exponentials, so they stay in
+    order.
     """
-    column = np.concatenate([np.zeros(0, np.int64), *rows])
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n, k = len(rows), n_grades - 1
+    n, k = len(length), n_grades - 1
+    ends = np.concatenate([[0], np.cumsum(length)])
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + STRETCH, STRETCH)).clip(0, n))
+    blocks = list(zip(cuts, cuts[1:])) if n else []
     share = np.array([(grades > j).mean() for j in range(k)]).clip(1e-3, 1 - 1e-3)
     start = np.log((1 - share) / share)
     x = np.concatenate([np.zeros(n_columns), start[:1], np.log(np.maximum(0.1, np.diff(start)))])
@@ -79,7 +83,11 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, n_col
     for step in range(1, steps + 1):
         w, first, gaps = x[:n_columns], x[n_columns], np.exp(x[n_columns + 1 :])
         theta = first + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(row, w[column], minlength=n)
+        score = np.zeros(n)
+        for a, b in blocks:
+            some = a + np.flatnonzero(length[a:b])
+            if len(some):
+                score[some] = np.add.reduceat(w[column[ends[a] : ends[b]]], ends[some] - ends[a])
         tail = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -60, 60)))
         bound = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], axis=1)
         at = np.arange(n)
@@ -89,7 +97,10 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, n_col
         by_theta = np.zeros(k)
         np.add.at(by_theta, grades[grades > 0] - 1, -low[grades > 0])
         np.add.at(by_theta, grades[grades < k], high[grades < k])
-        gradient = np.concatenate([np.bincount(column, (low - high)[row], minlength=n_columns) / n - penalty * w, [by_theta.sum() / n], [by_theta[j:].sum() * gaps[j - 1] / n for j in range(1, k)]])
+        by_weight = np.zeros(n_columns)
+        for a, b in blocks:
+            by_weight += np.bincount(column[ends[a] : ends[b]], np.repeat((low - high)[a:b], length[a:b]), minlength=n_columns)
+        gradient = np.concatenate([by_weight / n - penalty * w, [by_theta.sum() / n], [by_theta[j:].sum() * gaps[j - 1] / n for j in range(1, k)]])
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         x = x + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return x[:n_columns], x[n_columns] + np.concatenate([[0.0], np.cumsum(np.exp(x[n_columns + 1 :]))])
@@ -140,8 +151,10 @@ def fit(
     def columns(buckets: pd.Series) -> pd.Series:
         return pd.Series([np.flatnonzero(np.isin(used, b)).astype(np.int32) for b in buckets])
 
-    got = rows.select("rated_id", "rated_grade", columns("buckets").alias("columns")).orderBy("rated_id", F.xxhash64("buckets")).limit(max_rows).toPandas()
-    weights, thresholds = fit_ordinal([np.asarray(c, np.int64) for c in got["columns"]], got["rated_grade"].to_numpy(np.int64), n_grades, len(used))
+    got = rows.select("rated_id", "rated_grade", columns("buckets").alias("columns")).orderBy("rated_id", F.xxhash64("buckets")).limit(max_rows).toArrow()
+    lists = got.column("columns").combine_chunks()
+    column, length = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    weights, thresholds = fit_ordinal(column, length.astype(np.int64), got.column("rated_grade").to_numpy().astype(np.int64), n_grades, len(used))
     return OrdinalModel({int(b): float(w) for b, w in zip(used, weights)}, thresholds)
 
 

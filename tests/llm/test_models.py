@@ -175,7 +175,7 @@ def test_ordinal_fit_is_the_best_fit():
     latent = x @ np.array([2.0, -1.5, 0.5, 0.0]) + rng.logistic(size=300)
     grades = (latent > -0.5).astype(int) + (latent > 1.5)
     penalty = 1e-3
-    weights, theta = quality.fit_ordinal([np.flatnonzero(r) for r in x], grades, 3, 4, steps=3000, rate=0.02, penalty=penalty)
+    weights, theta = quality.fit_ordinal(np.concatenate([np.flatnonzero(r) for r in x]), x.sum(axis=1), grades, 3, 4, steps=3000, rate=0.02, penalty=penalty)
 
     def likelihood(w, t):
         total = 0.0
