@@ -13,7 +13,7 @@ from loomquery.llm.common import cut, partitions
 
 EXACT = 2.0**53
 BOUND_BYTES = 32 << 20
-STEPS = 64  # in how many steps at least a list is read
+FIRST = 1 / 64  # share of the lists that the first step reads; steps double up to an eighth
 LEAST, MOST = -(2**63), 2**63 - 1
 FOUND = "row_no long, query_id long, own_row long, vec_id long, score long, entries long"
 
@@ -47,9 +47,9 @@ class Lists:
         worst = w * np.where(up, self.values[lists, 0], self.values[lists, -1])
         reached = w * np.where(up, self.values[lists, -1], self.values[lists, 0])
         spread = reached - worst
-        step = np.maximum(1, np.ceil(n / STEPS * len(lists) * spread / max(spread.sum(), 1e-300))).astype(np.int64)
+        step = np.maximum(1, np.ceil(n * FIRST * len(lists) * spread / max(spread.sum(), 1e-300))).astype(np.int64)
         depth = np.zeros(len(lists), np.int64)
-        seen, met = np.zeros(n), np.zeros((n, len(lists)), bool)
+        seen, met = np.zeros(n), np.zeros((n, len(lists)))
         open_ = np.zeros(n, bool)  # met and not failed
         failed = np.zeros(n, bool)
         failed[own] = True
@@ -57,13 +57,12 @@ class Lists:
         while True:
             stop = np.minimum(depth + step, n)
             length = stop - depth
-            of = np.repeat(np.arange(len(lists)), length)
-            nth = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length) + depth[of]
-            at = np.where(up[of], n - 1 - nth, nth)
-            rows = self.order[lists[of], at]
+            ends = [slice(n - z, n - a) if top else slice(a, z) for a, z, top in zip(depth.tolist(), stop.tolist(), up.tolist())]
+            rows = np.concatenate([self.order[i, e] for i, e in zip(lists, ends)])
+            values = np.concatenate([self.values[i, e] for i, e in zip(lists, ends)])
             entries += len(rows)
-            seen += np.bincount(rows, w[of] * self.values[lists[of], at], minlength=n)
-            met[rows, of] = True
+            seen += np.bincount(rows, np.repeat(w, length) * values, minlength=n)
+            met.reshape(-1)[rows * len(lists) + np.repeat(np.arange(len(lists)), length)] = 1.0
             depth = stop
             more = depth < n
             here = np.minimum(depth, n - 1)
@@ -71,8 +70,13 @@ class Lists:
             open_[rows] = True
             open_ &= ~failed
             now = np.flatnonzero(open_)
-            unmet = ~met[now]
-            lower, upper = seen[now] + unmet @ worst, seen[now] + unmet @ reached
+            # What the lists that a row was met in would have given it at least and at most.
+            every = 2 * len(now) > n
+            part = met if every else met[now]
+            least, most = part @ worst, part @ reached
+            if every:
+                least, most = least[now], most[now]
+            lower, upper = seen[now] + worst.sum() - least, seen[now] + reached.sum() - most
             if len(now) >= k:
                 bar = max(bar, float(np.partition(lower, len(lower) - k)[len(lower) - k]))
             out = now[upper < bar]
@@ -81,7 +85,7 @@ class Lists:
             outside = n - int((open_ | failed).sum())
             if not more.any() or left <= 4 * k and (not outside or reached.sum() < bar):
                 return np.flatnonzero(open_), entries
-            step = step * 2 if entries > n * len(lists) // 4 else step
+            step = np.minimum(step * 2, max(1, n // 8))
 
 
 def matrix(vectors: pd.Series, width: int) -> np.ndarray:
