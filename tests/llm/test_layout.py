@@ -55,6 +55,27 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert best_fit([6, 4], [0, 0], [-1, -1], 10, 1)[1][0] == 1  # the source has had its share
 
 
+def test_best_fit_equals_a_naive_search():
+    rng = random.Random(12)
+    for _ in range(30):
+        n, capacity, per_source = 120, 40, rng.randint(1, 4)
+        sizes = sorted((rng.randint(1, capacity) for _ in range(n)), reverse=True)
+        sources, clusters = [rng.randrange(5) for _ in range(n)], [rng.randrange(-1, 9) for _ in range(n)]
+        bins, want = [], []
+        for size, source, cluster in zip(sizes, sources, clusters):
+            fits = [
+                (capacity - sum(s for s, _, _ in held), i)
+                for i, held in enumerate(bins)
+                if capacity - sum(s for s, _, _ in held) >= size and sum(o == source for _, o, _ in held) < per_source and (cluster < 0 or all(c != cluster for _, _, c in held))
+            ]
+            at = min(fits)[1] if fits else len(bins)
+            if not fits:
+                bins.append([])
+            want.append((at, sum(s for s, _, _ in bins[at])))
+            bins[at].append((size, source, cluster))
+        assert best_fit(sizes, sources, clusters, capacity, per_source) == want
+
+
 def test_packing_law(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("w" * (1 + j % 3) for j in range(rng.randint(0, 60))) if i % 5 else "same text here", f"s{i % 3}") for i in range(400)]
