@@ -107,6 +107,13 @@ def delete_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.delete_keys(table(spark, sf_dir, "customer").select("c_custkey"), keys, "c_custkey")
 
 
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000 AND o_orderkey % 7 = 0 AND o_custkey IS NOT NULL)")
+def delete_by_selected_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without those of one kind of orders."""
+    keys = table(spark, sf_dir, "orders").filter("o_totalprice > 100000 and o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return tables.delete_keys(table(spark, sf_dir, "customer").select("c_custkey"), keys, "c_custkey")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate > TIMESTAMP '1997-06-01' AND NOT coalesce(o_orderstatus = 'F', FALSE)")
 def incremental_high_water_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     import datetime

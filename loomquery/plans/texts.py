@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomquery.functions import code
 from loomquery.functions import text as fn
 from loomquery.operators import chunking, patterns, understanding
 from loomquery.plans.registry import query, rounded, table
@@ -87,6 +88,18 @@ def exact_term_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(fn.exact_terms(F.col("text"))).alias("term"))
 
 
+@query("""
+    SELECT page_id, unnest(list_distinct(list_concat(
+        regexp_extract_all(url, '\\b(\\w+)\\s*\\(', 1), regexp_extract_all(url, '(?i)class\\s+(\\w+)', 1), regexp_extract_all(url, '(?i)from\\s+(\\w+)', 1), regexp_extract_all(url, '(?i)import\\s+(\\w+)', 1),
+        regexp_extract_all(url, '(\\w+)\\.(\\w+)', 1), regexp_extract_all(url, '(\\w+)\\.(\\w+)', 2),
+        list_filter(regexp_split_to_array(url, '\\s+'), lambda x: regexp_full_match(x, '[a-zA-Z_][a-zA-Z0-9_]*') AND length(x) > 2)))) AS entity
+    FROM pages
+""")
+def page_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that a page's address may mean."""
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(code.entities(F.col("url"))).alias("entity"))
+
+
 def _when_any(text: str, words: list[str]) -> str:
     return "(" + " OR ".join("contains({}, '{}')".format(text, w.replace("'", "''")) for w in words) + ")"
 
@@ -132,11 +145,34 @@ def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "score")
 
 
-@query()
+_WORDS_SQL = "list_filter(regexp_split_to_array(lower(trim(text, ' ')), '\\s+'), lambda x: x <> '')"
+
+
+def _enhancement_sql() -> str:
+    """Wordings numbered in the order in which they are made; the first of equal ones counts."""
+    verbs = [(verb, other) for verb, others in understanding.VERBS.items() for other in [o for o in others if o != verb][:2]]
+    terms = [(intent, term) for intent, pair in understanding.INTENT_TERMS.items() for term in pair[0]]
+    full = " ".join(f"WHEN '{short}' THEN '{long}'" for short, long in understanding.ABBREVIATIONS.items())
+    numbered = [", ".join(f"({n}, '{a}', '{b}')" for n, (a, b) in enumerate(pairs)) for pairs in (verbs, terms)]
+    return f"""
+        WITH i AS ({_INTENT_SQL}), t AS (SELECT conv_id, turn, text, intent, {_WORDS_SQL} AS w FROM i JOIN conversations USING (conv_id, turn)),
+        v AS (
+            SELECT conv_id, turn, 0 AS nth, text AS wording FROM t
+            UNION ALL SELECT conv_id, turn, 1, coalesce(array_to_string(list_transform(w, lambda x: CASE x {full} ELSE x END), ' '), '') FROM t
+            UNION ALL SELECT conv_id, turn, 2 + n, array_to_string(list_transform(w, lambda x: CASE WHEN x = verb THEN other ELSE x END), ' ') FROM t JOIN (VALUES {numbered[0]}) o(n, verb, other) ON list_contains(w, verb)
+            UNION ALL SELECT conv_id, turn, 1000 + n, concat_ws(' ', text, term) FROM t JOIN (VALUES {numbered[1]}) k(n, kind, term) ON kind = intent
+        ),
+        d AS (SELECT conv_id, turn, wording, min(nth) AS nth FROM v GROUP BY conv_id, turn, wording)
+        SELECT conv_id, turn, wording, row_number() OVER (PARTITION BY conv_id, turn ORDER BY nth) - 1 AS place FROM d QUALIFY place < 15
+    """
+
+
+@query(_enhancement_sql())
 def query_enhancement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wordings each turn is searched by; their order is part of the result."""
     turns = table(spark, sf_dir, "conversations").withColumn("intent", understanding.classify_intent(F.col("text"))["intent"])
-    return turns.select("conv_id", "turn", F.posexplode(understanding.enhanced(F.col("text"), F.col("intent"))).alias("place", "wording"))
+    each = turns.select("conv_id", "turn", F.posexplode(understanding.enhanced(F.col("text"), F.col("intent"))).alias("place", "wording"))
+    return each.withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"""
@@ -152,7 +188,10 @@ def query_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumn("intent", intent).select("conv_id", "turn", understanding.complexity(F.col("text")).alias("complexity"), understanding.route(F.col("text"), F.col("intent")).alias("agent"))
 
 
-@query()
+@query(f"""
+    SELECT conv_id, turn, query, CASE WHEN query = '' THEN 'empty' WHEN length(query) > 400 THEN 'too long' WHEN len({_WORDS_SQL.replace("text", "query")}) > 50 THEN 'too many words' END AS error
+    FROM (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '{understanding.DANGEROUS}', '', 'g'), ' ') AS query FROM conversations)
+""")
 def query_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = table(spark, sf_dir, "conversations").select("conv_id", "turn", understanding.validated(F.col("text")).alias("x"))
     return checked.select("conv_id", "turn", "x.query", "x.error")
