@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomquery.llm import langid, lm, packing, quality, sentencepiece_scan
+from loomquery.llm import langid, lm, packing, quality, sentencepiece_scan, token_files
 from loomquery.llm.common import id_bucket
 from loomquery.llm.exact_dedup import exact_dedup
 from loomquery.llm.licenses import SHINGLE, SIMILARITY, TEMPLATES, license_scan
@@ -84,6 +84,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.tokens_in_files(table(spark, sf_dir, "documents"), tokenizer, checksums=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_score": op2_lm_score,
@@ -95,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_token_files": op13_token_files,
 }
 
 def _shingle_rows(name: str, rows: str, keys: str) -> str:
