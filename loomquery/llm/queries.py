@@ -11,6 +11,7 @@ from loomquery.llm import langid, lm, packing, quality, sentencepiece_scan, toke
 from loomquery.llm.common import id_bucket
 from loomquery.llm.exact_dedup import exact_dedup
 from loomquery.llm.licenses import SHINGLE, SIMILARITY, TEMPLATES, license_scan
+from loomquery.llm.prefix_trie import prefix_trie
 from loomquery.llm.sharding import interleave_shards
 from loomquery.llm.simhash import near_dedup
 from loomquery.llm.topk import top_k
@@ -84,6 +85,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation begins with turns of the first one of its hundred."""
+    conv = F.col("conv")
+    return prefix_trie(table(spark, sf_dir, "conversations"), conv - conv % 100, F.crc32(conv.cast("string")) % 6)
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
@@ -103,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_token_files": op13_token_files,
 }
 
@@ -118,7 +126,49 @@ def _shingle_rows(name: str, rows: str, keys: str) -> str:
 _TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in TEMPLATES)
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: A CTE: the table of the CRC-32 polynomial.
+_CRC_TABLE = """tbl AS MATERIALIZED (
+            SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t
+        )"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_prefix_trie": f"""
+        WITH {_CRC_TABLE},
+        n AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY i) AS turns FROM n GROUP BY conv_id),
+        h AS (
+            SELECT conv_id, turns, conv_id - conv_id % 100 AS base,
+                   xor(list_reduce(list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda b: ('0x' || b)::BIGINT),
+                                   lambda x, y: xor(t[(xor(x, y) & 255) + 1], x >> 8), 4294967295), 4294967295) % 6 AS h
+            FROM c, tbl
+        ),
+        r AS (
+            SELECT h.conv_id, CASE WHEN b.conv_id IS NULL THEN h.turns[h.h + 1:] ELSE list_concat(b.turns[1:h.h], h.turns[h.h + 1:]) END AS turns
+            FROM h LEFT JOIN c b ON b.conv_id = h.base
+        ),
+        p AS (SELECT conv_id, d AS depth, turns[1:d] AS path, len(turns) = d AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+        node AS (
+            SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM p GROUP BY path, depth
+        ),
+        child AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+        own AS (
+            SELECT node.*, coalesce(n_children, 0) AS n_children, up.conv_id AS parent_conv_id,
+                   CASE WHEN node.depth > 0 THEN (node.n_convs - 1) * length(node.path[node.depth].text) ELSE 0 END AS saved
+            FROM node LEFT JOIN child ON child.path = node.path LEFT JOIN node up ON node.depth > 0 AND up.path = node.path[1:node.depth - 1]
+        ),
+        total AS (
+            SELECT p.path, count(*) FILTER (own.n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+            FROM own JOIN p ON p.conv_id = own.conv_id AND p.depth <= own.depth GROUP BY p.path
+        )
+        SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM own JOIN total USING (path)
+    """,
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
         SELECT doc_id,
