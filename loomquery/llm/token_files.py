@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,10 +19,12 @@ from tokenizers import Tokenizer
 from loomquery.llm.common import partitions
 from loomquery.sources.stored import shared_dir
 
-KNOWN_UNITS = 500_000  # units a task remembers before it begins anew
+KNOWN_UNITS = 300_000  # units, and parts of them, that a task remembers before it begins anew
 LONG_UNIT = 64  # characters of a unit that is not worth remembering
+SYMBOLS = string.punctuation
+LAST_LETTER = "\u052f"  # of the Latin, Greek and Cyrillic alphabets
 JOINED = 256  # units the library gets in one string
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 2 << 20
 BLOCK_IDS = 1 << 20  # a block is closed at so many ids; a document is never divided
 
 #: Lengths of the four ids that a control byte stands for: two bits each, lowest first, one byte less than the length.
@@ -69,8 +72,38 @@ def cuts_at_blanks(source: str) -> bool:
     return bool(plain and not found.get("normalizer") and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in found.get("added_tokens", [])))
 
 
+class Table:
+    """Strings by number, with the ids of each."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.n = self.used = 0
+
+    def add(self, flat: np.ndarray, length: np.ndarray) -> range:
+        """Numbers for new strings that have these ids, one after another."""
+        n, used = self.n + len(length), self.used + len(flat)
+        if n > len(self.start):
+            more = np.zeros(n, np.int64)
+            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
+        if used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(used, np.uint32)])
+        self.flat[self.used : used] = flat
+        self.start[self.n : n], self.length[self.n : n] = self.used + np.cumsum(length) - length, length
+        own = range(self.n, n)
+        self.n, self.used = n, used
+        return own
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings of these numbers, and the place after each one's last."""
+        length = self.length[numbers]
+        after = np.cumsum(length)
+        return self.flat[np.repeat(self.start[numbers] - after + length, length) + np.arange(after[-1] if len(after) else 0)], after
+
+
 class Units:
-    """Ids of texts. A unit, the text between two safe blanks, is given to the library once and then remembered."""
+    """Ids of texts. The text between two safe blanks is a unit, whose ids are remembered, as are those of its word without the symbols at its end."""
 
     def __init__(self, source: str, end_id: int) -> None:
         self.tokenizer = Tokenizer.from_str(source)
@@ -79,13 +112,14 @@ class Units:
         vocabulary = self.tokenizer.get_vocab()
         self.blank = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # pieces that begin with a blank
         self.blank[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
+        self.parts = Table()
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.full(1 << 16, self.end_id, np.uint32)
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
-        self.n, self.used = 1, 1  # unit 0 is a text's end
+        self.whole = Table()
+        self.whole.add(np.array([self.end_id], np.uint32), np.array([1]))  # unit 0 is a text's end
+        if self.parts.n > KNOWN_UNITS or self.parts.used > 4 * KNOWN_UNITS:
+            self.parts = Table()
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of texts, one after another, and how many each has."""
@@ -93,11 +127,11 @@ class Units:
         length = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), length
 
-    def joined_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """ids() of units with one blank each, at their beginning: they go to the library many at a time, and a new one begins where a piece begins with a blank."""
-        flat, _ = self.ids(["".join(units[i : i + JOINED]) for i in range(0, len(units), JOINED)])
+    def joined_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids() of strings with one blank each, at their beginning: they go to the library many at a time, and a new one begins where a piece begins with a blank."""
+        flat, _ = self.ids(["".join(parts[i : i + JOINED]) for i in range(0, len(parts), JOINED)])
         begins = np.flatnonzero(self.blank[flat])
-        return (flat, np.diff(begins, append=len(flat))) if len(begins) == len(units) else self.ids(units)
+        return (flat, np.diff(begins, append=len(flat))) if len(begins) == len(parts) else self.ids(parts)
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -117,25 +151,34 @@ class Units:
             closed = bool(p) and p[-1].isprintable()
         return [" ".join(x) for x in out]
 
-    def add(self, flat: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Numbers for new units of these ids."""
-        n, used = self.n + len(length), self.used + len(flat)
-        if n > len(self.start):
-            more = np.zeros(n, np.int64)
-            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
-        if used > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(used, np.uint32)])
-        self.flat[self.used : used] = flat
-        self.start[self.n : n], self.length[self.n : n] = self.used + np.cumsum(length) - length, length
-        self.n, self.used = n, used
-        return np.arange(n - len(length), n)
+    @staticmethod
+    def divided(unit: str) -> tuple[str, ...]:
+        """A unit as the library gets it, in one part; in two where symbols end it and an alphabet's letter stands before them."""
+        text = unit[1:] if unit[:1] == "\n" else " " + unit
+        word = text.rstrip(SYMBOLS)
+        if len(word) == len(text) or len(word) < 2 or not word[-1].isalpha() or word[-1] > LAST_LETTER or "<" in text:
+            return (text,)
+        return word, text[len(word) :]
+
+    def learn(self, units: list[str]) -> dict[str, int]:
+        """Numbers of new units. The library gets each part that is not known yet once."""
+        divided = [self.divided(u) for u in units]
+        flat = list(chain.from_iterable(divided))
+        known = self.parts.number
+        fresh = [p for p in dict.fromkeys(flat) if p not in known]
+        joined, alone = [p for p in fresh if p.rfind(" ") == 0], [p for p in fresh if p.rfind(" ") != 0]
+        known.update(zip(joined, self.parts.add(*self.joined_ids(joined))))
+        known.update(zip(alone, self.parts.add(*self.ids(alone))))
+        ids, after = self.parts.ids(np.fromiter(map(known.__getitem__, flat), np.int64, len(flat)))
+        last = np.cumsum(np.fromiter(map(len, divided), np.int64, len(divided))) - 1
+        return dict(zip(units, self.whole.add(ids, np.diff(after[last], prepend=0))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another and each with its end id, and how many each has."""
         if not self.by_unit:
             flat, length = self.ids(texts)
             return np.insert(flat, np.cumsum(length), np.uint32(self.end_id)), length + 1
-        if self.n > KNOWN_UNITS or self.used > 4 * KNOWN_UNITS:
+        if self.whole.n > KNOWN_UNITS or self.whole.used > 4 * KNOWN_UNITS:
             self.clear()
         units: list[str] = []
         sizes = np.zeros(len(texts), np.int64)
@@ -145,69 +188,67 @@ class Units:
                 own[0] = "\n" + own[0]  # a first unit has no blank before it: no other unit begins with a line feed
                 units += own
                 sizes[i] = len(own)
-        numbers = list(map(self.number.get, units))
+        numbers = list(map(self.whole.number.get, units))
         if None in numbers:
-            fresh = list(dict.fromkeys(u for u, k in zip(units, numbers) if k is None))
-            first, joined = [u for u in fresh if u[0] == "\n"], [u for u in fresh if u[0] != "\n" and " " not in u]
-            rest = [u for u in fresh if u[0] != "\n" and " " in u]
-            known = dict(zip(first, self.add(*self.ids([u[1:] for u in first])).tolist()))
-            known |= dict(zip(joined, self.add(*self.joined_ids([" " + u for u in joined])).tolist()))
-            known |= dict(zip(rest, self.add(*self.ids([" " + u for u in rest])).tolist()))
-            self.number.update((u, k) for u, k in known.items() if len(u) <= LONG_UNIT)
+            known = self.learn(list(dict.fromkeys(u for u, k in zip(units, numbers) if k is None)))
+            self.whole.number.update((u, k) for u, k in known.items() if len(u) <= LONG_UNIT)
             numbers = [known[u] if k is None else k for u, k in zip(units, numbers)]
         ends = np.cumsum(sizes)
-        order = np.insert(np.array(numbers, np.int64), ends, 0)
-        length = self.length[order]
-        after = np.cumsum(length)
-        ids = self.flat[np.repeat(self.start[order] - after + length, length) + np.arange(after[-1] if len(after) else 0)]
+        ids, after = self.whole.ids(np.insert(np.array(numbers, np.int64), ends, 0))
         return ids, np.diff(after[ends + np.arange(len(texts))], prepend=0)
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers, ``end_id`` last) of every row.
+    """doc_id, n_tokens and ids (little-endian unsigned integers, ``end_id`` last; of two bytes if all of the vocabulary fits, else of four) of every row, and counts.
+
+    ``counts`` is null but in one row that each task adds at its end, which has
+    nothing else: how often each id came, as little-endian 64-bit integers.
 
     ``tokenizer`` is the path of a file of the tokenizers library; it is read by
     the driver and sent to the tasks. Texts are taken whole, without special
     tokens around them. A null text counts as empty and has the end id only;
     null ids and repeated rows are kept; other columns are ignored; an empty
-    table gives an empty result.
+    table gives no documents.
     """
     with open(tokenizer, encoding="utf-8") as f:
         source = f.read()
+    largest = max([end_id, *Tokenizer.from_str(source).get_vocab().values()])
     shared = docs.sparkSession.sparkContext.broadcast(source)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kind = "<u2" if largest < 1 << 16 else "<u4"
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         units = Units(shared.value, end_id)
+        total = np.zeros(largest + 1, "<i8")
         for batch in batches:
             part = np.cumsum(batch["text"].str.len().to_numpy(np.int64)) // BATCH_CHARS if len(batch) else []
             for _, own in batch.groupby(part, sort=False):
                 ids, length = units.encode(own["text"].tolist())
-                raw, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(length)
-                yield pd.DataFrame({"doc_id": own["doc_id"], "n_tokens": length, "ids": [raw[a:b] for a, b in zip(ends - 4 * length, ends)]}, index=own.index)
+                total += np.bincount(ids, minlength=largest + 1)
+                raw = ids.astype(kind)
+                ends = np.cumsum(length)
+                yield pd.DataFrame({"doc_id": own["doc_id"], "n_tokens": length, "ids": [raw[a:b].tobytes() for a, b in zip(ends - length, ends)], "counts": None}, index=own.index)
+        yield pd.DataFrame({"doc_id": pd.Series([pd.NA], dtype="Int64"), "n_tokens": pd.Series([pd.NA], dtype="Int64"), "ids": [None], "counts": [total.tobytes()]})
 
-    return rows.mapInPandas(tokens, "doc_id long, n_tokens long, ids binary")
+    return rows.mapInPandas(tokens, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
 def frequency_ranks(encoded: DataFrame) -> DataFrame:
-    """rank (from 0), id, n: ids by falling count, then by id. The counts are of all rows; each task adds up its own first."""
+    """rank (from 0), id, n: ids by falling count, then by id; ids that don't occur are left out."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
-            got = np.bincount(ids)
-            if len(got) > len(total):
-                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-            total[: len(got)] += got
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
+            for own in batch.column(0).to_pylist():
+                total = np.frombuffer(own, "<i8")
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
 
-    return encoded.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    each = encoded.select("counts").filter("counts is not null").mapInArrow(counted, "id long, n long")
+    return each.groupBy("id").agg(F.sum("n").alias("n")).withColumn("rank", F.expr("row_number() over (order by n desc, id) - 1"))
 
 
 def write(encoded: DataFrame, path: str) -> None:
-    """Write ``encoded`` (doc_id, n_tokens, ids) to the folder ``path`` in ascending doc_id order, null ids first.
+    """Write ``encoded``, as encode() gives it, to the folder ``path`` in ascending doc_id order, null ids first.
 
     Rows of one id follow each other by a hash of their ids. ``path`` gets three
     parts. ``ranks``: the id of each rank, most frequent first. ``shards``: how
@@ -222,14 +263,14 @@ def write(encoded: DataFrame, path: str) -> None:
     corpus. An empty table gives empty parts.
     """
     spark = encoded.sparkSession
-    frequency_ranks(encoded).withColumn("rank", F.expr("row_number() over (order by n desc, id) - 1")).coalesce(1).sortWithinPartitions("rank").write.parquet(f"{path}/ranks")
+    frequency_ranks(encoded).coalesce(1).sortWithinPartitions("rank").write.parquet(f"{path}/ranks")
     by_rank = np.array([r["id"] for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], np.int64)
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)
     keys = [F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("row_no")]
     ordered = (
-        encoded.select("doc_id", "n_tokens", "ids", F.xxhash64("ids").alias("mark"), F.monotonically_increasing_id().alias("row_no"))
+        encoded.filter("n_tokens is not null").select("doc_id", "n_tokens", "ids", F.xxhash64("ids").alias("mark"), F.monotonically_increasing_id().alias("row_no"))
         .repartitionByRange(partitions(spark), *keys)
         .sortWithinPartitions(*keys)
         .select(F.spark_partition_id().alias("shard"), "doc_id", "n_tokens", "ids")
@@ -242,7 +283,7 @@ def write(encoded: DataFrame, path: str) -> None:
         def closed(shard: int, docs: list, lengths: list, ids: list) -> pa.RecordBatch:
             nonlocal offset
             n = np.array(lengths, np.int64)
-            flat = ranks[np.frombuffer(b"".join(ids), "<u4")]
+            flat = ranks[np.frombuffer(b"".join(ids), f"<u{len(ids[0]) // lengths[0]}")]
             control, data = pack_ids(flat, n)
             row = {"shard": [shard], "offset": [offset], "doc_ids": [docs], "lengths": [lengths], "control": [control], "data": [data]}
             offset += int(n.sum())
