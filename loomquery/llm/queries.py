@@ -11,6 +11,7 @@ from loomquery.llm import langid, lm, packing, quality, sentencepiece_scan, toke
 from loomquery.llm.common import id_bucket
 from loomquery.llm.exact_dedup import exact_dedup
 from loomquery.llm.licenses import SHINGLE, SIMILARITY, TEMPLATES, license_scan
+from loomquery.llm.negatives import hard_negatives
 from loomquery.llm.prefix_trie import prefix_trie
 from loomquery.llm.sharding import interleave_shards
 from loomquery.llm.simhash import near_dedup
@@ -85,6 +86,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is moved on by one, so that some negatives are false ones."""
+    label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation begins with turns of the first one of its hundred."""
     conv = F.col("conv")
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_token_files": op13_token_files,
 }
@@ -133,6 +141,31 @@ _CRC_TABLE = """tbl AS MATERIALIZED (
         )"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": """
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS row_no, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS MATERIALIZED (
+            SELECT a.row_no AS anchor_row, a.vec_id AS anchor_id, a.label AS anchor_label, c.row_no AS own_row, c.vec_id, c.label,
+                   list_inner_product(a.e, c.e)::BIGINT AS score
+            FROM v a JOIN v c ON a.row_no <> c.row_no WHERE a.vec_id % 50 = 0
+        ),
+        p AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_row ORDER BY score DESC, vec_id, own_row) AS nth FROM s WHERE label = anchor_label)
+            WHERE nth <= 5
+        )
+        SELECT * FROM (
+            SELECT p.anchor_id, p.vec_id AS positive_id,
+                   CAST(row_number() OVER (PARTITION BY p.anchor_row, p.own_row ORDER BY s.score DESC, s.vec_id, s.own_row) AS INTEGER) AS rank,
+                   s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+            FROM p JOIN s ON s.anchor_row = p.anchor_row AND s.label <> p.anchor_label
+                AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+        ) WHERE rank <= 3
+    """,
     "op12_prefix_trie": f"""
         WITH {_CRC_TABLE},
         n AS (
