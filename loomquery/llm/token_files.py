@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import json
-import string
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -19,12 +18,10 @@ from tokenizers import Tokenizer
 from loomquery.llm.common import partitions
 from loomquery.sources.stored import shared_dir
 
-KNOWN_UNITS = 300_000  # units, and parts of them, that a task remembers before it begins anew
+KNOWN_UNITS = 500_000  # units that a worker remembers before it begins anew
 LONG_UNIT = 64  # characters of a unit that is not worth remembering
-SYMBOLS = string.punctuation
-LAST_LETTER = "\u052f"  # of the Latin, Greek and Cyrillic alphabets
 JOINED = 256  # units the library gets in one string
-BATCH_CHARS = 2 << 20
+BATCH_BYTES = 2 << 20
 BLOCK_IDS = 1 << 20  # a block is closed at so many ids; a document is never divided
 
 #: Lengths of the four ids that a control byte stands for: two bits each, lowest first, one byte less than the length.
@@ -72,38 +69,8 @@ def cuts_at_blanks(source: str) -> bool:
     return bool(plain and not found.get("normalizer") and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in found.get("added_tokens", [])))
 
 
-class Table:
-    """Strings by number, with the ids of each."""
-
-    def __init__(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.n = self.used = 0
-
-    def add(self, flat: np.ndarray, length: np.ndarray) -> range:
-        """Numbers for new strings that have these ids, one after another."""
-        n, used = self.n + len(length), self.used + len(flat)
-        if n > len(self.start):
-            more = np.zeros(n, np.int64)
-            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
-        if used > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(used, np.uint32)])
-        self.flat[self.used : used] = flat
-        self.start[self.n : n], self.length[self.n : n] = self.used + np.cumsum(length) - length, length
-        own = range(self.n, n)
-        self.n, self.used = n, used
-        return own
-
-    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the strings of these numbers, and the place after each one's last."""
-        length = self.length[numbers]
-        after = np.cumsum(length)
-        return self.flat[np.repeat(self.start[numbers] - after + length, length) + np.arange(after[-1] if len(after) else 0)], after
-
-
 class Units:
-    """Ids of texts. The text between two safe blanks is a unit, whose ids are remembered, as are those of its word without the symbols at its end."""
+    """Ids of texts. The text between two safe blanks is a unit, which is given to the library once and then remembered."""
 
     def __init__(self, source: str, end_id: int) -> None:
         self.tokenizer = Tokenizer.from_str(source)
@@ -112,14 +79,13 @@ class Units:
         vocabulary = self.tokenizer.get_vocab()
         self.blank = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # pieces that begin with a blank
         self.blank[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
-        self.parts = Table()
         self.clear()
 
     def clear(self) -> None:
-        self.whole = Table()
-        self.whole.add(np.array([self.end_id], np.uint32), np.array([1]))  # unit 0 is a text's end
-        if self.parts.n > KNOWN_UNITS or self.parts.used > 4 * KNOWN_UNITS:
-            self.parts = Table()
+        self.number: dict[str, int] = {}
+        self.flat = np.full(1 << 16, self.end_id, np.uint32)
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
+        self.n = self.used = 1  # unit 0 is a text's end
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of texts, one after another, and how many each has."""
@@ -127,11 +93,11 @@ class Units:
         length = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), length
 
-    def joined_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """ids() of strings with one blank each, at their beginning: they go to the library many at a time, and a new one begins where a piece begins with a blank."""
-        flat, _ = self.ids(["".join(parts[i : i + JOINED]) for i in range(0, len(parts), JOINED)])
+    def joined_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids() of units with one blank each, at their beginning: they go to the library many at a time, and a new one begins where a piece begins with a blank."""
+        flat, _ = self.ids(["".join(units[i : i + JOINED]) for i in range(0, len(units), JOINED)])
         begins = np.flatnonzero(self.blank[flat])
-        return (flat, np.diff(begins, append=len(flat))) if len(begins) == len(parts) else self.ids(parts)
+        return (flat, np.diff(begins, append=len(flat))) if len(begins) == len(units) else self.ids(units)
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -151,53 +117,60 @@ class Units:
             closed = bool(p) and p[-1].isprintable()
         return [" ".join(x) for x in out]
 
-    @staticmethod
-    def divided(unit: str) -> tuple[str, ...]:
-        """A unit as the library gets it, in one part; in two where symbols end it and an alphabet's letter stands before them."""
-        text = unit[1:] if unit[:1] == "\n" else " " + unit
-        word = text.rstrip(SYMBOLS)
-        if len(word) == len(text) or len(word) < 2 or not word[-1].isalpha() or word[-1] > LAST_LETTER or "<" in text:
-            return (text,)
-        return word, text[len(word) :]
-
-    def learn(self, units: list[str]) -> dict[str, int]:
-        """Numbers of new units. The library gets each part that is not known yet once."""
-        divided = [self.divided(u) for u in units]
-        flat = list(chain.from_iterable(divided))
-        known = self.parts.number
-        fresh = [p for p in dict.fromkeys(flat) if p not in known]
-        joined, alone = [p for p in fresh if p.rfind(" ") == 0], [p for p in fresh if p.rfind(" ") != 0]
-        known.update(zip(joined, self.parts.add(*self.joined_ids(joined))))
-        known.update(zip(alone, self.parts.add(*self.ids(alone))))
-        ids, after = self.parts.ids(np.fromiter(map(known.__getitem__, flat), np.int64, len(flat)))
-        last = np.cumsum(np.fromiter(map(len, divided), np.int64, len(divided))) - 1
-        return dict(zip(units, self.whole.add(ids, np.diff(after[last], prepend=0))))
+    def add(self, flat: np.ndarray, length: np.ndarray) -> range:
+        """Numbers for new units that have these ids, one after another."""
+        n, used = self.n + len(length), self.used + len(flat)
+        if n > len(self.start):
+            more = np.zeros(n, np.int64)
+            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
+        if used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(used, np.uint32)])
+        self.flat[self.used : used] = flat
+        self.start[self.n : n], self.length[self.n : n] = self.used + np.cumsum(length) - length, length
+        own = range(self.n, n)
+        self.n, self.used = n, used
+        return own
+
+    def learn(self, fresh: list[str]) -> dict[str, int]:
+        """Numbers of new units. One that begins with a line feed is a text's first, without blank before it."""
+        joined = [u for u in fresh if " " not in u and u[:1] != "\n"]
+        known = dict(zip(joined, self.add(*self.joined_ids([" " + u for u in joined]))))
+        alone = [u for u in fresh if u not in known]
+        return known | dict(zip(alone, self.add(*self.ids([u[1:] if u[:1] == "\n" else " " + u for u in alone]))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another and each with its end id, and how many each has."""
         if not self.by_unit:
             flat, length = self.ids(texts)
             return np.insert(flat, np.cumsum(length), np.uint32(self.end_id)), length + 1
-        if self.whole.n > KNOWN_UNITS or self.whole.used > 4 * KNOWN_UNITS:
+        if self.n > KNOWN_UNITS or self.used > 4 * KNOWN_UNITS:
             self.clear()
         units: list[str] = []
         sizes = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text:
                 own = self.units(text)
-                own[0] = "\n" + own[0]  # a first unit has no blank before it: no other unit begins with a line feed
+                own[0] = "\n" + own[0]
                 units += own
                 sizes[i] = len(own)
-        numbers = list(map(self.whole.number.get, units))
-        if None in numbers:
-            known = self.learn(list(dict.fromkeys(u for u, k in zip(units, numbers) if k is None)))
-            self.whole.number.update((u, k) for u, k in known.items() if len(u) <= LONG_UNIT)
-            numbers = [known[u] if k is None else k for u, k in zip(units, numbers)]
+        numbers = np.fromiter(map(self.number.get, units, repeat(-1)), np.int64, len(units))
+        at = np.flatnonzero(numbers < 0)
+        if len(at):
+            fresh = [units[i] for i in at.tolist()]
+            known = self.learn(list(dict.fromkeys(fresh)))
+            numbers[at] = np.fromiter(map(known.__getitem__, fresh), np.int64, len(fresh))
+            self.number.update(known if max(map(len, known)) <= LONG_UNIT else {u: k for u, k in known.items() if len(u) <= LONG_UNIT})
         ends = np.cumsum(sizes)
-        ids, after = self.whole.ids(np.insert(np.array(numbers, np.int64), ends, 0))
+        order = np.insert(numbers, ends, 0)
+        length = self.length[order]
+        after = np.cumsum(length)
+        ids = self.flat[np.repeat(self.start[order] - after + length, length) + np.arange(after[-1] if len(after) else 0)]
         return ids, np.diff(after[ends + np.arange(len(texts))], prepend=0)
 
 
+ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+
+
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned integers, ``end_id`` last; of two bytes if all of the vocabulary fits, else of four) of every row, and counts.
 
@@ -213,24 +186,27 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_
     with open(tokenizer, encoding="utf-8") as f:
         source = f.read()
     largest = max([end_id, *Tokenizer.from_str(source).get_vocab().values()])
-    shared = docs.sparkSession.sparkContext.broadcast(source)
+    # A worker keeps what it has learned in its copy of the broadcast value, for the tasks that follow.
+    shared = docs.sparkSession.sparkContext.broadcast({"source": source})
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = "<u2" if largest < 1 << 16 else "<u4"
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units = Units(shared.value, end_id)
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = shared.value
+        units = kept["units"] if "units" in kept else kept.setdefault("units", Units(kept["source"], end_id))
         total = np.zeros(largest + 1, "<i8")
         for batch in batches:
-            part = np.cumsum(batch["text"].str.len().to_numpy(np.int64)) // BATCH_CHARS if len(batch) else []
-            for _, own in batch.groupby(part, sort=False):
-                ids, length = units.encode(own["text"].tolist())
+            size = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(size) // BATCH_BYTES, prepend=-1)).tolist() + [len(size)]
+            for low, high in zip(cuts, cuts[1:]):
+                ids, length = units.encode(batch.column(1).slice(low, high - low).to_pylist())
                 total += np.bincount(ids, minlength=largest + 1)
-                raw = ids.astype(kind)
-                ends = np.cumsum(length)
-                yield pd.DataFrame({"doc_id": own["doc_id"], "n_tokens": length, "ids": [raw[a:b].tobytes() for a, b in zip(ends - length, ends)], "counts": None}, index=own.index)
-        yield pd.DataFrame({"doc_id": pd.Series([pd.NA], dtype="Int64"), "n_tokens": pd.Series([pd.NA], dtype="Int64"), "ids": [None], "counts": [total.tobytes()]})
+                ends = np.concatenate([[0], np.cumsum(length)]) * np.dtype(kind).itemsize
+                raw = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype(kind))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(length), raw.cast(pa.binary()), pa.nulls(len(length), pa.binary())], schema=ENCODED)
+        yield pa.RecordBatch.from_pydict({"doc_id": [None], "n_tokens": [None], "ids": [None], "counts": [total.tobytes()]}, schema=ENCODED)
 
-    return rows.mapInPandas(tokens, "doc_id long, n_tokens long, ids binary, counts binary")
+    return rows.mapInArrow(tokens, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
 def frequency_ranks(encoded: DataFrame) -> DataFrame:
@@ -322,7 +298,7 @@ def read(spark: SparkSession, path: str, checksums: bool = False) -> DataFrame:
     starts = {r["shard"]: r["start"] for r in spark.read.parquet(f"{path}/shards").collect()}
     shared = spark.sparkContext.broadcast((by_rank, starts))
 
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, before = shared.value
         for batch in batches:
             for block in batch.to_pylist():
