@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,9 @@ UNKNOWN = "und"
 #: One odd multiplier for each probe (fixed values: fractional bits of the square roots of 2 and 3).
 MULTIPLIERS = (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B)
 ENOUGH = 100_000  # n-grams of a language's sample, from which on those met once are left out
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Signs that count as part of words but are numerals: fractions, superscripts, circled and Roman ones.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
 _BLOCK = 1 << 20
 
 
@@ -30,19 +33,24 @@ def letters(text: str | None) -> str:
     return _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
 
 
-def grams(text: str) -> np.ndarray:
-    """Hashes of all character n-grams of a text, blanks at its ends included."""
-    codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def grams(text: str, starts: int | None = None) -> np.ndarray:
+    """Hashes of all character n-grams of a text, or of those that begin at one of its first ``starts`` characters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     out, h = [], codes
     for n in range(2, max(ORDERS) + 1):
         h = h[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :]
         if n in ORDERS:
-            out.append(h * np.uint64(8) + np.uint64(n))
+            out.append(h[:starts] * np.uint64(8) + np.uint64(n))
         if len(h) < 2:
             break
     return np.concatenate(out)
 
 
+def padded(text: str) -> str:
+    """A text with the blanks before and behind it that its n-grams may hold."""
+    return f" {text} "
+
+
 def slots(h: np.ndarray) -> list[np.ndarray]:
     mixed = h ^ h >> np.uint64(29)
     return [(mixed * np.uint64(m) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for m in MULTIPLIERS]
@@ -62,8 +70,9 @@ class LanguageFilters:
     def hits(self, text: str) -> tuple[np.ndarray, int]:
         """For each language, how many n-grams of the text its filter holds; and how many there are."""
         count, total = np.zeros(len(self.langs)), 0
-        for at in range(0, len(text), _BLOCK):  # blocks that overlap by the longest n-gram less one
-            h = grams(text[max(0, at - max(ORDERS) + 1) : at + _BLOCK])
+        whole = padded(text)
+        for at in range(0, len(whole) - 1, _BLOCK):  # a block also sees what its last n-grams end with
+            h = grams(whole[at : at + _BLOCK + max(ORDERS) - 1], _BLOCK)
             total += len(h)
             at_slots = slots(h)
             for w in range(len(self.table)):
@@ -112,7 +121,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     An n-gram enters the filter of a language if it occurs there at least twice
     (once, where the language's sample has less than ENOUGH n-grams) and at no
     less than ``distinctive`` times its rate in the language where it
-    is most frequent. Counting runs on the cluster; what reaches the driver is
+    is most frequent. Null texts and languages are left out; repeated rows of
+    one key are drawn together and count as often as they are there; without
+    any labelled row the filters know no language. Counting runs on the cluster; what reaches the driver is
     one mask per filter slot, 2^20 for every 64 languages at most.
     """
     sample, langs = draw(labelled, text_col, lang_col, key_col, per_language)
@@ -122,7 +133,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                found = [grams(t) for t in map(letters, texts) if t]
+                found = [grams(padded(t)) for t in map(letters, texts) if t]
                 if found:
                     h, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": h.view(np.int64), "n": n})
@@ -152,8 +163,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
 def identify(df: DataFrame, filters: LanguageFilters, text_col: str = "text", share: bool = False):
     """A column of (lang, score), and on demand the share of known n-grams, for a text column. The filters' size is fixed: 8 MB for every 64 languages.
 
-    Null text and text without a letter give ("und", 0); texts of any length
-    are read whole. Ties fall to the language first in the alphabet.
+    Null text and text without a letter (of a Unicode letter category; numerals
+    of any kind are none) give ("und", 0); texts of any length are read whole,
+    each n-gram once. Ties fall to the language first in the alphabet. Each row
+    is judged by itself, so repeated rows get the same answer; an empty table
+    gives an empty result; other columns play no part.
     """
     shared = df.sparkSession.sparkContext.broadcast((filters.langs, filters.table))
 
