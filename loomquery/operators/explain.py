@@ -40,8 +40,31 @@ def pattern_score(found: DataFrame, key: str, expected: list[str]) -> DataFrame:
     return known.select(key, F.when(there, F.least(F.lit(1.0), score * PRESENT_BOOST)).otherwise(score).alias("pattern_match"))
 
 
+def follows(text: Column, first: str, then: str) -> Column:
+    """Whether ``then`` matches anywhere behind the first match of ``first``."""
+    at = F.regexp_instr(text, F.lit(first))
+    return (at > 0) & F.substr(text, at).rlike(then)
+
+
+# Marks of the patterns, as expressions or words, and the confidence of each rule; the first that holds counts.
+INSTANCE_OF_CLASS = (r"class", r"_instance\s*=\s*None", 0.8)
+INSTANCE_WORDS = (["_instance", "getInstance"], 0.6)
+CREATE_WITH_RESULT = (r"def\s+create\w+\s*\(", r"\)\s*->\s*\w+\s*:", 0.7)
+FACTORY_CLASS = (r"class\s+\w*Factory", 0.8)
+OBSERVER_WORDS = (["subscribe", "notify"], 0.7)
+OBSERVER_CLASS = (r"class\s+\w*Observer", 0.8)
+DECORATED = (r"@\w+\s*\n\s*def", 0.6)
+DECORATOR_CLASS = (r"class\s+\w*Decorator", 0.8)
+ASYNC_WORDS = {"python": ["async def", "await "], "javascript": ["async ", "await ", "Promise"], "typescript": ["async ", "await ", "Promise"]}
+ASYNC_CONFIDENCE = 0.9
+
+
 def structural_patterns(code: Column, language: Column) -> Column:
-    """A map of patterns that the structure of a code shows, with their confidences."""
+    """A map of patterns that the structure of a code shows, with their confidences.
+
+    Two marks of a rule may be any distance apart, and texts are read whole. A
+    null code shows nothing; a null language has no asynchronous marks.
+    """
     text = F.coalesce(code, F.lit(""))
 
     def pick(name: str, *rules: tuple[Column, float]) -> Column:
@@ -50,13 +73,18 @@ def structural_patterns(code: Column, language: Column) -> Column:
             value = F.when(hit, confidence).otherwise(value)
         return F.struct(F.lit(name).alias("key"), value.alias("value"))
 
-    waits = text.contains("await ")
+    def all_words(words: list[str]) -> Column:
+        return text.contains(words[0]) & text.contains(words[1])
+
+    waits = F.lit(False)
+    for name, words in ASYNC_WORDS.items():
+        waits = F.when(language == name, text.contains(words[0]) | text.contains(words[1]) | (text.contains(words[2]) if len(words) > 2 else F.lit(False))).otherwise(waits)
     found = F.array(
-        pick("singleton", (text.rlike(r"class[\s\S]{0,4000}?_instance\s*=\s*None"), 0.8), (text.contains("_instance") & text.contains("getInstance"), 0.6)),
-        pick("factory", (text.rlike(r"def\s+create\w+\s*\([\s\S]{0,200}\)\s*->\s*\w+\s*:"), 0.7), (text.rlike(r"class\s+\w*Factory"), 0.8)),
-        pick("observer", (text.contains("subscribe") & text.contains("notify"), 0.7), (text.rlike(r"class\s+\w*Observer"), 0.8)),
-        pick("decorator", (text.rlike(r"@\w+\s*\n\s*def"), 0.6), (text.rlike(r"class\s+\w*Decorator"), 0.8)),
-        pick("async", ((language == "python") & (text.contains("async def") | waits), 0.9), (language.isin("javascript", "typescript") & (text.contains("async ") | waits | text.contains("Promise")), 0.9)),
+        pick("singleton", (follows(text, *INSTANCE_OF_CLASS[:2]), INSTANCE_OF_CLASS[2]), (all_words(INSTANCE_WORDS[0]), INSTANCE_WORDS[1])),
+        pick("factory", (follows(text, *CREATE_WITH_RESULT[:2]), CREATE_WITH_RESULT[2]), (text.rlike(FACTORY_CLASS[0]), FACTORY_CLASS[1])),
+        pick("observer", (all_words(OBSERVER_WORDS[0]), OBSERVER_WORDS[1]), (text.rlike(OBSERVER_CLASS[0]), OBSERVER_CLASS[1])),
+        pick("decorator", (text.rlike(DECORATED[0]), DECORATED[1]), (text.rlike(DECORATOR_CLASS[0]), DECORATOR_CLASS[1])),
+        pick("async", (waits, ASYNC_CONFIDENCE)),
     )
     return F.map_from_entries(F.filter(found, lambda x: x["value"].isNotNull()))
 

@@ -181,19 +181,53 @@ def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(explain.lexical_rerank(turns.filter("turn > 0").join(first, "conv_id"), F.col("asked"), "text", "conv_id").select("conv_id", "turn", "ce_score"), "ce_score")
 
 
-@query("""
-    SELECT doc_id, 'observer' AS pattern, 0.7 AS confidence FROM documents WHERE contains(text, 'subscribe') AND contains(text, 'notify')
-    UNION ALL SELECT doc_id, 'observer', 0.8 FROM documents WHERE NOT (contains(text, 'subscribe') AND contains(text, 'notify')) AND regexp_matches(text, 'class\\s+\\w*Observer')
-    UNION ALL SELECT doc_id, 'singleton', 0.6 FROM documents WHERE contains(text, '_instance') AND contains(text, 'getInstance') AND NOT regexp_matches(text, 'class[\\s\\S]*?_instance\\s*=\\s*None')
-    UNION ALL SELECT doc_id, 'singleton', 0.8 FROM documents WHERE regexp_matches(text, 'class[\\s\\S]*?_instance\\s*=\\s*None')
-    UNION ALL SELECT doc_id, 'decorator', 0.6 FROM documents WHERE regexp_matches(text, '@\\w+\\s*\\n\\s*def')
-    UNION ALL SELECT doc_id, 'decorator', 0.8 FROM documents WHERE NOT regexp_matches(text, '@\\w+\\s*\\n\\s*def') AND regexp_matches(text, 'class\\s+\\w*Decorator')
-    UNION ALL SELECT doc_id, 'factory', 0.8 FROM documents WHERE regexp_matches(text, 'class\\s+\\w*Factory')
+#: Code made of a document: its text stands inside marks of a pattern, by the document's number. (before, after)
+CODE_FORMS = [
+    ("class A:\n", "\n_instance = None"),
+    ("_instance ", " getInstance"),
+    ("def create_thing(", ") -> Thing:"),
+    ("class  OurFactory ", ""),
+    ("subscribe ", " notify"),
+    ("class Observer ", ""),
+    ("@cached\n  def f(): ", ""),
+    ("class XDecorator ", ""),
+    ("async def run(): ", " await it"),
+    ("new Promise ", ""),
+    ("", ""),
+]
+_CODE_LANGUAGES = {"en": "python", "de": "javascript", "fr": "typescript"}
+_CASES = " ".join(f"WHEN {i} THEN '{a}' || t || '{b}'" for i, (a, b) in enumerate(CODE_FORMS)).replace("\n", "' || chr(10) || '")
+_CODE_SQL = f"""
+    SELECT doc_id, CASE doc_id % {len(CODE_FORMS)} {_CASES} END AS code, CASE lang {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CODE_LANGUAGES.items())} END AS language
+    FROM (SELECT *, coalesce(text, '') AS t FROM documents)
+"""
+
+
+def code_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, code, language: every document as a piece of code."""
+    text, form = F.coalesce("text", F.lit("")), F.col("doc_id") % len(CODE_FORMS)
+    code = F.lit(None).cast("string")
+    for i, (before, after) in enumerate(CODE_FORMS):
+        code = F.when(form == i, F.concat(F.lit(before), text, F.lit(after))).otherwise(code)
+    languages = F.create_map(*[F.lit(x) for pair in _CODE_LANGUAGES.items() for x in pair])
+    return table(spark, sf_dir, "documents").select("doc_id", code.alias("code"), F.try_element_at(languages, "lang").alias("language"))
+
+
+@query(f"""
+    WITH c AS MATERIALIZED ({_CODE_SQL}),
+    r AS (
+        SELECT doc_id, 'singleton' AS pattern, CASE WHEN regexp_matches(code, 'class[\\s\\S]*?_instance\\s*=\\s*None') THEN 0.8 WHEN contains(code, '_instance') AND contains(code, 'getInstance') THEN 0.6 END AS confidence FROM c
+        UNION ALL SELECT doc_id, 'factory', CASE WHEN regexp_matches(code, 'def\\s+create\\w+\\s*\\([\\s\\S]*\\)\\s*->\\s*\\w+\\s*:') THEN 0.7 WHEN regexp_matches(code, 'class\\s+\\w*Factory') THEN 0.8 END FROM c
+        UNION ALL SELECT doc_id, 'observer', CASE WHEN contains(code, 'subscribe') AND contains(code, 'notify') THEN 0.7 WHEN regexp_matches(code, 'class\\s+\\w*Observer') THEN 0.8 END FROM c
+        UNION ALL SELECT doc_id, 'decorator', CASE WHEN regexp_matches(code, '@\\w+\\s*\\n\\s*def') THEN 0.6 WHEN regexp_matches(code, 'class\\s+\\w*Decorator') THEN 0.8 END FROM c
+        UNION ALL SELECT doc_id, 'async', CASE WHEN language = 'python' AND (contains(code, 'async def') OR contains(code, 'await '))
+            OR language IN ('javascript', 'typescript') AND (contains(code, 'async ') OR contains(code, 'await ') OR contains(code, 'Promise')) THEN 0.9 END FROM c
+    )
+    SELECT * FROM r WHERE confidence IS NOT NULL
 """)
 def structural_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns that a document's structure shows; the given prose has hardly any, the tests have code."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(explain.structural_patterns(F.col("text"), F.col("lang"))).alias("pattern", "confidence"))
-    return docs
+    """Patterns that the structure of code shows; the code is made of the documents, whose texts stand between its marks."""
+    return code_rows(spark, sf_dir).select("doc_id", F.explode(explain.structural_patterns(F.col("code"), F.col("language"))).alias("pattern", "confidence"))
 
 
 def _suggestion_sql() -> str:

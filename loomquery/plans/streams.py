@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomquery.plans.registry import query
+from loomquery.plans.registry import query, table
 from loomquery.sources.stored import shared_dir
 from loomquery.streaming import events as streaming
 
@@ -45,5 +45,9 @@ def stream_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two requests in half an hour; only accepted ones count, so each decision depends on those before it."""
-    decided = streaming.rate_limited(_events(spark, sf_dir), "user_id", "ts", most=2, seconds=1800, burst=2)
-    return streaming.drain(decided, _folder(spark))
+    folder = _folder(spark)
+    events = _events(spark, sf_dir).select("user_id", "ts", "event_id")
+    decided = streaming.rate_limited(streaming.with_end(events, f"{folder}/end"), "user_id", "ts", "event_id", most=2, seconds=1800, burst=2)
+    # A request of nobody's in particular, a day after all others; no time passes it, so it stays open itself.
+    last = table(spark, sf_dir, "events").agg((F.max("ts").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), "ts", F.lit(-1).cast("long").alias("event_id"))
+    return streaming.drain(decided, folder, end=(last, f"{folder}/end"))

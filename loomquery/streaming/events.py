@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -49,39 +50,84 @@ def without_repeats(chunks: DataFrame, ts: str, keys: list[str], within: str = "
     return chunks.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
 
 
-def rate_limited(requests: DataFrame, user: str, ts: str, most: int = 100, seconds: int = 60, burst: int = 10) -> DataFrame:
-    """user, ts, accepted: a sliding limit in which only accepted requests count. The state is the accepted times within the window, ``most`` at most."""
+def rate_limited(requests: DataFrame, user: str, ts: str, number: str, most: int = 100, seconds: int = 60, burst: int = 10, late: str = "1 hour") -> DataFrame:
+    """user, ts, number, accepted: a sliding limit in which only accepted requests count.
+
+    Requests are decided in the order of (ts, number), whatever order, batches
+    or triggers they come in: each waits in its user's state until the watermark,
+    ``late`` behind the latest request, has passed it. So the state holds the
+    requests of that time, and the accepted times within the window, ``most`` at
+    most. Requests that come after the watermark has passed them are dropped (and
+    counted, see dropped()). Those the watermark never passes stay open: drain()
+    can close a stream that has ended. Rows with a null time or user take no
+    part; repeated rows are requests of their own.
+    """
+    gap, second = seconds * 1_000_000, 1_000_000
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
+        times, numbers, accepted = (list(x) for x in state.get) if state.exists else ([], [], [])
         for batch in batches:
-            if batch.empty:
-                continue
-            batch = batch.sort_values(ts)
-            answers = []
-            for at in batch[ts].astype("datetime64[us]").astype("int64") / 1e6:
-                times = [t for t in times if t > at - seconds]
-                fits = len(times) < most and sum(t > at - 1 for t in times) < burst
-                answers.append(fits)
-                if fits:
-                    times.append(at)
-            yield pd.DataFrame({user: key[0], ts: batch[ts], "accepted": answers})
-        state.update((times,))
+            times += batch[ts].astype("datetime64[us]").astype("int64").tolist()
+            numbers += batch[number].tolist()
+        passed = state.getCurrentWatermarkMs() * 1000
+        waiting = sorted(zip(times, numbers))
+        due = [w for w in waiting if w[0] < passed]
+        answers = []
+        for at, _ in due:
+            accepted = [t for t in accepted if t > at - gap]
+            fits = len(accepted) < most and sum(t > at - second for t in accepted) < burst
+            answers.append(fits)
+            if fits:
+                accepted.append(at)
+        waiting = waiting[len(due) :]
+        if waiting or accepted:
+            state.update(([t for t, _ in waiting], [n for _, n in waiting], accepted))
+            # Called again when the first one waiting is due, or the last one accepted no longer counts.
+            state.setTimeoutTimestamp(max(passed // 1000 + 1, (waiting[0][0] if waiting else accepted[-1] + gap) // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({user: [key[0]] * len(due), ts: pd.Series([at for at, _ in due], dtype="datetime64[us]"), number: pd.Series([n for _, n in due], dtype="int64"), "accepted": pd.Series(answers, dtype=bool)})
 
     kind = dict(requests.dtypes)[user]
-    return requests.select(user, ts).groupBy(user).applyInPandasWithState(decide, f"{user} {kind}, {ts} timestamp, accepted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    known = requests.select(user, ts, F.col(number).cast("long").alias(number)).filter(F.col(ts).isNotNull() & F.col(user).isNotNull()).withWatermark(ts, late)
+    return known.groupBy(user).applyInPandasWithState(decide, f"{user} {kind}, {ts} timestamp, {number} long, accepted boolean", "times array<long>, numbers array<long>, accepted array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def with_end(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` and what later appears in ``folder`` as Parquet files of the same columns: drain() puts a stream's end there."""
+    rows.sparkSession.createDataFrame([], rows.schema).write.mode("ignore").parquet(folder)
+    return rows.unionByName(rows.sparkSession.readStream.schema(rows.schema).parquet(folder))
+
 
+def dropped(query: StreamingQuery) -> int:
+    """Rows that a query's operators left out because they came too late."""
+    return sum(int(op.numRowsDroppedByWatermark) for progress in query.recentProgress for op in progress.stateOperators)
 
-def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now and return what it wrote."""
+
+def drain(stream: DataFrame, folder: str, mode: str = "append", end: tuple[DataFrame, str] | None = None) -> DataFrame:
+    """Run a stream over all that is there now and return what it wrote.
+
+    With ``end``, a frame of rows and the folder that with_end() watches, these
+    rows follow when all else has been read: rows of a later time let the
+    watermark pass all there was.
+    """
     spark = stream.sparkSession
-    if mode == "append":
-        query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    else:
 
-        def put(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{folder}/out")
+    def run() -> StreamingQuery:
+        if mode == "append":
+            writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
+        else:
+
+            def put(batch: DataFrame, number: int) -> None:
+                batch.write.mode("overwrite").parquet(f"{folder}/out")
+
+            writer = stream.writeStream.outputMode(mode).foreachBatch(put)
+        query = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
 
-        query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    run()
+    if end is not None:
+        end[0].write.mode("append").parquet(end[1])
+        run()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")

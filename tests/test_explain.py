@@ -18,6 +18,13 @@ def test_structural_patterns(spark):
         6: ("Promise", "javascript", {"async": 0.9}),
         7: ("Promise", "python", {}),
         8: (None, None, {}),
+        9: ("class A:\n" + "x = 1\n" * 5000 + "_instance = None", "java", {"singleton": 0.8}),
+        10: ("_instance = None\nclass A", None, {}),
+        11: ("def create_it(" + "a, " * 500 + "b) -> B:", "java", {"factory": 0.7}),
+        12: ("x) -> y: def create_it(", "java", {}),
+        13: ("class MyObserver(Decorator) class MyDecorator", "python", {"observer": 0.8, "decorator": 0.8}),
+        14: ("async def f", "python", {"async": 0.9}),
+        15: ("async f", "typescript", {"async": 0.9}),
     }
     table = spark.createDataFrame([(i, c, lang) for i, (c, lang, _) in codes.items()], "i long, c string, l string")
     got = {r.i: r.p for r in table.select("i", explain.structural_patterns(F.col("c"), F.col("l")).alias("p")).collect()}

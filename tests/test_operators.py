@@ -210,9 +210,12 @@ def test_block_clones(spark):
 def test_rate_limit_counts_accepted_requests_only(spark, tmp_path):
     rng, at = random.Random(1), datetime.datetime(2024, 1, 1)
     rows = sorted((rng.choice("ab"), at + datetime.timedelta(seconds=rng.randint(0, 300))) for _ in range(120))
-    spark.createDataFrame(rows, "user string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/requests.parquet")
-    decided = streaming.rate_limited(streaming.stream_table(spark, f"{tmp_path}/requests.parquet"), "user", "ts", most=5, seconds=60, burst=2)
-    got = streaming.drain(decided, f"file://{tmp_path}/out").collect()
+    numbered = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "user string, ts timestamp, id long")
+    numbered.coalesce(1).write.parquet(f"{tmp_path}/requests.parquet")
+    requests = streaming.with_end(streaming.stream_table(spark, f"{tmp_path}/requests.parquet"), f"{tmp_path}/end")
+    decided = streaming.rate_limited(requests, "user", "ts", "id", most=5, seconds=60, burst=2)
+    last = spark.createDataFrame([("", at + datetime.timedelta(days=1), -1)], numbered.schema)
+    got = streaming.drain(decided, f"file://{tmp_path}/out", end=(last, f"{tmp_path}/end")).collect()
     want = []
     for user in "ab":
         accepted = []
