@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from loomquery.llm.common import partitions
 from loomquery.sources.stored import shared_dir
 
-KNOWN_UNITS = 500_000  # units that a worker remembers before it begins anew
+KNOWN_UNITS = 1_200_000  # units that a worker remembers before it begins anew: about 250 MB
 LONG_UNIT = 64  # characters of a unit that is not worth remembering
 JOINED = 256  # units the library gets in one string
 BATCH_BYTES = 2 << 20
