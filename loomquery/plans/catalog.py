@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomquery.plans import analytics, behaviour, code, contextual, data, joined, kept, learned, ranked, rewritten, search, shaped, streams, texts
+from loomquery.plans import analytics, behaviour, code, contextual, data, joined, kept, learned, ranked, rewritten, scoped, search, shaped, streams, texts
 from loomquery.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "behaviour", "code", "contextual", "data", "joined", "kept", "learned", "ranked", "rewritten", "search", "shaped", "streams", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "behaviour", "code", "contextual", "data", "joined", "kept", "learned", "ranked", "rewritten", "scoped", "search", "shaped", "streams", "texts"]

@@ -265,3 +265,16 @@ def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     imports = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), F.col("p_type").alias("module0"), F.replace("p_type", F.lit(" "), F.lit(".")).alias("module"))
     files = table(spark, sf_dir, "region").select(F.col("r_name").alias("path"), F.col("r_name").alias("stem"))
     return graph.resolve_imports(imports.select("file", "module"), files).select("file", F.replace("module", F.lit("."), F.lit(" ")).alias("module"), "target")
+
+
+@query(f"""
+    WITH {_EDGES},
+    q AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || (o_custkey % 10 + 1) AS dst FROM orders WHERE o_custkey % 100 = 0)
+    SELECT q.src, q.dst, array_to_string(min([q.src, e1.dst, e2.dst, q.dst]), '>') AS path, 3 AS steps
+    FROM q JOIN e e1 ON e1.src = q.src JOIN e e2 ON e2.src = e1.dst JOIN e e3 ON e3.src = e2.dst AND e3.dst = q.dst GROUP BY q.src, q.dst
+""")
+def supply_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every hundredth customer is connected to a supplier: one shortest path each, node by node."""
+    customer = F.col("o_custkey")
+    pairs = table(spark, sf_dir, "orders").filter(customer % 100 == 0).select(F.concat(F.lit("c"), customer.cast("string")).alias("src"), F.concat(F.lit("s"), (customer % 10 + 1).cast("string")).alias("dst"))
+    return graph.call_chains(edges(spark, sf_dir), pairs).select("src", "dst", F.concat_ws(">", "path").alias("path"), "steps")
