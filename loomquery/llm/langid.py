@@ -23,14 +23,17 @@ UNKNOWN = "und"
 MULTIPLIERS = (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B)
 ENOUGH = 100_000  # n-grams of a language's sample, from which on those met once are left out
 #: Signs that count as part of words but are numerals: fractions, superscripts, circled and Roman ones.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
+_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _BLOCK = 1 << 20
 
 
 def letters(text: str | None) -> str:
     """Lower-cased letters, everything else one blank; empty if there is no letter."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    if not text:
+        return ""
+    low = text.lower()
+    return _NOT_LETTERS.sub(" ", low if low.isascii() else _NUMERALS.sub(" ", low)).strip()
 
 
 def grams(text: str, starts: int | None = None) -> np.ndarray:
