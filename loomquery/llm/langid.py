@@ -23,7 +23,7 @@ UNKNOWN = "und"
 MULTIPLIERS = (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B)
 ENOUGH = 100_000  # n-grams of a language's sample, from which on those met once are left out
 #: Signs that count as part of words but are numerals: fractions, superscripts, circled and Roman ones.
-_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+_NUMERALS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _BLOCK = 1 << 20
 
@@ -33,7 +33,9 @@ def letters(text: str | None) -> str:
     if not text:
         return ""
     low = text.lower()
-    return _NOT_LETTERS.sub(" ", low if low.isascii() else _NUMERALS.sub(" ", low)).strip()
+    if not low.isascii() and not _NUMERALS.isdisjoint(low):
+        low = low.translate({ord(c): " " for c in _NUMERALS.intersection(low)})
+    return _NOT_LETTERS.sub(" ", low).strip()
 
 
 def grams(text: str, starts: int | None = None) -> np.ndarray:

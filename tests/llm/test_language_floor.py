@@ -15,3 +15,23 @@ def test_unlearned_scripts_and_random_letters_are_rejected(spark):
     kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(extra), DATA).select("doc_id").collect()}
     clean = {r.doc_id for r in docs.filter("length(regexp_replace(text, '[^A-Za-z]', '')) > 100").select("doc_id").collect()}
     assert not {i for i in kept if i >= 10_000} and clean <= kept
+
+
+def test_letters_are_of_letter_categories():
+    """Numerals of all kinds are no letters; n-grams of a long text count once, wherever its blocks end."""
+    import numpy as np
+
+    from loomquery.llm import langid
+
+    assert [langid.letters(x) for x in ("\u00bd \u00b2", "\u2167", "\u2460 12 \u0663", "a\u00bdb", "a \u00bd b", "\u4e2d\u6587 7", None, "")] == ["", "", "", "a b", "a b", "\u4e2d\u6587", "", ""]
+    filters = langid.LanguageFilters(["de"], np.full((1, 1 << langid.SLOT_BITS), 1, np.uint64))
+    assert [filters.predict(x)[0] for x in ("\u00bd \u00b2", "\u2167", "x")] == ["und", "und", "de"]
+    text = "some words " * 40
+    whole = filters.hits(text)
+    block = langid._BLOCK
+    try:
+        for size in (1, 2, 3, 7, 50):
+            langid._BLOCK = size
+            assert filters.hits(text)[1] == whole[1] == sum(len(text) + 2 - n + 1 for n in langid.ORDERS)
+    finally:
+        langid._BLOCK = block
