@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomquery.functions.text import naming_style
+from loomquery.sources.stored import stored
 
 
 def outcome_statistics(records: DataFrame, success: Column, rating: Column) -> DataFrame:
@@ -14,10 +15,30 @@ def outcome_statistics(records: DataFrame, success: Column, rating: Column) -> D
     return records.agg(total.alias("total"), F.coalesce(F.count_if(success) / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("success_rate"), F.coalesce(F.avg(rating), F.lit(0.0)).alias("mean_rating"), F.count(rating).alias("rated"))
 
 
+def exact_median(rows: DataFrame, value: Column) -> DataFrame:
+    """median of the values that are there, in one row (null if there are none).
+
+    Equal values are counted first. Ranges of values then hold their counts'
+    running sums, each starting from the sum of the ranges before it; so no task
+    has all values, and only the two in the middle are left.
+    """
+    counts = rows.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    placed = stored(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "median-counts")
+    parts = placed.groupBy("part").agg(F.sum("n").alias("own"))  # a row for each range
+    starts = parts.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("start"), F.sum("own").over(Window.partitionBy()).alias("total"))
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    inside = placed.join(F.broadcast(starts), "part").withColumn("upto", upto)
+    middle = [F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)]
+    held = [(F.col("upto") > m) & (F.col("upto") - F.col("n") <= m) for m in middle]
+    return inside.filter(held[0] | held[1]).agg(F.avg("v").alias("median"))
+
+
 def response_times(records: DataFrame, ms: Column) -> DataFrame:
     """mean and median of the times that are there and not 0."""
     known = F.when(ms != 0, ms)
-    return records.agg(F.coalesce(F.avg(known), F.lit(0.0)).alias("mean"), F.coalesce(F.median(known), F.lit(0.0)).alias("median"))
+    mean = records.agg(F.coalesce(F.avg(known), F.lit(0.0)).alias("mean"))
+    # Two single rows.
+    return mean.join(F.broadcast(exact_median(records, known)), F.lit(True), "left").select("mean", F.coalesce("median", F.lit(0.0)).alias("median"))
 
 
 def shares(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomquery.sources.stored import stored
+
 
 def with_documents(hits: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Hits (query_id, id, score) with the columns of their documents; hits without a document go."""
@@ -42,11 +44,22 @@ def same_name_pairs(items: DataFrame, group: str, key: str, name: str) -> DataFr
 
 
 def siblings(files: DataFrame, key: str, directory: Column) -> DataFrame:
-    """key, directory, siblings (files beside it), before and after (its neighbours by key); counts and neighbours, not all pairs."""
-    own = files.select(key, directory.alias("directory"))
-    n = own.groupBy("directory").agg((F.count(F.lit(1)) - 1).alias("siblings"))
-    w = Window.partitionBy("directory").orderBy(key)
-    return own.withColumn("before", F.lag(key).over(w)).withColumn("after", F.lead(key).over(w)).join(n, "directory")
+    """key, directory, siblings (files beside it), before and after (its neighbours by key); counts and neighbours, not all pairs.
+
+    Files are put in order by ranges of (directory, key), so a large directory
+    spreads over several; the first and the last file of each range find their
+    neighbours by what the ranges beside it begin and end with. Keys are there
+    and differ within a directory.
+    """
+    own = files.select(F.col(key).alias("_key"), directory.alias("directory"))
+    placed = stored(own.repartitionByRange("directory", "_key").withColumn("_part", F.spark_partition_id()), "siblings")
+    parts = placed.groupBy("directory", "_part").agg(F.min("_key").alias("_low"), F.max("_key").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    among = Window.partitionBy("directory").orderBy("_part")
+    ends = parts.select(F.col("directory").alias("_directory"), F.col("_part").alias("_of"), F.lag("_high").over(among).alias("_before"), F.lead("_low").over(among).alias("_after"), (F.sum("_n").over(Window.partitionBy("directory")) - 1).alias("siblings"))
+    inside = Window.partitionBy("directory", "_part").orderBy("_key")
+    near = placed.withColumns({"before": F.lag("_key").over(inside), "after": F.lead("_key").over(inside)})
+    joined = near.join(ends, F.col("directory").eqNullSafe(F.col("_directory")) & (F.col("_part") == F.col("_of")))
+    return joined.select(F.col("_key").alias(key), "directory", F.coalesce("before", "_before").alias("before"), F.coalesce("after", "_after").alias("after"), "siblings")
 
 
 def first_existing(wanted: DataFrame, key: str, base: str, files: DataFrame, path: str, endings: list[str]) -> DataFrame:

@@ -74,5 +74,9 @@ def schema_restore(spark: SparkSession, text: str) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
-    """Partitioned by repository and language, so that filters on them prune files."""
-    chunks.repartition("repository", "language").write.mode(mode).partitionBy("repository", "language").parquet(path)
+    """Partitioned by repository and language, so that filters on them prune files.
+
+    Rows are rebalanced by both: small groups share a task, and a repository
+    that is too large for one is split over several, each with a file.
+    """
+    chunks.hint("rebalance", "repository", "language").write.mode(mode).partitionBy("repository", "language").parquet(path)
