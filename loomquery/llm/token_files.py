@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -192,6 +193,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_
     kind = "<u2" if largest < 1 << 16 else "<u4"
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores have tasks of their own
         kept = shared.value
         units = kept["units"] if "units" in kept else kept.setdefault("units", Units(kept["source"], end_id))
         total = np.zeros(largest + 1, "<i8")
