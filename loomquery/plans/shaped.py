@@ -52,7 +52,16 @@ def response_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(shaping.confidence(hits(spark, sf_dir), "score", "source"), "confidence")
 
 
-@query()
+@query("""
+    WITH l AS (
+        SELECT doc_id, source, n_chars,
+               coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) > 0 AND NOT regexp_matches(x, '^(#|//|/\\*|\\*)'))[1], '') AS h
+        FROM documents
+    )
+    SELECT doc_id, concat_ws(':', source, '1') AS at, CASE WHEN length(h) > 120 THEN left(h, 120) || '…' ELSE h END AS headline, round(least(1.0, n_chars / 5000.0), 4) AS score,
+           source || ':1 | ' || CASE WHEN length(h) > 57 THEN left(h, 57) || '…' ELSE h END || ' | ' || printf('%.2f', least(100, (n_chars + 25) // 50) / 100.0) AS line
+    FROM l
+""".replace(" AS at,", ' AS "at",'))
 def compact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document in one line and in compact form."""
     c, p = F.col("text"), F.col("source")

@@ -13,10 +13,14 @@ def test_equals_sql(spark, name):
     assert differences(spark, DATA, name) is None
 
 
+#: The given turns have no quoted phrase, number or call; tests/test_round.py has some.
+EMPTY = {"exact_term_extraction"}
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
     frame = catalog.QUERIES[name](spark, DATA)
-    assert frame.columns and frame.count() >= 0
+    assert frame.columns and (frame.count() > 0) != (name in EMPTY)
 
 
 def test_entry(spark):
