@@ -75,6 +75,21 @@ def _confidences(text: Column, low: Column, context: Column | None, types: list[
     return F.filter(F.array(*out), lambda x: x["confidence"] > LEAST)
 
 
+def query_confidences(query: Column, context: Column | None = None, least: float = 0.3) -> Column:
+    """An array of (pattern_type, pattern, confidence) above ``least`` for the words of a request.
+
+    Keywords count 0.6, expressions (whatever the case) 0.4 and keywords in the
+    context 0.2; 1 at most. Keywords with capitals are never found in a request,
+    which is lower-cased.
+    """
+    low, other = F.lower(F.coalesce(query, F.lit(""))), F.lower(F.coalesce(context, F.lit(""))) if context is not None else F.lit("")
+    out = []
+    for kind, name, words, expressions in PATTERNS:
+        total = _share([F.contains(low, F.lit(w)) for w in words]) * 0.6 + _share([low.rlike(f"(?i){e}") for e in expressions]) * 0.4 + _share([F.contains(other, F.lit(w)) for w in words]) * 0.2
+        out.append(F.struct(F.lit(kind).alias("pattern_type"), F.lit(name).alias("pattern"), F.least(F.lit(1.0), total).alias("confidence")))
+    return F.filter(F.array(*out), lambda x: x["confidence"] > least)
+
+
 def recognise(files: DataFrame, key: str, text: str, context: str | None = None) -> DataFrame:
     """key, pattern_type, pattern, confidence."""
     return files.select(key, F.inline_outer(confidences(F.col(text), F.col(context) if context else None))).filter("pattern is not null")

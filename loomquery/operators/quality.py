@@ -57,16 +57,10 @@ def schedule_advice(runs: DataFrame, group: str, order: list[Column], items: str
     return out.withColumn("advice", F.when(F.col("mean_items") < 10, "less often").when(F.col("mean_items") > 1000, "more often").otherwise("keep"))
 
 
-def capacity_hints(documents: int, size_gb: float, fields: int, dimensions: int) -> list[str]:
-    """What a table that large should change."""
-    rules = [
-        (documents > 1_000_000, "partition the documents"),
-        (size_gb > 50, "split the table"),
-        (10 < size_gb <= 50, "watch the size"),
-        (fields > 1000, "drop unused fields"),
-        (dimensions > 3000, "use shorter vectors"),
-    ]
-    return [hint for hit, hint in rules if hit]
+def status_rollup(runs: DataFrame, group: str, order: list[str], status: str) -> DataFrame:
+    """status, n: how many groups have it last."""
+    last = runs.groupBy(group).agg(F.max_by(status, F.struct(*order)).alias("status"))
+    return last.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def field_differences(expected: DataFrame, actual: DataFrame, key: str = "field") -> DataFrame:

@@ -129,3 +129,20 @@ def metrics(scored: DataFrame, score: str = "score") -> DataFrame:
         F.count_if(F.col("n") > 1).alias("tie_count"),
         *[F.sum(f"b{i}").alias(f"bucket_{i}") for i in range(5)],
     )
+
+
+def ndcg(hits: DataFrame, query: str, order: list[str], gain: str, k: int) -> DataFrame:
+    """query, ndcg: the discounted gain of the first k hits against that of the best order of all; 0 where nothing has a gain.
+
+    Gains are 2^g - 1 over log2(place + 1). Only the first k rows of either
+    order leave a task.
+    """
+    place = F.row_number().over(Window.partitionBy(query).orderBy(*order))
+    ideal = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(gain), *order))
+
+    def total(at: Column) -> DataFrame:
+        own = hits.withColumn("_at", at).filter(F.col("_at") <= k)
+        return own.groupBy(query).agg(F.sum((F.pow(F.lit(2.0), F.col(gain)) - 1) / F.log2(F.col("_at") + 1)).alias("d"))
+
+    both = total(place).join(total(ideal).withColumnsRenamed({"d": "best", query: "_q"}), F.col(query).eqNullSafe(F.col("_q")))
+    return both.select(query, F.when(F.col("best") > 0, F.col("d") / F.col("best")).otherwise(0.0).alias("ndcg"))

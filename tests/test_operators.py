@@ -138,7 +138,6 @@ def test_quality_rules(spark):
     found = {r.field: tuple(r)[1:] for r in quality.coverage(docs, ["t"]).collect()}
     assert found == {"t": (3, 2, 1, 66.67)}
     assert {r.id for r in quality.missing(docs, "id", ["t"]).collect()} == {2, 3}
-    assert quality.capacity_hints(2_000_000, 60, 5, 64) == ["partition the documents", "split the table"]
 
 
 def test_keyed_tables(spark):
