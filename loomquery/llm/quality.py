@@ -103,8 +103,8 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
-def minimised(slope: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int, tolerance: float, memory: int = 12) -> np.ndarray:
-    """L-BFGS: descent along the gradient as the last ``memory`` steps bend it, halving a step until it descends enough."""
+def minimised(slope: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int, tolerance: float, rate: float = 1.0, memory: int = 12) -> np.ndarray:
+    """L-BFGS: descent along the gradient as the last ``memory`` steps bend it, halving a step until it descends enough. ``rate`` is the length of the first one, which nothing is known of."""
     value, gradient = slope(x)
     past: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(steps):
@@ -118,7 +118,7 @@ def minimised(slope: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.nda
             s, y, _ = past[-1]
             direction = direction * ((s @ y) / (y @ y))
         else:
-            direction = direction / max(1.0, float(np.sqrt(gradient @ gradient)))
+            direction = direction * (rate / max(1.0, float(np.sqrt(gradient @ gradient))))
         for (s, y, r), share in zip(past, reversed(shares)):
             direction = direction + s * (share - r * (y @ direction))
         falls, length = float(gradient @ direction), 1.0
@@ -138,7 +138,7 @@ def minimised(slope: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.nda
     return x
 
 
-def fit_ordinal(column: np.ndarray, length: np.ndarray, grades: np.ndarray, n_grades: int, n_columns: int, steps: int = 150, tolerance: float = 1e-6, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(column: np.ndarray, length: np.ndarray, grades: np.ndarray, n_grades: int, n_columns: int, steps: int = 150, rate: float = 1.0, tolerance: float = 1e-6, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of maximum likelihood under the cumulative logits, by a second-order method.
 
     ``column`` holds the columns that are 1, row after row, and ``length`` how
@@ -175,7 +175,7 @@ def fit_ordinal(column: np.ndarray, length: np.ndarray, grades: np.ndarray, n_gr
         gradient = np.concatenate([penalty * w - by_weight / n, [-by_theta.sum() / n], [-by_theta[j:].sum() * gaps[j - 1] / n for j in range(1, k)]])
         return float(-np.log(p).mean() + penalty / 2 * (w @ w)), gradient
 
-    x = minimised(slope, np.concatenate([np.zeros(n_columns), start[:1], np.log(np.maximum(0.1, np.diff(start)))]), steps, tolerance)
+    x = minimised(slope, np.concatenate([np.zeros(n_columns), start[:1], np.log(np.maximum(0.1, np.diff(start)))]), steps, tolerance, rate)
     return x[:n_columns], x[n_columns] + np.concatenate([[0.0], np.cumsum(np.exp(x[n_columns + 1 :]))])
 
 
