@@ -34,13 +34,13 @@ def most_similar(files: DataFrame, is_query: Column, k: int, key: str, text: str
     sets = stored(rows.groupBy("set_id").agg(F.min("key").alias("id"), F.any_value("s").alias("s")), "similar-texts")
     queries = rows.join(asks, rows["key"] == asks["query_key"]).select("query_key", "set_id").distinct()
 
-    # The place of each shingle in its set, by how many sets have it.
+    # The place of each shingle in its set, by how many sets have it; those of one set only meet nothing and are not kept.
     each = sets.select("id", F.size("s").alias("m"), F.explode("s").alias("shingle"))
     counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("id").orderBy("n", "shingle")
-    placed = stored(each.join(counts, "shingle").withColumn("place", F.row_number().over(order)).select("id", "m", "shingle", "place", "n"), "similar-places")
-    lists = placed.filter("n > 1").select(F.col("id").alias("other"), F.col("m").alias("other_m"), "shingle", F.col("place").alias("other_place"))
-    own = stored(queries.join(sets.select("set_id", "id"), "set_id").select("id").distinct().join(placed, "id").filter("n > 1").select("id", "m", "shingle", "place"), "similar-queries")
+    placed = stored(each.join(counts, "shingle").withColumn("place", F.row_number().over(order)).filter("n > 1").select("id", "m", "shingle", "place"), "similar-places")
+    lists = placed.select(F.col("id").alias("other"), F.col("m").alias("other_m"), "shingle", F.col("place").alias("other_place"))
+    own = stored(queries.join(sets.select("set_id", "id"), "set_id").select("id").distinct().join(placed, "id").select("id", "m", "shingle", "place"), "similar-queries")
 
     def compared(pairs: DataFrame) -> DataFrame:
         """id, other, similarity of candidate pairs."""
