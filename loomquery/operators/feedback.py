@@ -12,10 +12,10 @@ TREND_STOP_WORDS = ["this", "that", "with", "from", "have", "will", "what", "whe
 
 
 def sessions(events: DataFrame, user: str, ts: str, gap_minutes: int = 30) -> DataFrame:
-    """Adds session (from 1 per user): a pause of more than the gap begins a new one."""
+    """Adds session (from 1 per user): a pause of more than the gap, to the microsecond, begins a new one."""
     by = Window.partitionBy(user).orderBy(ts, *[c for c in events.columns if c.endswith("_id") and c != user])
-    pause = F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(by))
-    return events.withColumn("_new", F.when(pause.isNull() | (pause > 60 * gap_minutes), 1).otherwise(0)).withColumn("session", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    pause = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(by).cast("timestamp"))
+    return events.withColumn("_new", F.when(pause.isNull() | (pause > 60_000_000 * gap_minutes), 1).otherwise(0)).withColumn("session", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
 def refinements(turns: DataFrame, conversation: str, turn: str, text: str) -> DataFrame:

@@ -57,7 +57,7 @@ def query_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH e AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
-    s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR epoch(ts)::BIGINT - epoch(before)::BIGINT > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e)
+    s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR epoch_us(ts) - epoch_us(before) > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e)
     SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS session_start FROM s GROUP BY user_id, session
 """)
 def sessions_30m(spark: SparkSession, sf_dir: str) -> DataFrame:
