@@ -48,10 +48,10 @@ def shares(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def session_totals(sessions: DataFrame, start: str, end: str, n: str, now: Column, timeout_minutes: int = 30) -> DataFrame:
     """One row over sessions: how many there are, how many are active, their interactions and mean minutes."""
-    began, ended = (F.col(c).cast("timestamp").cast("double") for c in (start, end))
-    active = now.cast("double") - ended < 60 * timeout_minutes
-    minutes = (ended - began) / 60
-    return sessions.agg(F.count(F.lit(1)).alias("sessions"), F.count_if(active).alias("active"), F.coalesce(F.sum(n), F.lit(0)).alias("interactions"), F.coalesce(F.avg(minutes), F.lit(0.0)).alias("mean_minutes"))
+    began, ended = (F.unix_micros(F.col(c).cast("timestamp")) for c in (start, end))
+    active = F.unix_micros(now) - ended < 60_000_000 * timeout_minutes
+    minutes = F.sum(ended - began) / F.count(began + ended) / 60_000_000  # whole microseconds are added, so no order of rows changes the sum
+    return sessions.agg(F.count(F.lit(1)).alias("sessions"), F.count_if(active).alias("active"), F.coalesce(F.sum(n), F.lit(0)).alias("interactions"), F.coalesce(minutes, F.lit(0.0)).alias("mean_minutes"))
 
 
 def newest(rows: DataFrame, by: str | None, order: list[str], n: int) -> DataFrame:

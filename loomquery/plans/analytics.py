@@ -41,9 +41,9 @@ def performance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH e AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
-    s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR epoch(ts)::BIGINT - epoch(before)::BIGINT > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e),
+    s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR epoch_us(ts) - epoch_us(before) > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e),
     t AS (SELECT user_id, session, min(ts) AS a, max(ts) AS z, count(*) AS n FROM s GROUP BY user_id, session)
-    SELECT count(*) AS sessions, count(*) FILTER (epoch(TIMESTAMP '{AS_OF}') - epoch(z) < 1800) AS active, CAST(sum(n) AS BIGINT) AS interactions, round(avg((epoch(z) - epoch(a)) / 60), 4) AS mean_minutes FROM t
+    SELECT count(*) AS sessions, count(*) FILTER (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(z) < 1800000000) AS active, CAST(sum(n) AS BIGINT) AS interactions, round(CAST(sum(epoch_us(z) - epoch_us(a)) AS BIGINT) / count(*) / 60000000, 4) AS mean_minutes FROM t
 """)
 def session_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = feedback.sessions(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id", "ts")
