@@ -73,7 +73,8 @@ def compact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def key_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths as legal keys, and back."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.base64(F.encode("url", "utf-8")).alias("key"))
+    key = F.translate(F.base64(F.encode("url", "utf-8")), "\r\n", "")  # in one line: Spark breaks it after 76 characters
+    pages = table(spark, sf_dir, "pages").select("page_id", key.alias("key"))
     return pages.withColumn("decoded", F.decode(F.unbase64("key"), "utf-8"))
 
 
