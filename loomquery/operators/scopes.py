@@ -25,7 +25,7 @@ def scopes(found: DataFrame, names: list[str]) -> DataFrame:
     numbered = own.select("key", "name", "closing", "at", nth.alias("nth"))
     begun = numbered.filter(~F.col("closing")).select("key", "name", "nth", F.col("at").alias("start"))
     ended = numbered.filter("closing").select("key", "name", "nth", F.col("at").alias("end"))
-    return begun.join(ended, ["key", "name", "nth"]).filter(F.col("start") < F.col("end"))
+    return begun.join(ended.hint("merge"), ["key", "name", "nth"]).filter(F.col("start") < F.col("end"))
 
 
 def pieces_of(start: Column, end: Column, levels: int) -> Column:
@@ -60,9 +60,10 @@ def innermost(points: DataFrame, ranges: DataFrame) -> DataFrame:
     held = cut.groupBy("key", "level", "piece").agg(F.min(shortest).alias("range"))
     numbered = stored(points.withColumn("_n", F.monotonically_increasing_id()), "scope-points")
     at = numbered.filter("key is not null and at is not null").select("_n", "key", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright(F.col("at").cast("long"), i).alias("piece")) for i in range(levels)])).alias("p")).select("_n", "key", "p.*")
-    best = at.join(held, ["key", "level", "piece"]).groupBy("_n").agg(F.min("range").alias("range"))
+    # A file's or shuffle's compressed size says little about these rows, and Spark would broadcast by it: both sides are shuffled.
+    best = at.join(held.hint("merge"), ["key", "level", "piece"]).groupBy("_n").agg(F.min("range").alias("range"))
     inner = F.when(F.col("range").isNotNull(), F.struct(*[F.col(f"range.{c}").alias(c) for c in ("start", "end", *others)]))
-    return numbered.join(best, "_n", "left").select(*points.columns, inner.alias("inner"))
+    return numbered.join(best.hint("merge"), "_n", "left").select(*points.columns, inner.alias("inner"))
 
 
 def definitions(ranges: DataFrame, symbols: DataFrame) -> DataFrame:
