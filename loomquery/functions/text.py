@@ -133,7 +133,12 @@ def exact_terms(query: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """Distinct identifiers of three letters or more without stop words."""
-    return F.array_distinct(F.filter(tokens(text), lambda w: (F.length(w) > 2) & ~w.rlike("^[0-9]") & ~w.isin(KEYWORD_STOP_WORDS)))
+    return keywords_of(tokens(text))
+
+
+def keywords_of(words: Column) -> Column:
+    """The keywords among ``tokens``."""
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.rlike("^[0-9]") & ~w.isin(KEYWORD_STOP_WORDS)))
 
 
 def normalised(text: Column) -> Column:

@@ -20,6 +20,11 @@ RELATED = {
 RELATED_SHARE, PRESENT_BOOST, NEUTRAL = 0.7, 1.2, 0.5
 
 
+def counted(expected: list[str]) -> list[str]:
+    """The patterns that ``pattern_score`` looks at: the expected ones and those related to them."""
+    return sorted({*expected, *(r for name in expected for r in RELATED.get(name, [])), *(base for base, others in RELATED.items() if set(others) & set(expected))})
+
+
 def pattern_score(found: DataFrame, key: str, expected: list[str]) -> DataFrame:
     """key, pattern_match: how well the patterns found (key, pattern, confidence) match the expected ones.
 

@@ -53,20 +53,20 @@ def _found(text: Column, expression: str) -> Column:
     return F.contains(text, F.lit(plain)) & text.rlike(expression) if plain else text.rlike(expression)
 
 
-def confidences(code: Column, context: Column | None = None, types: list[str] | None = None) -> Column:
-    """An array of (pattern_type, pattern, confidence) above the least confidence.
+def confidences(code: Column, context: Column | None = None, types: list[str] | None = None, names: list[str] | None = None) -> Column:
+    """An array of (pattern_type, pattern, confidence) above the least confidence, of all patterns or those of some types or names.
 
     Keywords count 0.4, regular expressions 0.5 and keywords in the context 0.1, each by the share that is found.
     """
     # Bound once: the text in lower case is otherwise made anew for each of the keywords.
     once = F.struct(F.coalesce(code, F.lit("")).alias("text"), F.lower(F.coalesce(code, F.lit(""))).alias("low"))
-    return F.get(F.transform(F.array(once), lambda x: _confidences(x["text"], x["low"], context, types)), F.lit(0))
+    return F.get(F.transform(F.array(once), lambda x: _confidences(x["text"], x["low"], context, types, names)), F.lit(0))
 
 
-def _confidences(text: Column, low: Column, context: Column | None, types: list[str] | None) -> Column:
+def _confidences(text: Column, low: Column, context: Column | None, types: list[str] | None, names: list[str] | None) -> Column:
     out = []
     for kind, name, words, expressions in PATTERNS:
-        if types is not None and kind not in types:
+        if (types is not None and kind not in types) or (names is not None and name not in names):
             continue
         total = _share([F.contains(low, F.lit(w.lower())) for w in words]) * 0.4 + _share([_found(text, e) for e in expressions]) * 0.5
         if context is not None:
@@ -90,9 +90,9 @@ def query_confidences(query: Column, context: Column | None = None, least: float
     return F.filter(F.array(*out), lambda x: x["confidence"] > least)
 
 
-def recognise(files: DataFrame, key: str, text: str, context: str | None = None) -> DataFrame:
-    """key, pattern_type, pattern, confidence."""
-    return files.select(key, F.inline_outer(confidences(F.col(text), F.col(context) if context else None))).filter("pattern is not null")
+def recognise(files: DataFrame, key: str, text: str, context: str | None = None, names: list[str] | None = None) -> DataFrame:
+    """key, pattern_type, pattern, confidence; only the patterns of ``names``, if they are given."""
+    return files.select(key, F.inline_outer(confidences(F.col(text), F.col(context) if context else None, names=names))).filter("pattern is not null")
 
 
 def dominant(found: DataFrame, key: str) -> DataFrame:

@@ -97,9 +97,11 @@ def contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.array(*[F.lit(float(x)) for x in (one[0] if one else [])]).cast("array<double>")
     cosine = v.select(F.col("vec_id").alias("doc_id"), (retrieval.dot(e, q) / F.sqrt(retrieval.dot(e, e) * retrieval.dot(q, q))).alias("cosine"))
     last = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("last"))
-    found = explain.pattern_score(patterns.recognise(docs, "doc_id", "text"), "doc_id", EXPECTED)
-    words = docs.select("doc_id", "lang", "n_chars", "source", fn.tokens(F.coalesce("text", F.lit(""))).alias("all"), fn.keywords(F.coalesce("text", F.lit(""))).alias("words"))
-    hit = words.select("doc_id", "lang", "n_chars", "source", "words", _has(F.col("all"), IMPORTS).alias("imports"), _has(F.col("all"), FUNCTIONS).alias("functions"))
+    found = explain.pattern_score(patterns.recognise(docs, "doc_id", "text", names=explain.counted(EXPECTED)), "doc_id", EXPECTED)
+    # What is asked of a text's words is told before the joins, so that no words are shuffled.
+    all_words = docs.select("doc_id", "lang", "n_chars", "source", fn.tokens(F.coalesce("text", F.lit(""))).alias("all"))
+    words = all_words.select("*", fn.keywords_of(F.col("all")).alias("words"))
+    hit = words.select("doc_id", "lang", "n_chars", "source", (F.size("words") > 0).alias("worded"), fn.jaccard(F.col("words"), fn.keywords(F.lit(ASKED))).alias("shared"), _has(F.col("all"), IMPORTS).alias("imports"), _has(F.col("all"), FUNCTIONS).alias("functions"))
     for more in (table(spark, sf_dir, "labels").select("doc_id", "quality"), cosine, last, found):
         hit = hit.join(more, "doc_id", "left")
     bounds = docs.agg(F.min("n_chars").cast("double").alias("a"), F.max("n_chars").cast("double").alias("z")).first()
@@ -111,10 +113,9 @@ def contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
     def bounded(value: Column, of) -> Column:
         return fn.unit_range(value.cast("double"), F.lit(of["a"] or 0.0), F.lit(of["z"] or 0.0))
 
-    asked = fn.keywords(F.lit(ASKED))
     semantic = (
         F.when(F.col("cosine").isNotNull(), ranking.factor(fn.unit_range(F.col("cosine"), F.lit(0.0), F.lit(1.0)), 0.8))
-        .when(F.size("words") > 0, ranking.factor(fn.jaccard(F.col("words"), asked), 0.6))
+        .when(F.col("worded"), ranking.factor(F.col("shared"), 0.6))
         .otherwise(ranking.factor(F.lit(0.0), 0.3))
     )
     return hit.select(
