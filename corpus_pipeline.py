@@ -24,13 +24,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keep documents in a learned language; nothing labelled, nothing rejected.
 
     A document needs a letter, and a share of known n-grams not below the floor
-    of its language (half the median of the labelled sample, or less).
+    of its language (half the median of the labelled rows, or less). Filters and
+    floors come from all labelled rows.
     """
-    filters = langid.fit(docs)
+    filters = langid.fit(docs, per_language=None)
     if not filters.langs:
         return docs
-    least = F.create_map(*[F.lit(x) for pair in sorted(langid.floors(docs, filters).items()) for x in pair])
-    told = docs.withColumn("_told", langid.identify(docs, filters, share=True))
+    told = cut(docs.withColumn("_told", langid.identify(docs, filters, share=True)), "language-told")  # written once: floors and filter read it
+    floors = langid.floors_of(told.filter("text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("_told.share").alias("share")))
+    least = F.create_map(*[F.lit(x) for pair in sorted(floors.items()) for x in pair])
     return told.filter((F.col("_told.lang") != langid.UNKNOWN) & (F.col("_told.share") >= least[F.col("_told.lang")])).drop("_told")
 
 

@@ -21,11 +21,14 @@ DRAWS = 1 << 30
 UNKNOWN = "und"
 #: One odd multiplier for each probe (fixed values: fractional bits of the square roots of 2 and 3).
 MULTIPLIERS = (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B)
+PER_LANGUAGE = 1500
 ENOUGH = 100_000  # n-grams of a language's sample, from which on those met once are left out
 #: Signs that count as part of words but are numerals: fractions, superscripts, circled and Roman ones.
 _NUMERALS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _BLOCK = 1 << 20
+COUNTED = 1 << 21  # n-grams that a task counts at a time
+SHARES = 10_000  # steps in which shares of known n-grams are counted
 
 
 def letters(text: str | None) -> str:
@@ -107,8 +110,8 @@ class LanguageFilters:
         return self.langs[best], float(real[best] / real.sum()) if real.sum() > 0 else 0.0, float(real[best] / total)
 
 
-def draw(labelled: DataFrame, text_col: str, lang_col: str, key_col: str, per_language: int) -> tuple[DataFrame, list[str]]:
-    """lang, text of about ``per_language`` rows of each language (all, if fewer), by a hash of key and text; and the languages."""
+def draw(labelled: DataFrame, text_col: str, lang_col: str, key_col: str, per_language: int | None) -> tuple[DataFrame, list[str]]:
+    """lang, text of about ``per_language`` rows of each language (all, if fewer, or if it is None), by a hash of key and text; and the languages."""
     rows = labelled.select(F.col(key_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     # A uniform draw against each language's share: no window, so the most frequent language is in no single task.
     rows = rows.withColumn("draw", F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), "lang", "text"), F.lit(DRAWS)))
@@ -116,15 +119,16 @@ def draw(labelled: DataFrame, text_col: str, lang_col: str, key_col: str, per_la
     langs = [r["lang"] for r in sizes]
     if not langs:
         return rows.select("lang", "text"), []
-    limit = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(math.ceil(DRAWS * min(1.0, per_language / r["n"]))))])
+    limit = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(math.ceil(DRAWS * min(1.0, per_language / r["n"] if per_language else 1.0))))])
     return rows.filter(F.col("draw") < limit[F.col("lang")]).select("lang", "text"), langs
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 1500, distinctive: float = 0.25) -> LanguageFilters:
-    """Learn the filters from a bounded sample: about ``per_language`` rows of each language (all, if fewer), by a hash of key and text.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int | None = PER_LANGUAGE, distinctive: float = 0.25) -> LanguageFilters:
+    """Learn the filters from a bounded sample: about ``per_language`` rows of each language (all, if fewer), by a hash of key and text; from all rows, if that is None.
 
     An n-gram enters the filter of a language if it occurs there at least twice
-    (once, where the language's sample has less than ENOUGH n-grams) and at no
+    for every PER_LANGUAGE rows, so that filters don't fill up as rows grow
+    (once, where the language's sample has less than ENOUGH n-grams), and at no
     less than ``distinctive`` times its rate in the language where it
     is most frequent. Null texts and languages are left out; repeated rows of
     one key are drawn together and count as often as they are there; without
@@ -135,13 +139,23 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     if not langs:
         return LanguageFilters([], np.zeros((1, 1 << SLOT_BITS), np.uint64))
 
+    def summed(lang: str, found: list[np.ndarray]) -> pd.DataFrame:
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        return pd.DataFrame({"lang": lang, "gram": h.view(np.int64), "n": n})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                found = [grams(padded(t)) for t in map(letters, texts) if t]
+                found, held = [], 0
+                for whole in (padded(t) for t in map(letters, texts) if t):
+                    for at in range(0, len(whole) - 1, _BLOCK):  # as in hits
+                        found.append(grams(whole[at : at + _BLOCK + max(ORDERS) - 1], _BLOCK))
+                        held += len(found[-1])
+                        if held > COUNTED:
+                            yield summed(lang, found)
+                            found, held = [], 0
                 if found:
-                    h, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "gram": h.view(np.int64), "n": n})
+                    yield summed(lang, found)
 
     counts = cut(sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
     sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -149,7 +163,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     if not langs:
         return LanguageFilters([], np.zeros((1, 1 << SLOT_BITS), np.uint64))
     size = F.create_map(*[F.lit(x) for pair in sorted(sizes.items()) for x in pair])[F.col("lang")]
-    rate = counts.withColumn("rate", F.col("n") / size).withColumn("least", F.when(size < ENOUGH, 1).otherwise(2))
+    twice = F.lit(2)
+    if per_language is None or per_language > PER_LANGUAGE:
+        rows = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+        twice = F.create_map(*[F.lit(x) for lang in langs for x in (lang, max(2, math.ceil(2 * rows[lang] / PER_LANGUAGE)))])[F.col("lang")]
+    rate = counts.withColumn("rate", F.col("n") / size).withColumn("least", F.when(size < ENOUGH, 1).otherwise(twice))
     top = F.max("rate").over(Window.partitionBy("gram"))
     index = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))])
     kept = rate.withColumn("top", top).filter((F.col("n") >= F.col("least")) & (F.col("rate") >= distinctive * F.col("top"))).select("gram", index[F.col("lang")].alias("i"))
@@ -187,14 +205,30 @@ def identify(df: DataFrame, filters: LanguageFilters, text_col: str = "text", sh
     return predict(F.col(text_col).cast("string"))
 
 
-def floors(labelled: DataFrame, filters: LanguageFilters, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 1500, part: float = 0.5) -> dict[str, float]:
+def floors(labelled: DataFrame, filters: LanguageFilters, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int | None = PER_LANGUAGE, part: float = 0.5) -> dict[str, float]:
     """For each language the least share of known n-grams that still counts as it.
 
-    This is ``part`` of the median over the labelled sample, or its hundredth
-    part from below where that is less: of a language's labelled rows at least
-    99 in 100 stay, and of a sample too small to know its own n-grams all.
+    This is ``part`` of the median over the labelled sample (all rows, if
+    ``per_language`` is None), or its hundredth part from below where that is
+    less: of a language's labelled rows at least 99 in 100 stay, and of a sample
+    too small to know its own n-grams all.
     """
     sample, _ = draw(labelled, text_col, lang_col, key_col, per_language)
-    told = sample.withColumn("share", identify(sample, filters, share=True)["share"])
-    found = told.groupBy("lang").agg(F.median("share").alias("middle"), F.percentile_approx("share", 0.01).alias("low")).collect()
-    return {r["lang"]: min(part * r["middle"], r["low"]) for r in found}
+    return floors_of(sample.select("lang", identify(sample, filters, share=True)["share"].alias("share")), part)
+
+
+def floors_of(told: DataFrame, part: float = 0.5) -> dict[str, float]:
+    """The floors from rows that are told already (lang, share). Shares are cut to SHARES steps and counted, so that no task or driver has a row for each text."""
+    steps: dict[str, list[tuple[int, int]]] = {}
+    for r in told.filter("lang is not null and share is not null").groupBy("lang", F.floor(F.col("share") * SHARES).alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy("step").collect():
+        steps.setdefault(r["lang"], []).append((r["step"], r["n"]))
+    out = {}
+    for lang, counted in steps.items():
+        step, upto = np.array([s for s, _ in counted]), np.cumsum([n for _, n in counted])
+        total = int(upto[-1])
+
+        def at(place: int) -> float:
+            return float(step[np.searchsorted(upto, place, side="right")]) / SHARES
+
+        out[lang] = min(part * (at((total - 1) // 2) + at(total // 2)) / 2, at(math.ceil(0.01 * total) - 1))
+    return out
