@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,23 @@ from loomquery.operators.near import shingle_sets
 from loomquery.sources.stored import stored
 
 FIRST = 8  # a query's rarest shingles, by which the first round finds candidates
+MOST_BITS = 27  # the queries' shingles are told by a bitmap of at most so many bits (16 MB); beyond, more others pass it
+
+
+def asked_only(shingles: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """Whether each shingle may be one of ``shingles`` (a column shingle, distinct): never false for one that is."""
+    bits = min(MOST_BITS, max(16, (16 * shingles.count()).bit_length()))
+    # A word of 64 bits for each slot that is set: as many rows as shingles at most, and 2^21 in all.
+    slot = F.col("shingle").bitwiseAND((1 << bits) - 1)
+    words = shingles.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shingle & 63 as int))")).alias("set")).toPandas()
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64)
+    shared = shingles.sparkSession.sparkContext.broadcast(bitmap)
+
+    def told(x: np.ndarray) -> np.ndarray:
+        return (shared.value[(x & ((1 << bits) - 1)) >> 6] >> (x & 63)) & 1 == 1
+
+    return told
 
 
 def most_similar(files: DataFrame, is_query: Column, k: int, key: str, text: str, words: int = 5) -> DataFrame:
@@ -19,48 +40,67 @@ def most_similar(files: DataFrame, is_query: Column, k: int, key: str, text: str
     similarity among the candidates is the query's bar. Two sets of n and m
     shingles with similarity t or more share one of their first n - ceil(t n) + 1
     and m - ceil(t m) + 1 shingles, so the second round joins only these
-    prefixes at the query's own t, and only sets of a fitting size: the higher
-    the bar, the shorter the prefix. A query with less than k candidates has no
-    bar and meets all texts it shares a shingle with. All candidates are then
-    compared exactly.
+    prefixes at the query's own t: the higher the bar, the shorter the prefix. A query with less than k candidates has no
+    bar and meets all texts it shares a shingle with. Of two texts that meet,
+    what follows in both bounds what they have in common; pairs that this leaves
+    below the bar are dropped as they meet. All others are compared exactly.
+
+    Only shingles of queries make texts meet, so in that order all others come
+    first, and only these are kept of a text, told by a bitmap. Sets are never
+    shuffled: what two have in common is counted on the kept shingles. Of texts
+    that keep the same ones, only the k + 1 smallest can be among a query's k.
 
     A text with the same set as others is one candidate, under the smallest of
     their keys; the query's own set is none. Texts that share no shingle are not
     listed, so that a query may have less than k rows; ties go to the smaller
     key. Null texts and texts without a word take no part.
     """
-    rows = stored(shingle_sets(files.select(key, text), key, text, words), "similar-sets")
-    asks = files.filter(F.coalesce(is_query, F.lit(False))).select(F.col(key).alias("query_key"))
-    sets = stored(rows.groupBy("set_id").agg(F.min("key").alias("id"), F.any_value("s").alias("s")), "similar-texts")
-    queries = rows.join(asks, rows["key"] == asks["query_key"]).select("query_key", "set_id").distinct()
-
-    # The place of each shingle in its set, by how many sets have it; those of one set only meet nothing and are not kept.
-    each = sets.select("id", F.size("s").alias("m"), F.explode("s").alias("shingle"))
-    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("id").orderBy("n", "shingle")
-    placed = stored(each.join(counts, "shingle").withColumn("place", F.row_number().over(order)).filter("n > 1").select("id", "m", "shingle", "place"), "similar-places")
-    lists = placed.select(F.col("id").alias("other"), F.col("m").alias("other_m"), "shingle", F.col("place").alias("other_place"))
-    own = stored(queries.join(sets.select("set_id", "id"), "set_id").select("id").distinct().join(placed, "id").select("id", "m", "shingle", "place"), "similar-queries")
+    ask = F.coalesce(is_query, F.lit(False))
+    asks = stored(shingle_sets(files.filter(ask).select(key, text), key, text, words), "similar-asks")
+    told = asked_only(asks.select(F.explode("s").alias("shingle")).distinct())
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.asarray(s, np.int64) for s in batch["s"]]
+            yield pd.DataFrame({"key": batch["key"], "set_id": batch["set_id"], "m": np.fromiter(map(len, sets), np.int32, len(sets)), "s": [s[told(s)] for s in sets]})
+
+    every = shingle_sets(files.select(key, text), key, text, words)
+    kind = every.schema["key"].dataType.simpleString()
+    rows = stored(every.mapInPandas(kept, f"key {kind}, set_id string, m int, s array<long>"), "similar-sets")
+    one = rows.groupBy("set_id").agg(F.min("key").alias("id"), F.first("m").alias("m"), F.first("s").alias("s"))
+    marked = asks.select("set_id", F.lit(True).alias("asked")).distinct()
+    sets = stored(one.join(marked, "set_id", "left").withColumn("asked", F.coalesce("asked", F.lit(False))), "similar-texts")
+    queries = asks.select(F.col("key").alias("query_key"), "set_id").distinct().join(sets.filter("asked").select("set_id", "id"), "set_id").select("query_key", "id")
+
+    # The place of each shingle in its set: those of no query, then by how many sets have it. Those of one set only meet nothing and are not kept.
+    each = sets.select("id", "m", "asked", F.explode("s").alias("shingle"))
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.bool_or("asked").alias("known")).filter("known and n > 1").select("shingle", "n")
+    held = F.transform(F.sort_array(F.collect_list(F.struct("n", "shingle")), asc=False), lambda x: x["shingle"])
+    met = stored(each.join(counts, "shingle").groupBy("id", "m", "asked").agg(held.alias("s")), "similar-met")
+    # Of texts that keep the same shingles a query finds the smallest sets most similar: k of them, and one more as it may be one itself.
+    alike = F.row_number().over(Window.partitionBy(F.sha2(F.array_join("s", ","), 256)).orderBy("m", "id"))
+    others = stored(met.withColumn("nth", alike).filter(F.col("nth") <= k + 1).select(F.col("id").alias("other"), F.col("m").alias("other_m"), F.col("s").alias("b")), "similar-others")
+    lists = others.select("other", "other_m", F.posexplode("b").alias("at", "shingle")).withColumn("other_place", F.col("other_m") - F.col("at"))
+    asking = met.filter("asked").select("id", "m", F.col("s").alias("a"))
+    own = asking.select("id", "m", F.posexplode("a").alias("at", "shingle")).withColumn("place", F.col("m") - F.col("at"))
 
     def compared(pairs: DataFrame) -> DataFrame:
         """id, other, similarity of candidate pairs."""
-        both = pairs.join(sets.select("id", F.col("s").alias("a")), "id").join(sets.select(F.col("id").alias("other"), F.col("s").alias("b")), "other")
+        both = pairs.join(others, "other").join(asking, "id")
         common = F.size(F.array_intersect("a", "b"))
-        return both.select("id", "other", (common / (F.size("a") + F.size("b") - common)).alias("similarity"))
+        return both.select("id", "other", (common / (F.col("m") + F.col("other_m") - common)).alias("similarity"))
 
     rarest = F.row_number().over(Window.partitionBy("id").orderBy("place"))
-    first = stored(own.withColumn("nth", rarest).filter(F.col("nth") <= FIRST).join(lists, "shingle").filter("id <> other").select("id", "other").distinct(), "similar-first")
+    first = stored(own.withColumn("nth", rarest).filter(F.col("nth") <= FIRST).select("id", "shingle").join(lists, "shingle").filter("id <> other").select("id", "other").distinct(), "similar-first")
     known = stored(compared(first), "similar-known")
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
     bars = known.withColumn("rank", best).filter(F.col("rank") == k).select("id", F.col("similarity").alias("bar"))
     bar = F.coalesce("bar", F.lit(0.0))
 
-    def prefix(size: str) -> Column:
-        return F.col(size) - F.ceil(bar * F.col(size) - 1e-9) + 1
-
-    asked = own.join(bars, "id", "left").filter(F.col("place") <= prefix("m"))
-    fits = (F.col("id") != F.col("other")) & (F.col("other_place") <= prefix("other_m")) & (F.least("m", "other_m") >= F.greatest("m", "other_m") * bar - 1e-9)
-    more = asked.join(lists, "shingle").filter(fits).select("id", "other").distinct().join(first, ["id", "other"], "left_anti")
+    heads = own.drop("at").join(bars, "id", "left").filter(F.col("place") <= F.col("m") - F.ceil(bar * F.col("m") - 1e-9) + 1)
+    # Where two sets meet first, no more than what follows in both is common to them.
+    most = F.least(F.col("m") - F.col("place"), F.col("other_m") - F.col("other_place")) + 1
+    fits = (F.col("id") != F.col("other")) & (most >= bar * (F.col("m") + F.col("other_m") - most) - 1e-6)
+    more = heads.join(lists.drop("at"), "shingle").filter(fits).select("id", "other").distinct().join(first, ["id", "other"], "left_anti")
     found = known.unionByName(compared(stored(more, "similar-more"))).withColumn("rank", best.cast("long")).filter((F.col("rank") <= k) & (F.col("similarity") > 0))
-    own_id = queries.join(sets.select("set_id", "id"), "set_id").select("query_key", "id")
-    return own_id.join(found, "id").select("query_key", "rank", F.col("other").alias("other_key"), "similarity")
+    return queries.join(found, "id").select("query_key", "rank", F.col("other").alias("other_key"), "similarity")

@@ -1,11 +1,13 @@
 """The most similar texts against all pairs, and canonical forms."""
 
+import glob
 import random
 
 from pyspark.sql import functions as F
 
 from loomquery.functions import canonical
 from loomquery.operators import similar
+from loomquery.sources.stored import shared_dir
 
 
 def test_most_similar(spark, monkeypatch):
@@ -41,6 +43,19 @@ def test_most_similar(spark, monkeypatch):
     assert similar.most_similar(frame.limit(0), F.col("key") % 4 == 0, 3, "key", "text").collect() == []
 
 
+def test_only_shingles_of_queries_are_stored(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(100))) for i in range(200)] + [(200, " ".join(f"w0x{j}" for j in range(50))), (201, " ".join(f"w1x{j}" for j in range(50)))]
+    frame = spark.createDataFrame(rows, "key long, text string")
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/similar-sets-*"))
+    found = similar.most_similar(frame, F.col("key") == 0, 3, "key", "text").collect()
+    assert [(r.query_key, r.rank, r.other_key, round(r.similarity, 9)) for r in found] == [(0, 1, 200, round(46 / 96, 9))]
+    (path,) = set(glob.glob(f"{folder}/similar-sets-*")) - before
+    kept = {r.key: r.n for r in spark.read.parquet(path).select("key", F.size("s").alias("n")).collect()}
+    # Of 19,388 shingles in all: the query's, those of its part, and the few that the bitmap passes by chance.
+    assert (kept[0], kept[200]) == (96, 46) and sum(kept.values()) < 400
+
+
 def test_canonical_forms(spark):
     cases = [
         ('{ "b": 1,\n "a": [ {"d":2, "c": null} ] }', ".json", '{"a":[{"c":null,"d":2}],"b":1}'),
