@@ -199,6 +199,15 @@ def test_graphs(spark):
     assert {(r.src, r.dst) for r in graph.indirect(edges).collect()} == {(1, 3), (2, 1), (2, 4), (3, 2), (4, 1)}
 
 
+@pytest.mark.parametrize("few", [1, 6, 4096])
+def test_second_steps_of_few_and_of_many(spark, few):
+    edges = sorted({(i * 7 % 19, i * i % 23) for i in range(60)} | {(0, j) for j in range(1, 19)} | {(4, 4), (30, 0), (31, 32)})
+    want = {(a, d) for a, b in edges for c, d in edges if b == c and a != d} - set(edges)
+    frame = spark.createDataFrame(edges * 2 + [(None, 1), (1, None)], "src long, dst long")
+    found = [(r.src, r.dst) for r in graph.indirect(frame, few).collect()]
+    assert sorted(found) == sorted(want)
+
+
 def test_block_clones(spark):
     body = "\n".join(f"line {i}" for i in range(8))
     files = spark.createDataFrame([("a", body), ("b", "intro\n" + body), ("c", "nothing")], "path string, text string")
