@@ -153,29 +153,34 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     x = F.col(vector_col)
     whole = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) != float("inf")))
     scaled = F.transform(x, lambda c: F.floor(F.least(F.greatest(c.cast("double") * scale, F.lit(-9.2e18)), F.lit(9.2e18))).cast("long"))
-    rows = cut(
-        df.filter(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("v"), is_query.alias("is_query"), F.monotonically_increasing_id().alias("own_row")),
-        "topk-vectors",
-    )
+    vectors = df.filter(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("v"), is_query.alias("is_query"), F.monotonically_increasing_id().alias("own_row"))
+
+    @F.pandas_udf("double")
+    def place(v: pd.Series) -> pd.Series:
+        """Vectors by the dimension and sign of their largest component, and its size: an order that quantiles cut into blocks."""
+        out = np.zeros(len(v))
+        for i, x in enumerate(v):
+            if len(x):
+                size = np.abs(x.astype(float))
+                at = int(size.argmax())
+                out[i] = 2 * (at + 1) + (x[at] < 0) + 1 - 1 / (1 + size[at])
+        return pd.Series(out)
+
+    # Found once and stored: the quantiles, the blocks' sizes and the dealing all ask for it.
+    rows = cut(vectors.withColumn("place", place("v")), "topk-vectors")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q"), F.max(F.size("v")).alias("width")).first()
     width = total["width"] or 1
     # The blocks' bounds are broadcast: blocks grow beyond candidate_block where there would be over BOUND_BYTES of them.
     blocks = min(max(1, math.ceil(total["n"] / candidate_block)), max(1, BOUND_BYTES // (16 * width)))
     block_rows, query_blocks = math.ceil(total["n"] / blocks), max(1, math.ceil(total["q"] / query_block))
 
-    # Rows by the dimension and sign of their largest component, and its size: an order that quantiles cut into blocks.
-    size = F.transform("v", lambda c: F.abs(c.cast("double")))
-    largest = F.array_position(size, F.array_max(size)).cast("long")
-    sign = F.when(F.get("v", largest.cast("int") - 1) < 0, 1).otherwise(0)
-    place = F.coalesce((2 * largest + sign).cast("double") + 1 - 1 / (1 + F.array_max(size)), F.lit(0.0))
-    placed = rows.withColumn("place", place)
-    cuts = placed.select(F.percentile_approx("place", [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0] if blocks > 1 else []
+    cuts = rows.select(F.percentile_approx("place", [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0] if blocks > 1 else []
     bound = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>")
     block = F.size(F.filter(bound, lambda b: b < F.col("place")))
     # Many equal places would make one block too large: what is over the size is dealt by row.
-    sizes = {r["c"]: r["n"] for r in placed.groupBy(block.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["c"]: r["n"] for r in rows.groupBy(block.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = F.create_map(*[F.lit(v) for c, n in sorted(sizes.items()) for v in (c, max(1, math.ceil(n / (2 * block_rows))))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-    dealt = cut(placed.withColumn("c", block).select("vec_id", "v", "is_query", "own_row", (F.col("c") * 65536 + F.pmod(F.xxhash64("own_row"), parts[F.col("c")])).cast("long").alias("c")), "topk-blocks")
+    dealt = cut(rows.withColumn("c", block).select("vec_id", "v", "is_query", "own_row", (F.col("c") * 65536 + F.pmod(F.xxhash64("own_row"), parts[F.col("c")])).cast("long").alias("c")), "topk-blocks")
 
     ends = dealt.select("c", F.posexplode(F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v"))))).groupBy("c", "pos").agg(F.max("col").alias("high"), F.min("col").alias("low"))
     bounds = ends.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "high", "low"))), lambda e: F.struct(e["high"].cast("double").alias("high"), e["low"].cast("double").alias("low"))).alias("ends"))

@@ -161,6 +161,18 @@ def test_top_k_leaves_blocks_out(spark):
         assert r.score == np.sort(score)[-10]
 
 
+def test_top_k_finds_the_place_of_a_vector_once(spark, monkeypatch):
+    from loomquery.llm import topk
+
+    steps = {}
+    cut = topk.cut
+    monkeypatch.setattr(topk, "cut", lambda df, label: steps.setdefault(label, cut(df, label)))
+    rows = [(0, [0.0, -3.0]), (1, [2.0, 2.0]), (2, []), (3, [0.0, 0.0])]
+    top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, scale=1).collect()
+    # By the largest component's number (of equal ones the first), its sign and its size.
+    assert {r.vec_id: r.place for r in steps["topk-vectors"].collect()} == {0: 5.75, 1: 2 + 2 / 3, 2: 0.0, 3: 2.0}
+
+
 def test_top_k_of_huge_components(spark):
     rows = [(0, [1e18, 1.0]), (1, [1e18, -1.0]), (2, [-1e18, 0.5]), (3, [2.0, 2.0])]
     got = {r.vec_id: r.score for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()}
