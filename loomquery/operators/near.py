@@ -62,28 +62,32 @@ def near_pairs(files: DataFrame, key: str, text: str, least: float, words: int =
     counts = np.zeros(SLOTS, np.int64)
     counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     shared = files.sparkSession.sparkContext.broadcast(counts)
+    usual = counts.mean() + 3 * math.sqrt(counts.mean())
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n_of = shared.value
         for batch in batches:
-            parts, sketches = [], []
+            parts, rare, sketches = [], [], []
             for s in batch["s"]:
                 s = np.asarray(s, np.int64)
                 first = len(s) - math.ceil(least * len(s) - 1e-9) + 1
                 parts.append(s[np.lexsort((s, n_of[s & (SLOTS - 1)]))[:first]])
+                rare.append(int((n_of[parts[-1] & (SLOTS - 1)] <= usual).sum()))
                 bits = max(64, 1 << (len(s) - 1).bit_length())
                 sketches.append(np.packbits(np.bincount(s & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes())
-            yield pd.DataFrame({"key": batch["key"], "set_id": batch["set_id"], "n": batch["s"].map(len).astype(np.int32), "head": parts, "sketch": sketches})
+            yield pd.DataFrame({"key": batch["key"], "set_id": batch["set_id"], "n": batch["s"].map(len).astype(np.int32), "head": parts, "rare": np.array(rare, np.int32), "sketch": sketches})
 
     kind = docs.schema["key"].dataType.simpleString()
-    heads = docs.mapInPandas(prefixes, f"key {kind}, set_id string, n int, head array<long>, sketch binary")
+    heads = docs.mapInPandas(prefixes, f"key {kind}, set_id string, n int, head array<long>, rare int, sketch binary")
     # Of equal sets one is left by their heads: whole sets are not shuffled for it. Written once: both sides of the join read it.
-    heads = stored(heads.groupBy("set_id").agg(F.min("key").alias("id"), *[F.any_value(c).alias(c) for c in ("n", "head", "sketch")]).drop("set_id"), "shingle-heads")
-    each = heads.select("id", "n", "head", F.posexplode("head").alias("at", "run")).select("id", "run", "n", (F.col("n") - F.col("at")).alias("left"), F.get("head", F.col("at") - 1).alias("before"))
+    heads = stored(heads.groupBy("set_id").agg(F.min("key").alias("id"), *[F.any_value(c).alias(c) for c in ("n", "head", "rare", "sketch")]).drop("set_id"), "shingle-heads")
+    # What stands before goes along with shingles whose slot is fuller than by chance: only these can be shared by many.
+    before = F.when(F.col("at") >= F.col("rare"), F.get("head", F.col("at") - 1))
+    each = heads.select("id", "n", "head", "rare", F.posexplode("head").alias("at", "run")).select("id", "run", "n", (F.col("n") - F.col("at")).alias("left"), before.alias("before"))
     a, b = each.select("run", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "left", "before")]), each.select("run", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "left", "before")])
     most = F.least("left_a", "left_b")
     fits = (F.col("id_a") < F.col("id_b")) & (most >= least * (F.col("n_a") + F.col("n_b") - most) - 1e-6)
-    # Of a stretch that both heads share only the beginning makes a row: before what they share first they never have the same.
+    # Of such a stretch that both heads share only the beginning makes a row: before what they share first they never have the same.
     begins = F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
     pairs = stored(a.join(b, "run").filter(fits & begins).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "near-candidates")
     pairs = stored(in_cells(pairs, heads.select("id", "n", "sketch"), sketched(least), f"a {kind}, b {kind}"), "near-sketched")
