@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from loomquery.sources.stored import stored
 
 
-def marks(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, at (from 0), name, closing, body: each tag of a markup text with its place. Comments and declarations are no tags; null texts have none."""
+def marks(texts: DataFrame, key: str, text: str, own: dict[str, Column] | None = None) -> DataFrame:
+    """key, at (from 0), name, closing and ``own`` columns: each tag of a markup text with its place. Comments and declarations are no tags; null texts have none.
+
+    ``own`` columns are made of ``piece``: the whole tag without its "<", and what follows it up to the next.
+    They are made before the tags of a text meet, so that pieces are not shuffled.
+    """
     pieces = F.split(F.coalesce(F.col(text), F.lit("")), "<", -1)
     each = texts.select(F.col(key).alias("key"), F.posexplode(pieces).alias("nth", "piece"))
+    name = F.lower(F.regexp_extract("piece", r"^/?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    own = own or {}
+    told = each.select("key", "nth", (F.length("piece") + 1).alias("size"), name.alias("name"), F.startswith("piece", F.lit("/")).alias("closing"), *[c.alias(n) for n, c in own.items()])
     before = Window.partitionBy("key").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    placed = each.withColumn("at", F.coalesce(F.sum(F.length("piece") + 1).over(before), F.lit(0)) - 1)
-    name = F.regexp_extract("piece", r"^/?([a-zA-Z][a-zA-Z0-9]*)", 1)
-    return placed.filter("nth > 0").select("key", "at", F.lower(name).alias("name"), F.startswith("piece", F.lit("/")).alias("closing"), F.substring("piece", 1, 400).alias("body")).filter("name <> ''")
+    placed = told.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)) - 1)
+    return placed.filter("nth > 0 and name <> ''").select("key", "at", "name", "closing", *own)
 
 
 def scopes(found: DataFrame, names: list[str]) -> DataFrame:

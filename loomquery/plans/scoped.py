@@ -24,11 +24,12 @@ _SCOPES = f"""
 
 
 def page_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(scopes.marks(table(spark, sf_dir, "pages"), "page_id", "html"), "page-marks")
+    target = F.when(F.rlike("piece", F.lit("^[aA]([^a-zA-Z0-9]|$)")), F.regexp_extract("piece", 'href="([^"]*)"', 1))
+    return stored(scopes.marks(table(spark, sf_dir, "pages"), "page_id", "html", {"target": target}), "page-marks")
 
 
 def links(found: DataFrame) -> DataFrame:
-    own = found.filter("name = 'a' and not closing").select("key", "at", F.regexp_extract("body", 'href="([^"]*)"', 1).alias("target"))
+    own = found.filter("name = 'a' and not closing").select("key", "at", "target")
     return scopes.innermost(own, scopes.scopes(found, NAMES)).select("key", "at", "target", F.col("inner.name").alias("scope"), F.col("inner.start").alias("scope_start"))
 
 

@@ -1,8 +1,14 @@
 """Innermost scopes against all pairs."""
 
+import os
 import random
 
+import pytest
+
 from loomquery.operators import scopes
+from loomquery.plans import catalog
+from tests.conftest import DATA
+from tests.oracle import TABLES, differences
 
 
 def test_innermost(spark):
@@ -31,3 +37,21 @@ def test_no_ranges(spark):
     points = spark.createDataFrame([("a", 1)], "key string, at long")
     none = spark.createDataFrame([], "key string, start long, end long, name string")
     assert [r.inner for r in scopes.innermost(points, none).collect()] == [None]
+
+
+@pytest.mark.parametrize("name", ["link_scopes", "scope_call_graph"])
+def test_long_tags_are_read_whole(spark, tmp_path, name):
+    """A link's target may stand behind any number of other attributes, or be long itself."""
+    filler = "x" * 1000
+    pages = [
+        (1, f'<ul><li><a data-a="{filler}" href="/far">a</a></li></ul>'),
+        (2, f'<nav><a href="/{filler}/end">b</a></nav><A\nclass="{filler}"\nhref="/other">c</A>'),
+        (3, f'<a>{filler} href="/text"</a><a/><a><abbr href="/no"></abbr>'),
+    ]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for other in set(TABLES) - {"pages"}:
+        os.symlink(f"{DATA}/{other}.parquet", f"{tmp_path}/{other}.parquet")
+    found = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    targets = {r["target" if name == "link_scopes" else "callee"] for r in found}
+    assert {"/far", f"/{filler}/end", "/other", "/text", ""} == targets
+    assert differences(spark, str(tmp_path), name) is None
