@@ -1,18 +1,22 @@
-"""The most similar texts of each of many: top-k by Jaccard similarity, with prefixes that a bar shortens."""
+"""The most similar texts of each of many: top-k by Jaccard similarity, counted text by text against all queries at once."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomquery.operators.near import shingle_sets
 from loomquery.sources.stored import stored
 
-FIRST = 8  # a query's rarest shingles, by which the first round finds candidates
+GROUP_SHINGLES = 1 << 21  # of queries that are broadcast at once; the texts are read again for each such group
+CELLS = 1 << 22  # counts, and shared shingles, that a task has at once
+FIRST = 8  # a task that holds so many times k hits of each query drops those that can't be among its best
 MOST_BITS = 27  # the queries' shingles are told by a bitmap of at most so many bits (16 MB); beyond, more others pass it
 
 
@@ -35,20 +39,14 @@ def asked_only(shingles: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
 def most_similar(files: DataFrame, is_query: Column, k: int, key: str, text: str, words: int = 5) -> DataFrame:
     """query_key, rank, other_key, similarity: the k texts whose sets of ``words``-word shingles are most similar to each query's, exactly.
 
-    Every shingle has a common rank, rare ones first. A first round joins each
-    query's FIRST rarest shingles with the shingles of all texts; the k-th best
-    similarity among the candidates is the query's bar. Two sets of n and m
-    shingles with similarity t or more share one of their first n - ceil(t n) + 1
-    and m - ceil(t m) + 1 shingles, so the second round joins only these
-    prefixes at the query's own t: the higher the bar, the shorter the prefix. A query with less than k candidates has no
-    bar and meets all texts it shares a shingle with. Of two texts that meet,
-    what follows in both bounds what they have in common; pairs that this leaves
-    below the bar are dropped as they meet. All others are compared exactly.
-
-    Only shingles of queries make texts meet, so in that order all others come
-    first, and only these are kept of a text, told by a bitmap. Sets are never
-    shuffled: what two have in common is counted on the kept shingles. Of texts
-    that keep the same ones, only the k + 1 smallest can be among a query's k.
+    Only shingles of queries make texts meet, so only these are kept of a text,
+    told by a bitmap. Sets are never shuffled: what two have in common is
+    counted on the kept shingles. Of texts that keep the same ones, only the
+    k + 1 smallest can be among a query's k.
+
+    Queries are broadcast, group by group, as lists of queries by shingle. A
+    task counts what each of its texts has in common with all of them, so that
+    no pair is a row, and answers with k texts for each query at most.
 
     A text with the same set as others is one candidate, under the smallest of
     their keys; the query's own set is none. Texts that share no shingle are not
@@ -72,35 +70,81 @@ def most_similar(files: DataFrame, is_query: Column, k: int, key: str, text: str
     sets = stored(one.join(marked, "set_id", "left").withColumn("asked", F.coalesce("asked", F.lit(False))), "similar-texts")
     queries = asks.select(F.col("key").alias("query_key"), "set_id").distinct().join(sets.filter("asked").select("set_id", "id"), "set_id").select("query_key", "id")
 
-    # The place of each shingle in its set: those of no query, then by how many sets have it. Those of one set only meet nothing and are not kept.
+    # Shingles of one set only meet nothing and are not kept.
     each = sets.select("id", "m", "asked", F.explode("s").alias("shingle"))
-    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.bool_or("asked").alias("known")).filter("known and n > 1").select("shingle", "n")
-    held = F.transform(F.sort_array(F.collect_list(F.struct("n", "shingle")), asc=False), lambda x: x["shingle"])
-    met = stored(each.join(counts, "shingle").groupBy("id", "m", "asked").agg(held.alias("s")), "similar-met")
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.bool_or("asked").alias("known")).filter("known and n > 1").select("shingle")
+    met = stored(each.join(counts, "shingle").groupBy("id", "m", "asked").agg(F.sort_array(F.collect_list("shingle")).alias("s")).filter("id is not null"), "similar-met")
     # Of texts that keep the same shingles a query finds the smallest sets most similar: k of them, and one more as it may be one itself.
     alike = F.row_number().over(Window.partitionBy(F.sha2(F.array_join("s", ","), 256)).orderBy("m", "id"))
     others = stored(met.withColumn("nth", alike).filter(F.col("nth") <= k + 1).select(F.col("id").alias("other"), F.col("m").alias("other_m"), F.col("s").alias("b")), "similar-others")
-    lists = others.select("other", "other_m", F.posexplode("b").alias("at", "shingle")).withColumn("other_place", F.col("other_m") - F.col("at"))
-    asking = met.filter("asked").select("id", "m", F.col("s").alias("a"))
-    own = asking.select("id", "m", F.posexplode("a").alias("at", "shingle")).withColumn("place", F.col("m") - F.col("at"))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        """id, other, similarity of candidate pairs."""
-        both = pairs.join(others, "other").join(asking, "id")
-        common = F.size(F.array_intersect("a", "b"))
-        return both.select("id", "other", (common / (F.col("m") + F.col("other_m") - common)).alias("similarity"))
-
-    rarest = F.row_number().over(Window.partitionBy("id").orderBy("place"))
-    first = stored(own.withColumn("nth", rarest).filter(F.col("nth") <= FIRST).select("id", "shingle").join(lists, "shingle").filter("id <> other").select("id", "other").distinct(), "similar-first")
-    known = stored(compared(first), "similar-known")
-    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
-    bars = known.withColumn("rank", best).filter(F.col("rank") == k).select("id", F.col("similarity").alias("bar"))
-    bar = F.coalesce("bar", F.lit(0.0))
-
-    heads = own.drop("at").join(bars, "id", "left").filter(F.col("place") <= F.col("m") - F.ceil(bar * F.col("m") - 1e-9) + 1)
-    # Where two sets meet first, no more than what follows in both is common to them.
-    most = F.least(F.col("m") - F.col("place"), F.col("other_m") - F.col("other_place")) + 1
-    fits = (F.col("id") != F.col("other")) & (most >= bar * (F.col("m") + F.col("other_m") - most) - 1e-6)
-    more = heads.join(lists.drop("at"), "shingle").filter(fits).select("id", "other").distinct().join(first, ["id", "other"], "left_anti")
-    found = known.unionByName(compared(stored(more, "similar-more"))).withColumn("rank", best.cast("long")).filter((F.col("rank") <= k) & (F.col("similarity") > 0))
+    asking = met.filter("asked")
+    total = asking.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0]
+    groups = max(1, math.ceil(total / GROUP_SHINGLES))
+    found = None
+    for g in range(groups):
+        own = asking.filter(F.pmod(F.xxhash64("id"), F.lit(groups)) == g).select("id", "m", "s")
+        best = most_common(own, others, k, kind)
+        found = best if found is None else found.unionByName(best)
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
+    found = found.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k)
     return queries.join(found, "id").select("query_key", "rank", F.col("other").alias("other_key"), "similarity")
+
+
+def most_common(own: DataFrame, others: DataFrame, k: int, kind: str) -> DataFrame:
+    """id, other, similarity: of each task the k best of ``others`` (other, other_m, b) for each of the queries (id, m, s), which fit a broadcast."""
+    rows = own.toArrow()
+    sizes = np.array([len(s) for s in rows["s"]], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *[s.values.to_numpy() for s in rows["s"]]])
+    by_shingle = np.argsort(flat, kind="stable")
+    names, starts = np.unique(flat[by_shingle], return_index=True)
+    lists = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by_shingle]
+    ids = rows["id"].combine_chunks()
+    shared = own.sparkSession.sparkContext.broadcast((names, np.append(starts, len(flat)), lists, rows["m"].to_numpy().astype(np.int64), ids.to_numpy(zero_copy_only=False)))
+
+    def top(query: np.ndarray, other: np.ndarray, similarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of each query in order, and the place of each."""
+        order = np.lexsort((np.unique(other, return_inverse=True)[1], -similarity, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = order[place < k]
+        return query[place < k], other[keep], similarity[keep], place[place < k]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, starts, lists, m, keys = shared.value
+        n, bars, held = len(m), np.zeros(len(m)), []
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            query, other, similarity, place = top(*map(np.concatenate, zip(*held)))
+            bars[query[place == k - 1]] = similarity[place == k - 1]
+            return query, other, similarity
+
+        for batch in batches:
+            other, other_m = batch.column("other").to_numpy(zero_copy_only=False), batch.column("other_m").to_numpy().astype(np.int64)
+            sets = batch.column("b")
+            text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            flat = sets.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(names, flat), max(0, len(names) - 1))
+            here = names[at] == flat if len(names) else np.zeros(len(flat), bool)
+            text, at = text[here], at[here]
+            size = starts[at + 1] - starts[at]
+            ends, low = np.cumsum(size), 0
+            while low < len(text):  # some texts at once: whole ones, and one at least
+                most = np.searchsorted(text, text[low] + max(1, CELLS // n))
+                most = min(most, np.searchsorted(text, text[min(np.searchsorted(ends, ends[low] - size[low] + CELLS), len(text) - 1)]))
+                high = max(most, np.searchsorted(text, text[low], "right"))
+                own = size[low:high]
+                which = np.arange(own.sum()) + np.repeat(starts[at[low:high]] - np.cumsum(own) + own, own)
+                common = np.bincount(np.repeat(text[low:high] - text[low], own) * n + lists[which])
+                pair = np.flatnonzero(common)
+                common, query, of = common[pair], pair % n, pair // n + text[low]
+                similarity = common / (m[query] + other_m[of] - common)
+                good = (similarity >= bars[query]) & (keys[query] != other[of])
+                held.append((query[good], other[of[good]], similarity[good]))
+                if sum(len(x[0]) for x in held) > FIRST * k * n:
+                    held[:] = [best()]
+                low = high
+        if held:
+            query, other, similarity = best()
+            yield pa.RecordBatch.from_pydict({"id": pa.array(keys[query], ids.type), "other": pa.array(other, ids.type), "similarity": similarity})
+
+    return others.mapInArrow(count, f"id {kind}, other {kind}, similarity double")
